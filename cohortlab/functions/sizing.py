@@ -1,0 +1,29 @@
+"""Size-checked broadcast.
+
+A side is broadcast only after its row count has been measured against a
+bound; above the bound the plan is returned untouched and Spark keeps the
+shuffle join (with AQE's skew-join splitting).
+"""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` if it has at most ``max_rows`` rows, else return it unchanged.
+
+    The small side is persisted (memory and disk, so a lost executor only
+    recomputes it from lineage) while it is counted, so the count is not
+    paid twice.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = df.count()
+    if n <= max_rows:
+        return F.broadcast(df)
+    df.unpersist()
+    return df
