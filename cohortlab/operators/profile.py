@@ -21,3 +21,111 @@ def bic_by_project(cohort: DataFrame, key: str = "PROJECT_ID", label: str = "BIC
                        F.avg(label).alias("BIC_rate"))
                   .withColumn("BIC_rate_pct", F.round(F.col("BIC_rate") * 100, 1))
                   .orderBy(F.col("BIC_rate").desc(), F.col(key)))
+
+
+def churn_summary(churn_df: DataFrame) -> DataFrame:
+    """Median, mean and max of CHURN over the per-commit churn table."""
+    return churn_df.agg(F.count(F.lit(1)).alias("n_commits"),
+                        F.median("CHURN").alias("churn_median"),
+                        F.avg("CHURN").alias("churn_mean"),
+                        F.max("CHURN").alias("churn_max"))
+
+
+def ref_count_summary(refs: DataFrame) -> DataFrame:
+    """Median, mean and max of REF_COUNT over commits with refactoring rows."""
+    return refs.agg(F.count(F.lit(1)).alias("n_commits"),
+                    F.median("REF_COUNT").alias("ref_count_median"),
+                    F.avg("REF_COUNT").alias("ref_count_mean"),
+                    F.max("REF_COUNT").alias("ref_count_max"))
+
+
+def cohort_summary(cohort: DataFrame) -> DataFrame:
+    """Size, projects, label and flag counts and rates, date range."""
+    return cohort.agg(
+        F.count(F.lit(1)).alias("n_commits"),
+        F.countDistinct("PROJECT_ID").alias("n_projects"),
+        F.sum("BIC").cast("bigint").alias("n_bic"),
+        (F.avg("BIC") * 100).alias("bic_pct"),
+        F.count_if(F.col("BIC") == 0).alias("n_non_bic"),
+        F.sum("HAS_REFACTORING").cast("bigint").alias("n_refactoring"),
+        (F.avg("HAS_REFACTORING") * 100).alias("refactoring_pct"),
+        F.to_date(F.min("AUTHOR_DATE")).alias("first_date"),
+        F.to_date(F.max("AUTHOR_DATE")).alias("last_date"))
+
+
+def project_report(df: DataFrame, key: str = "PROJECT_ID") -> DataFrame:
+    """Table 2: per-project counts, rate % (2 dp), medians; short names; highest rate first."""
+    t = (df.groupBy(key)
+           .agg(F.count("COMMIT_HASH").alias("N_Commits"),
+                F.sum("BIC").cast("bigint").alias("N_BIC"),
+                F.round(F.avg("BIC") * 100, 2).alias("BIC_Rate_pct"),
+                F.median("SQALE_DEBT_RATIO").alias("TDR_Median"),
+                F.median("CHURN").alias("Churn_Median"),
+                F.sum("HAS_REFACTORING").cast("bigint").alias("N_Refactoring")))
+    return (t.orderBy(F.col("BIC_Rate_pct").desc(), F.col(key))
+             .withColumn(key, short_project(key)))
+
+
+def describe_by_label(df: DataFrame, variables: Sequence[str], label: str = "BIC") -> DataFrame:
+    """Table 1: N, mean, median, SD, min, max (4 dp) and missing % (2 dp) per variable
+    for label = 0, label = 1 and all rows (D10).
+
+    One pass: the variables are unpivoted to (Variable, value) and aggregated
+    with grouping sets ((Variable, label), (Variable)).
+    """
+    variables = [v for v in variables if v in df.columns]
+    long = (df.select(F.col(label).alias("_g"), *[F.col(v).cast("double").alias(v) for v in variables])
+              .unpivot("_g", variables, "Variable", "value"))
+    r4 = lambda c: F.round(c, 4)
+    agg = (long.groupingSets([["Variable", "_g"], ["Variable"]], "Variable", "_g")
+               .agg(F.grouping("_g").alias("_all"),
+                    F.count("value").alias("N"),
+                    r4(F.avg("value")).alias("Mean"),
+                    r4(F.median("value")).alias("Median"),
+                    r4(F.stddev_samp("value")).alias("SD"),
+                    r4(F.min("value")).alias("Min"),
+                    r4(F.max("value")).alias("Max"),
+                    F.round(F.avg(F.col("value").isNull().cast("double")) * 100, 2).alias("Missing_pct")))
+    grp = F.when(F.col("_all") == 1, F.lit("All")).otherwise(F.concat(F.lit(f"{label}="), F.col("_g").cast("string")))
+    return agg.select("Variable", grp.alias("Group"), "N", "Mean", "Median", "SD", "Min", "Max", "Missing_pct")
+
+
+def corr_matrix(df: DataFrame, variables: Sequence[str], digits: int = 2) -> DataFrame:
+    """Pairwise-complete Pearson correlations, long form, rounded.
+
+    Built from sample covariance and SDs over the pair-complete rows with
+    ``try_divide``, so a constant column yields NULL instead of an error.
+    """
+    variables = [v for v in variables if v in df.columns]
+    aggs = []
+    for i, a in enumerate(variables):
+        for b in variables[i:]:
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            xa, xb = F.when(both, F.col(a)), F.when(both, F.col(b))
+            r = F.try_divide(F.covar_samp(xa, xb), F.stddev_samp(xa) * F.stddev_samp(xb))
+            aggs.append(r.alias(f"{a}__{b}"))
+    wide = df.agg(*aggs)
+    pairs = []
+    for i, a in enumerate(variables):
+        for j, b in enumerate(variables):
+            x, y = (a, b) if i <= j else (b, a)
+            pairs.append(f"'{a}', '{b}', `{x}__{y}`")
+    long = wide.selectExpr(f"stack({len(pairs)}, {', '.join(pairs)}) AS (var1, var2, r)")
+    return long.withColumn("r", F.round(F.col("r"), digits))
+
+
+def inventory(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows, columns, missing cells and missing % (2 dp, 0 when empty) per table."""
+    parts = []
+    for name, df in tables.items():
+        ncol = len(df.columns)
+        miss = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0).cast("bigint"))
+        n = F.count(F.lit(1))
+        parts.append(df.agg(F.lit(name).alias("File"), n.alias("Rows"), F.lit(ncol).cast("bigint").alias("Cols"),
+                            miss.cast("bigint").alias("Missing_Cells"),
+                            F.when(n * ncol > 0, F.round(miss * 100.0 / (n * ncol), 2))
+                             .otherwise(F.lit(0.0)).alias("Missing_pct")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

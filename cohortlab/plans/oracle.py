@@ -144,5 +144,53 @@ def rounded(body: str, cols: list[str], digits: int = 6) -> str:
     """Wrap ``body`` so the listed double columns are rounded like the Spark side."""
     if not cols:
         return body
-    rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+    rep = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({body}) AS _q"
+
+# --- features ----------------------------------------------------------------------
+cte("fe_log", """
+  SELECT *, ln(1 + CHURN) AS log_churn, ln(1 + NCLOC) AS log_ncloc,
+         ln(1 + SQALE_INDEX) AS log_sqale_index, ln(1 + REF_COUNT) AS log_ref_count
+  FROM cohort""")
+cte("fe_imp", "SELECT * REPLACE (" + ", ".join(
+    f"coalesce({m}, median({m}) OVER (PARTITION BY PROJECT_ID), (SELECT median({m}) FROM fe_log)) AS {m}"
+    for m in MEAS) + ", " + ", ".join(
+    f"coalesce({c}, 0.0) AS {c}" for c in ["log_churn", "log_ncloc", "log_sqale_index", "log_ref_count"])
+    + ") FROM fe_log")
+cte("modeling", """
+  SELECT *, SQALE_DEBT_RATIO * HAS_REFACTORING AS TDR_x_REF,
+         SQALE_DEBT_RATIO * log_ref_count AS TDR_x_REFCOUNT,
+         CAST(dense_rank() OVER (ORDER BY PROJECT_ID) - 1 AS INTEGER) AS PROJECT_IDX,
+         CAST(row_number() OVER (PARTITION BY PROJECT_ID ORDER BY AUTHOR_DATE, COMMIT_HASH) - 1 AS BIGINT) AS TIME_IDX
+  FROM fe_imp""")
+cte("pan0", """
+  SELECT PROJECT_ID, CAST(date_trunc('month', AUTHOR_DATE) AS TIMESTAMP) AS PERIOD_START,
+         avg(SQALE_DEBT_RATIO) AS TDR_mean, max(SQALE_DEBT_RATIO) AS TDR_max,
+         sum(CHURN) AS CHURN_sum, avg(NCLOC) AS NCLOC_mean, count(COMMIT_HASH) AS N_COMMITS,
+         CAST(sum(BIC) AS BIGINT) AS BIC_COUNT, sum(REF_COUNT) AS REF_COUNT_sum
+  FROM fe_imp GROUP BY 1, 2""")
+cte("pan_fwd", """
+  SELECT p.PROJECT_ID, p.PERIOD_START,
+         avg(CASE WHEN c.AUTHOR_DATE <= p.PERIOD_START + INTERVAL 30 DAY THEN c.BIC END) AS BIC_RATE_NEXT_30D,
+         avg(CASE WHEN c.AUTHOR_DATE <= p.PERIOD_START + INTERVAL 60 DAY THEN c.BIC END) AS BIC_RATE_NEXT_60D,
+         avg(CASE WHEN c.AUTHOR_DATE <= p.PERIOD_START + INTERVAL 90 DAY THEN c.BIC END) AS BIC_RATE_NEXT_90D
+  FROM pan0 p LEFT JOIN fe_imp c
+    ON c.PROJECT_ID = p.PROJECT_ID AND c.AUTHOR_DATE > p.PERIOD_START
+   AND c.AUTHOR_DATE <= p.PERIOD_START + INTERVAL 90 DAY
+  GROUP BY 1, 2""")
+cte("panel_all", """
+  SELECT p.*, strftime(p.PERIOD_START, '%Y-%m') AS PERIOD,
+         CAST(BIC_COUNT AS DOUBLE) / N_COMMITS AS BIC_RATE,
+         lag(TDR_mean) OVER (PARTITION BY p.PROJECT_ID ORDER BY p.PERIOD_START) AS TDR_LAG1,
+         TDR_mean - lag(TDR_mean) OVER (PARTITION BY p.PROJECT_ID ORDER BY p.PERIOD_START) AS DELTA_TDR,
+         ln(1 + CHURN_sum) AS log_churn_sum, ln(1 + NCLOC_mean) AS log_ncloc,
+         f.BIC_RATE_NEXT_30D, f.BIC_RATE_NEXT_60D, f.BIC_RATE_NEXT_90D
+  FROM pan0 p LEFT JOIN pan_fwd f ON p.PROJECT_ID = f.PROJECT_ID AND p.PERIOD_START = f.PERIOD_START""")
+cte("qedges", "SELECT quantile_cont(SQALE_DEBT_RATIO, [0, 0.25, 0.5, 0.75, 1]) AS e FROM modeling")
+cte("quart", """
+  SELECT m.*, CASE WHEN SQALE_DEBT_RATIO IS NULL THEN NULL
+                   WHEN SQALE_DEBT_RATIO <= e[2] THEN 1 WHEN SQALE_DEBT_RATIO <= e[3] THEN 2
+                   WHEN SQALE_DEBT_RATIO <= e[4] THEN 3 ELSE 4 END AS quartile
+  FROM modeling m, qedges""")
+cte("qspine", """
+  SELECT * FROM (VALUES (1, 'Q1 (Low TD)'), (2, 'Q2'), (3, 'Q3'), (4, 'Q4 (High TD)')) AS t(quartile, Q)""")

@@ -42,7 +42,8 @@ def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            # "+ 0.0" folds a negative zero into 0.0 (same on the oracle side)
+            cols.append((F.round(F.col(f.name).cast("double"), digits) + F.lit(0.0)).alias(f.name))
         elif isinstance(f.dataType, T.TimestampType):
             cols.append(F.col(f.name).cast("timestamp_ntz").alias(f.name))
         else:
@@ -73,4 +74,4 @@ def sql_for(name: str) -> str | None:
 
 
 # importing the query modules fills REGISTRY
-from cohortlab.plans import queries_prep  # noqa: E402,F401
+from cohortlab.plans import queries_features, queries_prep  # noqa: E402,F401

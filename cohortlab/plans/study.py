@@ -13,7 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlab import config
-from cohortlab.operators import assemble
+from cohortlab.operators import assemble, features, panel
+from cohortlab.session import materialize
 from cohortlab.sources import fixtures
 
 
@@ -21,7 +22,7 @@ class Study:
     def __init__(self, spark: SparkSession, sf_dir: str | None = None,
                  raw: dict[str, DataFrame] | None = None, asof_bucket_micros: int | None = None,
                  min_commits: int = config.MIN_COMMITS_PER_PROJECT,
-                 min_snapshots: int = config.MIN_SONAR_SNAPSHOTS):
+                 min_snapshots: int = config.MIN_SONAR_SNAPSHOTS, materialize_stages: bool = True):
         if raw is None and sf_dir is None:
             raise ValueError("give sf_dir or raw tables")
         self.spark = spark
@@ -30,6 +31,10 @@ class Study:
         self.asof_bucket_micros = asof_bucket_micros
         self.min_commits = min_commits
         self.min_snapshots = min_snapshots
+        self.materialize_stages = materialize_stages
+
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name) if self.materialize_stages else df
 
     # -- sources -------------------------------------------------------------
     @cached_property
@@ -69,4 +74,22 @@ class Study:
 
     @cached_property
     def cohort(self) -> DataFrame:
-        return assemble.assemble_cohort(self.linked(), self.churn, self.bic_labels, self.refs)
+        return self._stage(
+            assemble.assemble_cohort(self.linked(), self.churn, self.bic_labels, self.refs), "cohort")
+
+    # -- features --------------------------------------------------------------
+    @cached_property
+    def imputed(self) -> DataFrame:
+        return self._stage(features.imputed_cohort(self.cohort), "imputed")
+
+    @cached_property
+    def modeling(self) -> DataFrame:
+        return self._stage(features.modeling_ready(self.imputed), "modeling_ready")
+
+    @cached_property
+    def panel_all(self) -> DataFrame:
+        return panel.panel_with_forward(self.imputed)
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        return self.panel_all.filter("DELTA_TDR IS NOT NULL")

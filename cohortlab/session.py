@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan in this package assumes.  They are applied with
 # ``setIfMissing`` semantics so a cluster's own configuration wins.
@@ -28,7 +30,10 @@ def get_session(master: str | None = None, app: str = "cohortlab",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    b = b.config("spark.ui.enabled", "false")
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            b = b.config("spark.driver.memory", os.environ.get("COHORTLAB_DRIVER_MEMORY", "8g"))
+    b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     for k, v in REQUIRED_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
@@ -71,3 +76,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
+
+
+_RUN_ID = uuid.uuid4().hex[:12]
+_SEQ = itertools.count()
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage between stages (a lost executor never forces a recompute of
+    the upstream joins) and keeps later plans small; the read-back scan gets
+    Parquet statistics, pushdown and pruning.
+    """
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/cohortlab-{_RUN_ID}/{next(_SEQ):05d}-{name}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

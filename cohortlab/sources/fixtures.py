@@ -17,8 +17,23 @@ DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "
                  "conversations"]
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet scan of one driver table.
+
+    The scan DataFrame is reused per (session, path): listing files and
+    reading footers is paid once, and identical scans let Spark reuse
+    exchanges inside one plan.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _READS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _READS[key] = df
+    return df
 
 
 def _ts(c):
