@@ -52,7 +52,6 @@ TIMESTAMP_FORMATS = [
     "yyyy-MM-dd",
     "yyyy/MM/dd HH:mm:ss",
     "yyyy/MM/dd",
-    "EEE MMM dd HH:mm:ss yyyy Z",
 ]
 
 

@@ -248,3 +248,7 @@ cte("m_cm", """
          (SELECT count(*) FROM scores_long s WHERE s.model = m.model AND s.label = l.label
             AND CAST(s.score >= 0.5 AS INTEGER) = p.predicted) AS n
   FROM (SELECT DISTINCT model FROM scores_long) m, (VALUES (0), (1)) l(label), (VALUES (0), (1)) p(predicted)""")
+
+cte("fx_projects", """
+  SELECT 'org.apache:' || n_name AS PROJECT_ID, n_name AS NAME, r_name AS REGION
+  FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""")
