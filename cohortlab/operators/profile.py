@@ -129,3 +129,41 @@ def inventory(tables: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def vif(df: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """Variance inflation factors over all complete rows, highest first.
+
+    One aggregate pass collects n, sums and cross-products (a fixed number of
+    scalars, k(k+3)/2); on the driver the k x k correlation matrix is
+    inverted and VIF_i is its i-th diagonal element (= 1 / (1 - R_i^2) of
+    the OLS of x_i on the others with a constant).
+    """
+    import numpy as np
+
+    variables = [v for v in variables if v in df.columns]
+    d = df.select(*[F.col(v).cast("double").alias(v) for v in variables]).na.drop()
+    k = len(variables)
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(v).alias(f"s{i}") for i, v in enumerate(variables)]
+    for i in range(k):
+        for j in range(i, k):
+            aggs.append(F.sum(F.col(variables[i]) * F.col(variables[j])).alias(f"p{i}_{j}"))
+    row = d.agg(*aggs).first()
+    n = row["n"]
+    s = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
+    p = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
+            p[i, j] = p[j, i] = row[f"p{i}_{j}"] or 0.0
+    cov = (p - np.outer(s, s) / n) / max(n - 1, 1)
+    sd = np.sqrt(np.diag(cov))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        corr = cov / np.outer(sd, sd)
+        try:
+            inv = np.linalg.inv(corr)
+            vals = [float(x) for x in np.diag(inv)]
+        except np.linalg.LinAlgError:
+            vals = [float("inf")] * k
+    spark = df.sparkSession
+    out = spark.createDataFrame([(v, x) for v, x in zip(variables, vals)], "Variable string, VIF double")
+    return out.orderBy(F.col("VIF").desc())

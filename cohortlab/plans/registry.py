@@ -74,4 +74,5 @@ def sql_for(name: str) -> str | None:
 
 
 # importing the query modules fills REGISTRY
-from cohortlab.plans import queries_eval, queries_features, queries_more, queries_prep  # noqa: E402,F401
+from cohortlab.plans import (queries_eval, queries_features, queries_models, queries_more,  # noqa: E402,F401
+                             queries_prep)
