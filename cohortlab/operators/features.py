@@ -47,10 +47,11 @@ def impute_group_median(df: DataFrame, cols: Sequence[str], group: str = "PROJEC
     if not cols:
         return df
     gm = broadcast_if_small(df.groupBy(group).agg(*[F.median(c).alias(f"_gm_{c}") for c in cols]))
-    glob = df.agg(*[F.median(c).alias(c) for c in cols])
+    # one scalar subquery carrying all global medians
+    glob = df.agg(F.struct(*[F.median(c).alias(c) for c in cols]).alias("m")).scalar()
     out = df.join(gm, on=group, how="left")
     out = out.withColumns({
-        c: F.coalesce(F.col(c), F.col(f"_gm_{c}"), glob.select(c).scalar()) for c in cols})
+        c: F.coalesce(F.col(c), F.col(f"_gm_{c}"), glob.getField(c)) for c in cols})
     return out.drop(*[f"_gm_{c}" for c in cols])
 
 

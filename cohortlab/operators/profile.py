@@ -93,25 +93,24 @@ def describe_by_label(df: DataFrame, variables: Sequence[str], label: str = "BIC
 def corr_matrix(df: DataFrame, variables: Sequence[str], digits: int = 2) -> DataFrame:
     """Pairwise-complete Pearson correlations, long form, rounded.
 
-    Built from sample covariance and SDs over the pair-complete rows with
-    ``try_divide``, so a constant column yields NULL instead of an error.
+    Each row is expanded into its (var1, var2, a, b) pairs of the upper
+    triangle and reduced by one grouped aggregate over the pair-complete
+    values; the ratio uses ``try_divide``, so a constant column yields NULL
+    instead of an error.  The lower triangle is the mirror image.
     """
     variables = [v for v in variables if v in df.columns]
-    aggs = []
-    for i, a in enumerate(variables):
-        for b in variables[i:]:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            xa, xb = F.when(both, F.col(a)), F.when(both, F.col(b))
-            r = F.try_divide(F.covar_samp(xa, xb), F.stddev_samp(xa) * F.stddev_samp(xb))
-            aggs.append(r.alias(f"{a}__{b}"))
-    wide = df.agg(*aggs)
-    pairs = []
-    for i, a in enumerate(variables):
-        for j, b in enumerate(variables):
-            x, y = (a, b) if i <= j else (b, a)
-            pairs.append(f"'{a}', '{b}', `{x}__{y}`")
-    long = wide.selectExpr(f"stack({len(pairs)}, {', '.join(pairs)}) AS (var1, var2, r)")
-    return long.withColumn("r", F.round(F.col("r"), digits))
+    pairs = [(a, b) for i, a in enumerate(variables) for b in variables[i:]]
+    arr = F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
+                             F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+                    for a, b in pairs])
+    long = df.select(F.inline(arr)).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    up = long.groupBy("var1", "var2").agg(
+        F.try_divide(F.covar_samp("a", "b"), F.stddev_samp("a") * F.stddev_samp("b")).alias("r"))
+    spine = df.sparkSession.createDataFrame(pairs, "var1 string, var2 string")
+    up = F.broadcast(spine).join(up, ["var1", "var2"], "left")          # fixed k(k+1)/2 rows
+    low = up.filter(F.col("var1") != F.col("var2")).select(
+        F.col("var2").alias("var1"), F.col("var1").alias("var2"), "r")
+    return up.unionByName(low).withColumn("r", F.round(F.col("r"), digits))
 
 
 def inventory(tables: dict[str, DataFrame]) -> DataFrame:

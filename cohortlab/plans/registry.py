@@ -51,8 +51,17 @@ def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
+_SHARED: dict[tuple[int, str], Study] = {}
+
+
+def share_study(study: Study) -> None:
+    """Make later query calls on the same (session, directory) reuse ``study``'s
+    materialized stages (a pipeline run followed by report queries)."""
+    _SHARED[(id(study.spark), study.sf_dir)] = study
+
+
 def _study_cache(spark: SparkSession, sf_dir: str) -> Study:
-    return Study(spark, sf_dir)
+    return _SHARED.get((id(spark), sf_dir)) or Study(spark, sf_dir)
 
 
 def spark_callable(name: str) -> Callable[[SparkSession, str], DataFrame]:

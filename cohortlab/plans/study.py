@@ -1,9 +1,10 @@
 """The study as lazily built stage DataFrames.
 
 ``Study`` memoises each stage's *plan* (not its data); every accessor returns
-a DataFrame that Catalyst optimises as a whole.  ``persist_stage`` writes a
-stage to the shared checkpoint folder to cut lineage between stages, like the
-original pipeline's Parquet hand-offs (A9, A10, A13).
+a DataFrame that Catalyst optimises as a whole.  The cohort and the modeling
+table -- the tables the original pipeline persists -- are written to the
+shared checkpoint folder and read back, which cuts lineage between stages
+(A9, A10, A13) and keeps downstream plans small.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlab import config
 from cohortlab.operators import assemble, features, panel
@@ -39,7 +41,12 @@ class Study:
     # -- sources -------------------------------------------------------------
     @cached_property
     def raw(self) -> dict[str, DataFrame]:
-        return self._raw if self._raw is not None else fixtures.raw_tables(self.spark, self.sf_dir)
+        if self._raw is not None:
+            return self._raw
+        # the fixture intermediates stay inside the cohort's plan: staging them
+        # costs more writes than the recomputation it saves (measured at sf0.1);
+        # pass stage=self._stage to fixtures.raw_tables to stage the ingest
+        return fixtures.raw_tables(self.spark, self.sf_dir)
 
     @cached_property
     def clean(self) -> dict[str, DataFrame]:
@@ -67,8 +74,20 @@ class Study:
         return assemble.snapshot_base(self.clean["sonar_analysis"], self.clean["sonar_measures"],
                                       self.min_snapshots)
 
+    @cached_property
+    def linked_all(self) -> DataFrame:
+        """Every base commit with its as-of match (NULL payload when none) and ``_matched``."""
+        return assemble.link_snapshots(self.base, self.snapshots, how="left",
+                                       bucket_micros=self.asof_bucket_micros, matched_col="_matched")
+
     def linked(self, allow_exact: bool = True, how: str = "inner",
                matched_col: str | None = None) -> DataFrame:
+        if allow_exact:
+            d = self.linked_all
+            if how == "inner":
+                d = d.filter(F.col("_matched"))
+            return d if matched_col == "_matched" else (
+                d.withColumnRenamed("_matched", matched_col) if matched_col else d.drop("_matched"))
         return assemble.link_snapshots(self.base, self.snapshots, allow_exact=allow_exact, how=how,
                                        bucket_micros=self.asof_bucket_micros, matched_col=matched_col)
 
@@ -80,7 +99,7 @@ class Study:
     # -- features --------------------------------------------------------------
     @cached_property
     def imputed(self) -> DataFrame:
-        return self._stage(features.imputed_cohort(self.cohort), "imputed")
+        return features.imputed_cohort(self.cohort)
 
     @cached_property
     def modeling(self) -> DataFrame:

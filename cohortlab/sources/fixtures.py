@@ -61,19 +61,17 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _commit_keys(spark, sf_dir):
-    # (orderkey -> project) for the lineitem-derived tables; joined on the
-    # integer key so the scan keeps its native type.
-    cm = commits(spark, sf_dir)
-    return cm.select("PROJECT_ID", "COMMIT_HASH",
-                     F.col("COMMIT_HASH").cast("bigint").alias("_ok"))
+def lineitem_commits(spark: SparkSession, sf_dir: str, commits_df: DataFrame | None = None) -> DataFrame:
+    """lineitem rows with their commit key: the one join the three line-level tables share."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus", "l_tax", "l_discount")
+    cm = commits_df if commits_df is not None else commits(spark, sf_dir)
+    k = cm.select("PROJECT_ID", "COMMIT_HASH", F.col("COMMIT_HASH").cast("bigint").alias("_ok"))
+    return li.join(k, li.l_orderkey == k._ok).drop("_ok", "l_orderkey")
 
 
-def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_quantity", "l_returnflag", "l_tax")
-    k = _commit_keys(spark, sf_dir)
-    j = li.join(k, li.l_orderkey == k._ok)
+def changes(spark: SparkSession, sf_dir: str, li: DataFrame | None = None) -> DataFrame:
+    j = li if li is not None else lineitem_commits(spark, sf_dir)
     return j.select(
         "PROJECT_ID", "COMMIT_HASH",
         F.col("l_quantity").cast("bigint").alias("LINES_ADDED"),
@@ -82,13 +80,10 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def szz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_returnflag", "l_linestatus", "l_discount")
-    li = li.filter((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
-                   & (F.round(F.col("l_discount") * 100) >= 8))
-    k = _commit_keys(spark, sf_dir)
-    j = li.join(k, li.l_orderkey == k._ok)
+def szz(spark: SparkSession, sf_dir: str, li: DataFrame | None = None) -> DataFrame:
+    j = li if li is not None else lineitem_commits(spark, sf_dir)
+    j = j.filter((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
+                 & (F.round(F.col("l_discount") * 100) >= 8))
     return j.select(
         "PROJECT_ID",
         F.col("l_partkey").cast("string").alias("FAULT_FIXING_COMMIT_HASH"),
@@ -96,12 +91,9 @@ def szz(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def refactoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_returnflag", "l_linestatus", "l_tax")
-    li = li.filter(F.round(F.col("l_tax") * 100) >= 7)
-    k = _commit_keys(spark, sf_dir)
-    j = li.join(k, li.l_orderkey == k._ok)
+def refactoring(spark: SparkSession, sf_dir: str, li: DataFrame | None = None) -> DataFrame:
+    j = li if li is not None else lineitem_commits(spark, sf_dir)
+    j = j.filter(F.round(F.col("l_tax") * 100) >= 7)
     return j.select("PROJECT_ID", "COMMIT_HASH",
                     F.concat("l_returnflag", "l_linestatus").alias("REFACTORING_TYPE"))
 
@@ -126,13 +118,13 @@ def _snap_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.sum(F.col("l_quantity").cast("bigint")).cast("bigint").alias("q")))
 
 
-def sonar_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _snap_raw(spark, sf_dir).select(
+def sonar_analysis(spark: SparkSession, sf_dir: str, snap: DataFrame | None = None) -> DataFrame:
+    return (snap if snap is not None else _snap_raw(spark, sf_dir)).select(
         "PROJECT_ID", "ANALYSIS_KEY", "DATE", F.col("ANALYSIS_KEY").alias("REVISION"))
 
 
-def sonar_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _snap_raw(spark, sf_dir)
+def sonar_measures(spark: SparkSession, sf_dir: str, snap: DataFrame | None = None) -> DataFrame:
+    r = snap if snap is not None else _snap_raw(spark, sf_dir)
     dbl = lambda e: e.cast("double")
     return r.select(
         "PROJECT_ID", "ANALYSIS_KEY",
@@ -158,16 +150,25 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("n_name").alias("NAME"), F.col("r_name").alias("REGION")))
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The seven logical raw inputs of the study, keyed like its loader."""
+def raw_tables(spark: SparkSession, sf_dir: str, stage=None) -> dict[str, DataFrame]:
+    """The seven logical raw inputs of the study, keyed like its loader.
+
+    ``stage(df, name)`` (optional) materializes the three shared intermediates
+    -- commits, lineitem joined to its commit, per-day snapshot sums -- so the
+    fixture joins run once; the seven tables are projections of them.
+    """
+    st = stage or (lambda d, _n: d)
+    cm = st(commits(spark, sf_dir), "raw_commits")
+    li = st(lineitem_commits(spark, sf_dir, cm), "raw_lineitem_commits")
+    snap = st(_snap_raw(spark, sf_dir), "raw_snapshots")
     return {
-        "commits": commits(spark, sf_dir),
-        "changes": changes(spark, sf_dir),
+        "commits": cm,
+        "changes": changes(spark, sf_dir, li),
         "projects": projects(spark, sf_dir),
-        "szz": szz(spark, sf_dir),
-        "refactoring": refactoring(spark, sf_dir),
-        "sonar_analysis": sonar_analysis(spark, sf_dir),
-        "sonar_measures": sonar_measures(spark, sf_dir),
+        "szz": szz(spark, sf_dir, li),
+        "refactoring": refactoring(spark, sf_dir, li),
+        "sonar_analysis": sonar_analysis(spark, sf_dir, snap),
+        "sonar_measures": sonar_measures(spark, sf_dir, snap),
     }
 
 
