@@ -8,6 +8,7 @@ the same fitted model do not retrain it.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from cohortlab import config
@@ -21,7 +22,8 @@ _FITS: dict = {}
 def _split_tables(s):
     key = (id(s.spark), s.sf_dir, "split")
     if key not in _FITS:
-        sp = materialize(split.chrono_split(s.modeling), "split")
+        # short lineage (staged modeling table + one count join): persisted, not written
+        sp = split.chrono_split(s.modeling).persist(StorageLevel.MEMORY_AND_DISK)
         train = sp.filter(F.col("split") == "train")
         _FITS[key] = (sp, train, sp.filter(F.col("split") == "test"), models.vocabulary(train))
     return _FITS[key]
@@ -125,3 +127,17 @@ def vif_q(s):
 @register("hash_sample", ops="F5 F6")
 def hash_sample(s):
     return models.hash_sample(s.modeling, 3000)
+
+
+@register("attribution", ops="J14 F4 F6")
+def attribution_boosted(s):
+    """Mean |SHAP| (log-odds) of the six core features of the boosted model over all test rows."""
+    from cohortlab.operators import treeshap
+    _, _, test, _ = _split_tables(s)
+    f = _fit(s, "M5_xgboost")
+    path = f"{checkpoint_dir(s.spark).rstrip('/')}/cohortlab-{_RUN_ID}/{next(_SEQ):05d}-model-M5"
+    models.save(f, path)
+    trees = treeshap.load_trees(s.spark, path)
+    x = models.assemble(test, f.design, False, keep=("COMMIT_HASH",))
+    phi = treeshap.attribution_frame(x, "features", trees, list(f.model.treeWeights), f.design.columns)
+    return treeshap.summarize(phi, [c for c in config.ATTRIBUTION_FEATURES if c in f.design.columns])

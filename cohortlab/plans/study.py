@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,7 +100,9 @@ class Study:
     # -- features --------------------------------------------------------------
     @cached_property
     def imputed(self) -> DataFrame:
-        return features.imputed_cohort(self.cohort)
+        # short lineage (staged cohort + one median aggregate) and four consumers:
+        # persisted (memory and disk; a lost block is recomputed from the cohort)
+        return features.imputed_cohort(self.cohort).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def modeling(self) -> DataFrame:
