@@ -7,33 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlab import config
+from cohortlab.functions.quantiles import quantile_values
 from cohortlab.functions.scalar import rate_bucket, short_project
 
 
-def quantile_edges(df: DataFrame, col: str, q: int = 4) -> Column:
-    """Exact, linearly interpolated edges at 0, 1/q, ..., 1 as a scalar-subquery array."""
-    probs = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    return df.agg(F.percentile(F.col(col), probs).alias("e")).scalar()
+def quantile_edges(df: DataFrame, col: str, q: int = 4) -> list[float]:
+    """Exact, linearly interpolated edges at 0, 1/q, ..., 1 (no single-task value map)."""
+    return quantile_values(df, [col], [i / q for i in range(q + 1)])[col]
 
 
 def qcut(df: DataFrame, col: str, q: int = 4, out: str = "quartile") -> DataFrame:
-    """Equal-frequency buckets 1..q like ``qcut``: right-closed, lowest edge included.
+    """Equal-frequency buckets 1..q like ``qcut``: right-closed, lowest edge included.
 
-    Duplicate edges raise (inside the plan, via ``raise_error``) as qcut does.
-    NULL values get a NULL bucket.
+    Duplicate edges raise ``ValueError`` as qcut does.  NULL values get a NULL bucket.
     """
     e = quantile_edges(df, col, q)
-    d = df.withColumn("_e", e)
-    dup = F.exists(F.sequence(F.lit(1), F.lit(q)), lambda i: F.element_at("_e", i) >= F.element_at("_e", i + 1))
+    if e[0] is None:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    if any(a >= b for a, b in zip(e, e[1:])):
+        raise ValueError(f"duplicate quantile edges for {col}: {e}")
     x = F.col(col)
-    b = F.when(x <= F.element_at("_e", 2), F.lit(1))
+    b = F.when(x <= F.lit(e[1]), F.lit(1))
     for i in range(2, q):
-        b = b.when(x <= F.element_at("_e", i + 1), F.lit(i))
+        b = b.when(x <= F.lit(e[i]), F.lit(i))
     b = b.otherwise(F.lit(q))
-    bucket = F.when(x.isNull(), F.lit(None).cast("int")) \
-              .when(dup, F.raise_error(F.lit(f"duplicate quantile edges for {col}")).cast("int")) \
-              .otherwise(b)
-    return d.withColumn(out, bucket).drop("_e")
+    return df.withColumn(out, F.when(x.isNull(), F.lit(None).cast("int")).otherwise(b))
 
 
 def _spine(spark: SparkSession, q: int, labels: list[str]) -> DataFrame:

@@ -23,20 +23,23 @@ def bic_by_project(cohort: DataFrame, key: str = "PROJECT_ID", label: str = "BIC
                   .orderBy(F.col("BIC_rate").desc(), F.col(key)))
 
 
+def _summary(df: DataFrame, col: str, prefix: str) -> DataFrame:
+    from cohortlab.functions.quantiles import quantile_values
+    med = quantile_values(df, [col], [0.5])[col][0]
+    return df.agg(F.count(F.lit(1)).alias("n_commits"),
+                  F.lit(med).cast("double").alias(f"{prefix}_median"),
+                  F.avg(col).alias(f"{prefix}_mean"),
+                  F.max(col).alias(f"{prefix}_max"))
+
+
 def churn_summary(churn_df: DataFrame) -> DataFrame:
     """Median, mean and max of CHURN over the per-commit churn table."""
-    return churn_df.agg(F.count(F.lit(1)).alias("n_commits"),
-                        F.median("CHURN").alias("churn_median"),
-                        F.avg("CHURN").alias("churn_mean"),
-                        F.max("CHURN").alias("churn_max"))
+    return _summary(churn_df, "CHURN", "churn")
 
 
 def ref_count_summary(refs: DataFrame) -> DataFrame:
     """Median, mean and max of REF_COUNT over commits with refactoring rows."""
-    return refs.agg(F.count(F.lit(1)).alias("n_commits"),
-                    F.median("REF_COUNT").alias("ref_count_median"),
-                    F.avg("REF_COUNT").alias("ref_count_mean"),
-                    F.max("REF_COUNT").alias("ref_count_max"))
+    return _summary(refs, "REF_COUNT", "ref_count")
 
 
 def cohort_summary(cohort: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlab import config
+from cohortlab.functions.quantiles import quantile_values
 from cohortlab.functions.sizing import broadcast_if_small
 from cohortlab.operators.features import time_index
 
@@ -80,15 +81,15 @@ def standardize(df: DataFrame, params: DataFrame, features: Sequence[str], suffi
 
 def train_medians(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """Exact train median per feature, the fill value of the alternative matrix builder."""
-    wide = train.agg(*[F.median(f).alias(f) for f in features])
-    stack = ", ".join(f"'{f}', `{f}`" for f in features)
-    return wide.selectExpr(f"stack({len(features)}, {stack}) AS (feature, train_median)")
+    med = quantile_values(train, features, [0.5])
+    return train.sparkSession.createDataFrame([(f, med[f][0]) for f in features],
+                                              "feature string, train_median double")
 
 
 def fill_train_median(df: DataFrame, train: DataFrame, features: Sequence[str]) -> DataFrame:
     """NULL -> train median for each feature (I3), medians as scalar subqueries."""
-    med = train.agg(*[F.median(f).alias(f) for f in features])
-    return df.withColumns({f: F.coalesce(F.col(f), med.select(f).scalar()) for f in features})
+    med = quantile_values(train, features, [0.5])
+    return df.withColumns({f: F.coalesce(F.col(f), F.lit(med[f][0]).cast("double")) for f in features})
 
 
 def project_vocabulary(train: DataFrame, group: str = "PROJECT_ID", drop_first: bool = True) -> DataFrame:

@@ -124,3 +124,15 @@ def test_empty_quartile_kept(spark):
     df = spark.createDataFrame(rows, "SQALE_DEBT_RATIO double, BIC int")
     out = buckets.rate_by_quartile(df).collect()
     assert [r.quartile for r in out] == [1, 2, 3, 4] and sum(r.n for r in out) == 8
+
+
+def test_exact_quantiles_refinement_with_heavy_tie(spark):
+    from cohortlab.functions.quantiles import exact_quantiles, quantile_values
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=3000), np.zeros(1500), rng.exponential(size=800) * 1e6])
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    probs = [0, .25, .5, .75, 1, 0.3333]
+    got = exact_quantiles(df, "v", probs, buckets=16, leaf_rows=200)
+    assert np.allclose(got, np.quantile(x, probs), rtol=0, atol=0)
+    assert np.allclose(quantile_values(df, ["v"], probs, distinct_bound=10)["v"], np.quantile(x, probs), atol=0)
+    assert np.allclose(quantile_values(df, ["v"], probs)["v"], np.quantile(x, probs), atol=1e-9)
