@@ -32,7 +32,7 @@ def log_feature_moments(s):
 
 
 @register("impute_group_median", "SELECT PROJECT_ID, COMMIT_HASH, " + ", ".join(MEAS) + " FROM fe_imp",
-          doubles=MEAS, ops="E4 D16 B6")
+          doubles=MEAS, ops="E4 D16 B6 C10")
 def impute_group_median(s):
     return s.imputed.select("PROJECT_ID", "COMMIT_HASH", *MEAS)
 
@@ -91,7 +91,7 @@ _PANEL_D = ["TDR_mean", "TDR_max", "CHURN_sum", "NCLOC_mean", "REF_COUNT_sum", "
 @register("panel_month", """
   SELECT PROJECT_ID, PERIOD, PERIOD_START, TDR_mean, TDR_max, CHURN_sum, NCLOC_mean, N_COMMITS,
          BIC_COUNT, REF_COUNT_sum, BIC_RATE FROM panel_all""",
-          doubles=["TDR_mean", "TDR_max", "CHURN_sum", "NCLOC_mean", "REF_COUNT_sum", "BIC_RATE"], ops="D9 H7")
+          doubles=["TDR_mean", "TDR_max", "CHURN_sum", "NCLOC_mean", "REF_COUNT_sum", "BIC_RATE"], ops="D9 H7 H11")
 def panel_month(s):
     return panel.panel_month(s.imputed).select(
         "PROJECT_ID", "PERIOD", "PERIOD_START", "TDR_mean", "TDR_max", "CHURN_sum", "NCLOC_mean",
@@ -136,7 +136,7 @@ _DESC = " UNION ALL ".join(f"""
         UNION ALL SELECT CAST({v} AS DOUBLE), 'All' FROM modeling) GROUP BY g""" for v in config.DESCRIBE_VARIABLES)
 
 
-@register("describe_by_label", _DESC, doubles=["Mean", "Median", "SD", "Min", "Max", "Missing_pct"], ops="D10")
+@register("describe_by_label", _DESC, doubles=["Mean", "Median", "SD", "Min", "Max", "Missing_pct"], ops="D10 B16")
 def describe_by_label(s):
     return profile.describe_by_label(s.modeling, config.DESCRIBE_VARIABLES)
 

@@ -56,7 +56,7 @@ def _scores(s, names):
     return out.withColumnRenamed(config.TARGET, "label")
 
 
-@register("fit_logistic", ops="I6 I11 I2 I4 I5 I13 H2 H4")
+@register("fit_logistic", ops="I6 I11 I2 I4 I5 I13 H2 H4 G2")
 def fit_logistic(s):
     out = None
     for n in ["M1_lr_baseline", "M2_lr_tdr_rq1", "M3_lr_tdr_ref_rq2"]:
@@ -119,7 +119,7 @@ def attribution_linear(s):
     return attribution.linear_attribution(_fit(s, "M3_lr_tdr_ref_rq2"), test, background=train)
 
 
-@register("vif", ops="D20 B10")
+@register("vif", ops="D20 B10 G4")
 def vif_q(s):
     return profile.vif(s.imputed, config.VIF_VARIABLES)
 
@@ -129,7 +129,7 @@ def hash_sample(s):
     return models.hash_sample(s.modeling, 3000)
 
 
-@register("attribution", ops="J14 F4 F6")
+@register("attribution", ops="J14 F4 F6 H3")
 def attribution_boosted(s):
     """Mean |SHAP| (log-odds) of the six core features of the boosted model over all test rows."""
     from cohortlab.operators import treeshap

@@ -98,7 +98,7 @@ def ref_count_summary(s):
          avg(BIC) * 100 AS bic_pct, count(*) FILTER (WHERE BIC = 0) AS n_non_bic,
          CAST(sum(HAS_REFACTORING) AS BIGINT) AS n_refactoring, avg(HAS_REFACTORING) * 100 AS refactoring_pct,
          CAST(min(AUTHOR_DATE) AS DATE) AS first_date, CAST(max(AUTHOR_DATE) AS DATE) AS last_date
-  FROM cohort""", doubles=["bic_pct", "refactoring_pct"], ops="D6 H9")
+  FROM cohort""", doubles=["bic_pct", "refactoring_pct"], ops="D6 H9 D4")
 def cohort_summary(s):
     return profile.cohort_summary(s.cohort)
 
@@ -127,3 +127,14 @@ def csv_report_roundtrip(s):
     back = csv_src.read_csv(s.spark, path, infer=True)
     return back.select(F.col("PROJECT_ID").cast("string"), F.col("N").cast("bigint"),
                        F.col("BIC_count").cast("bigint"))
+
+
+@register("stage_roundtrip", "SELECT * FROM modeling",
+          doubles=MEAS + ["LINES_ADDED", "LINES_REMOVED", "CHURN", "REF_COUNT", "log_churn", "log_ncloc",
+                          "log_sqale_index", "log_ref_count", "TDR_x_REF", "TDR_x_REFCOUNT"], ops="A9 A10 A13")
+def stage_roundtrip(s):
+    """Preprocessing writes its Parquet outputs; the feature stage re-reads the cohort from disk."""
+    from cohortlab.plans import pipeline
+    out = _scratch(s, "pipeline")
+    pipeline.run_preprocessing(s, out)
+    return pipeline.run_features(s.spark, out, cohort=None)

@@ -12,12 +12,12 @@ from cohortlab.plans.registry import register
 M = ", ".join(MEAS)
 
 
-@register("commit_base", "SELECT * FROM base", ops="B8 C2 B2 B3")
+@register("commit_base", "SELECT * FROM base", ops="B8 C2 B2 B3 B1 D3")
 def commit_base(s):
     return s.base
 
 
-@register("churn", "SELECT * FROM churn", ops="D1 B6")
+@register("churn", "SELECT * FROM churn", ops="D1 B6 B13")
 def churn(s):
     return s.churn
 
@@ -37,7 +37,7 @@ def snapshot_base(s):
     return s.snapshots
 
 
-@register("asof_link", "SELECT * FROM linked", doubles=MEAS, ops="C4 C5")
+@register("asof_link", "SELECT * FROM linked", doubles=MEAS, ops="C4 C5 G1")
 def asof_link(s):
     return s.linked()
 
@@ -65,6 +65,6 @@ def cohort(s):
 @register("bic_by_project", """
   SELECT PROJECT_ID, count(*) AS N, CAST(sum(BIC) AS BIGINT) AS BIC_count, avg(BIC) AS BIC_rate,
          round(avg(BIC) * 100, 1) AS BIC_rate_pct
-  FROM cohort GROUP BY PROJECT_ID""", doubles=["BIC_rate", "BIC_rate_pct"], ops="D7 F2")
+  FROM cohort GROUP BY PROJECT_ID""", doubles=["BIC_rate", "BIC_rate_pct"], ops="D7 F2 B13 H11")
 def bic_by_project(s):
     return profile.bic_by_project(s.cohort)
