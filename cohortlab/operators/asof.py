@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_MICROS = 86_400_000_000
+HOUR_MICROS = 3_600_000_000
 
 
 def _micros(c: str):
@@ -30,16 +31,25 @@ def _micros(c: str):
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str,
               payload: Sequence[str], tiebreak: Sequence[str] = (), allow_exact: bool = True,
-              how: str = "inner", bucket_micros: int | None = DAY_MICROS,
-              matched_col: str | None = None) -> DataFrame:
+              how: str = "inner", bucket_micros: int | None = HOUR_MICROS,
+              matched_col: str | None = None, dedupe: bool = False) -> DataFrame:
     """Attach to each ``left`` row the ``payload`` of its backward as-of match.
 
     ``by``: equality keys (NULL keys never match).  ``tiebreak``: right columns
     ordering rows with equal time; the largest wins (S2).  ``how='inner'``
     drops unmatched left rows (C5), ``'left'`` keeps them with NULL payload.
     ``matched_col`` adds a boolean match flag.
+
+    ``dedupe=True`` first reduces both sides to one row per (key, instant) --
+    the match depends only on (key, left time), and of equal right instants
+    only the largest tiebreak can win -- with partial aggregates, runs the
+    window on those, and joins the matches back on the unique (key, time).
+    Use it when single instants are hot (bursts of identical timestamps).
     """
     by, payload, tiebreak = list(by), list(payload), list(tiebreak)
+    if dedupe:
+        return _asof_dedupe(left, right, by, left_on, right_on, payload, tiebreak, allow_exact, how,
+                            bucket_micros, matched_col)
     lcols = left.columns
     clash = [c for c in payload if c in lcols and c not in by]
     if clash:
@@ -101,6 +111,29 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     return out.select(*sel)
 
 
+def _asof_dedupe(left, right, by, left_on, right_on, payload, tiebreak, allow_exact, how, bucket_micros,
+                 matched_col):
+    lt = "_lt"
+    keys = left.select(*[F.col(k) for k in by], F.col(left_on).cast("timestamp").alias(lt)).distinct()
+    order = [F.col(c) for c in tiebreak] + [F.col(c) for c in payload if c not in tiebreak]
+    r = right.filter(F.col(right_on).isNotNull())
+    r = (r.groupBy(*by, F.col(right_on).cast("timestamp").alias("_rt"))
+          .agg(F.max(F.struct(*order)).alias("_m")))
+    r = r.select(*by, "_rt", *[F.col(f"_m.{c}").alias(c) for c in dict.fromkeys(tiebreak + payload)])
+    m = asof_join(keys, r, by, lt, "_rt", payload, tiebreak, allow_exact, "left", bucket_micros, "_mm")
+    # one row per (key, left time): the join back never fans out
+    cond = [left[k].eqNullSafe(m[k]) for k in by] + [left[left_on].cast("timestamp").eqNullSafe(m[lt])]
+    j = left.join(m, on=cond, how="left")
+    if how == "inner":
+        j = j.filter(F.col("_mm"))
+    elif how != "left":
+        raise ValueError("how must be 'inner' or 'left'")
+    sel = [left[c] for c in left.columns] + [m[c] for c in payload]
+    if matched_col:
+        sel.append(F.coalesce(m["_mm"], F.lit(False)).alias(matched_col))
+    return j.select(*sel)
+
+
 def asof_coverage(linked_left: DataFrame, matched_col: str = "_matched") -> DataFrame:
     """Link coverage over *all* left rows (D8, S11): total, linked, unlinked, percents."""
     n = F.count(F.lit(1))

@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_MICROS = 86_400_000_000
+HOUR_MICROS = 3_600_000_000
 
 
-def time_bucket(col: str, bucket_micros: int = DAY_MICROS) -> Column:
+def time_bucket(col: str, bucket_micros: int = HOUR_MICROS) -> Column:
     return F.floor(F.unix_micros(F.col(col).cast("timestamp")) / F.lit(int(bucket_micros)))
 
 

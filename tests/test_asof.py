@@ -80,3 +80,21 @@ def test_random_against_pandas_merge_asof(spark):
     r = spark.createDataFrame(right, R_SCHEMA).repartition(7)
     out = asof_join(l_.repartition(3), r, ["k"], "t", "d", ["d", "v"])
     assert out.filter(F.col("d") > F.col("t")).count() == 0
+
+
+def test_dedupe_mode_equals_plain_with_hot_instants(spark):
+    rnd = random.Random(3)
+    base = T("2021-01-01 00:00:00")
+    left, right = [], []
+    for i in range(300):
+        k = rnd.choice("ab")
+        t = base if i % 3 == 0 else base + dt.timedelta(hours=rnd.randint(0, 24 * 30))   # a hot instant
+        left.append((k, f"c{i}", t))
+    for i in range(120):
+        k = rnd.choice("abc")
+        t = base if i % 4 == 0 else base + dt.timedelta(hours=rnd.randint(-24 * 5, 24 * 30))
+        right.append((k, f"s{i:04d}", t, float(i)))
+    for how in ("inner", "left"):
+        a = run(spark, left, right, how=how)
+        b = run(spark, left, right, how=how, dedupe=True)
+        assert a == b and len(b) == (300 if how == "left" else len(a))
