@@ -16,7 +16,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAF_ROWS = 50_000
@@ -114,3 +114,117 @@ def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         if c not in out:
             out[c] = exact_quantiles(df, c, probs)
     return out
+
+
+def _point_buckets(d: DataFrame, edges: list[float]) -> DataFrame:
+    E = sorted(set(edges))
+    b = Bucketizer(splits=[-math.inf] + E + [math.inf], inputCol="v", outputCol="_i").transform(d)
+    i = F.col("_i").cast("int")
+    arr = F.array(*[F.lit(e) for e in E])
+    on_edge = (i >= 1) & (F.col("v") == F.try_element_at(arr, F.greatest(i, F.lit(1))))
+    return b.withColumn("_b", F.when(on_edge, i * 2 - 1).otherwise(i * 2)).drop("_i")
+
+
+def grouped_quantiles(df: DataFrame, group: Sequence[str], col: str, probs: Sequence[float],
+                      out: Sequence[str], distinct_bound: int = DISTINCT_BOUND, buckets: int = 1024,
+                      leaf_rows: int = 2_000_000, max_levels: int = 8) -> DataFrame:
+    """Exact linear-interpolated quantiles of ``col`` per group, one row per group.
+
+    Groups whose approximate number of distinct values is within
+    ``distinct_bound`` use Spark's ``percentile`` (bounded value map).
+    Otherwise each wanted rank is located level by level: the candidate rows
+    are cut into ranges at approximate quantiles (tied values get point
+    ranges), counted per (target, range), and only the range holding the
+    target survives; once the candidates fit ``leaf_rows`` the ranks are
+    read with a window over the candidates only.
+    """
+    g = list(group)
+    d = df.select(*g, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    card = d.groupBy(*g).agg(F.approx_count_distinct("v").alias("nd")).agg(F.max("nd")).first()[0]
+    if card is None or card <= distinct_bound:
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        r = d.groupBy(*g).agg(F.percentile("v", arr).alias("_q"))
+        return r.select(*g, *[F.col("_q")[i].alias(o) for i, o in enumerate(out)])
+    # targets: (group, target id, rank) for the floor / ceil ranks of every prob
+    n = d.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    tg = []
+    for pi, p in enumerate(probs):
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        lo = F.floor(pos).cast("long")
+        tg.append(n.select(*g, F.lit(pi).alias("_p"), F.lit(0).alias("_s"), lo.alias("_r"),
+                           (pos - lo).alias("_f")))
+        tg.append(n.select(*g, F.lit(pi).alias("_p"), F.lit(1).alias("_s"),
+                           F.least(lo + 1, F.col("_n") - 1).alias("_r"), (pos - lo).alias("_f")))
+    targets = tg[0]
+    for t in tg[1:]:
+        targets = targets.unionByName(t)
+    targets = targets.withColumn("_t", F.monotonically_increasing_id()).persist()
+    # level 0 without copying rows: counts per (group, range), then only the rows
+    # in a range that holds a target rank go on (one copy per target in that range)
+    probs_b = [i / buckets for i in range(1, buckets)]
+    e0 = d.agg(F.percentile_approx("v", probs_b, max(10_000, buckets * 20))).first()[0]
+    db = _point_buckets(d, [float(e) for e in e0])
+    c0 = db.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    w0 = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    c0 = c0.withColumn("_below", F.coalesce(F.sum("c").over(w0), F.lit(0)))
+    h0 = (c0.join(targets.select(*g, "_t", "_r"), on=g)
+            .filter((F.col("_r") >= F.col("_below")) & (F.col("_r") < F.col("_below") + F.col("c"))).persist())
+    resolved = [h0.filter(F.col("lo") == F.col("hi")).select("_t", F.col("lo").alias("_val"))]
+    go0 = h0.filter(F.col("lo") != F.col("hi")).select(*g, "_b", "_t", (F.col("_r") - F.col("_below")).alias("_lr"))
+    cand = db.join(go0, on=g + ["_b"]).select("_t", "v", "_lr")
+    for _ in range(max_levels):
+        total = cand.count()
+        if total <= leaf_rows:
+            w = Window.partitionBy("_t").orderBy("v")
+            leaf = (cand.withColumn("_k", F.row_number().over(w) - 1)
+                        .filter(F.col("_k") == F.col("_lr")).select("_t", F.col("v").alias("_val")))
+            resolved.append(leaf)
+            break
+        edges = cand.agg(F.percentile_approx("v", probs_b, max(10_000, buckets * 20))).first()[0]
+        cb = _point_buckets(cand, [float(e) for e in edges])
+        cnt = cb.groupBy("_t", "_b").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        wb = Window.partitionBy("_t").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        cnt = cnt.withColumn("_below", F.coalesce(F.sum("c").over(wb), F.lit(0)))
+        lr = cand.select("_t", "_lr").distinct()
+        hit = (cnt.join(lr, "_t").filter((F.col("_lr") >= F.col("_below")) & (F.col("_lr") < F.col("_below") + F.col("c")))
+                  .persist())
+        resolved.append(hit.filter(F.col("lo") == F.col("hi")).select("_t", F.col("lo").alias("_val")))
+        go = hit.filter(F.col("lo") != F.col("hi")).select("_t", "_b", (F.col("_lr") - F.col("_below")).alias("_nlr"))
+        cand = (cb.join(go, ["_t", "_b"]).select("_t", "v", F.col("_nlr").alias("_lr")))
+    else:
+        raise RuntimeError("grouped quantile refinement did not converge")
+    vals = resolved[0]
+    for r in resolved[1:]:
+        vals = vals.unionByName(r)
+    tv = targets.join(vals, "_t")
+    lo_v = F.max(F.when(F.col("_s") == 0, F.col("_val")))
+    hi_v = F.max(F.when(F.col("_s") == 1, F.col("_val")))
+    per = tv.groupBy(*g, "_p").agg(lo_v.alias("a"), hi_v.alias("b"), F.first("_f").alias("f"))
+    per = per.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))
+    wide = per.groupBy(*g).pivot("_p", list(range(len(probs)))).agg(F.first("q"))
+    return wide.select(*g, *[F.col(str(i)).alias(o) for i, o in enumerate(out)])
+
+
+def grouped_medians(df: DataFrame, group: Sequence[str], cols: Sequence[str], out_prefix: str = "",
+                    distinct_bound: int = DISTINCT_BOUND) -> DataFrame:
+    """Exact median of each column per group, one row per group (columns ``out_prefix + col``).
+
+    One pass measures the largest per-group distinct count of every column;
+    columns within the bound share one ``percentile`` aggregate, the others go
+    through ``grouped_quantiles``' range refinement.
+    """
+    g, cols = list(group), list(cols)
+    clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    card = (df.groupBy(*g).agg(*[F.approx_count_distinct(clean[c]).alias(c) for c in cols])
+              .agg(*[F.max(c).alias(c) for c in cols]).first())
+    small = [c for c in cols if (card[c] or 0) <= distinct_bound]
+    parts = []
+    if small:
+        parts.append(df.groupBy(*g).agg(*[F.median(clean[c]).alias(out_prefix + c) for c in small]))
+    for c in cols:
+        if c not in small:
+            parts.append(grouped_quantiles(df, g, c, [0.5], [out_prefix + c], distinct_bound=distinct_bound))
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.join(p, on=g, how="full")
+    return res

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab import config
-from cohortlab.functions.quantiles import quantile_values
+from cohortlab.functions.quantiles import grouped_medians, quantile_values
 from cohortlab.functions.scalar import log1p
 from cohortlab.functions.sizing import broadcast_if_small
 from cohortlab.operators.ranking import running_index, time_bucket
@@ -41,16 +41,14 @@ def log_moments(df: DataFrame) -> DataFrame:
 def impute_group_median(df: DataFrame, cols: Sequence[str], group: str = "PROJECT_ID") -> DataFrame:
     """NULL -> median of the row's group -> global median.
 
-    Per-group medians come from one grouped aggregate (Spark's exact
-    ``percentile``; its value map is bounded by a group's number of distinct
-    values -- snapshot-level measures repeat across commits) joined back on
-    ``group`` after a size check; the global medians are exact without a
-    single-task value map (``quantile_values``).
+    Per-group medians are exact without an unbounded single-task value map
+    (``grouped_medians``) and are joined back on ``group`` after a size
+    check; the global medians likewise (``quantile_values``).
     """
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    gm = broadcast_if_small(df.groupBy(group).agg(*[F.median(c).alias(f"_gm_{c}") for c in cols]))
+    gm = broadcast_if_small(grouped_medians(df, [group], cols, out_prefix="_gm_"))
     glob = quantile_values(df, cols, [0.5])           # exact global medians, as literals
     out = df.join(gm, on=group, how="left")
     out = out.withColumns({

@@ -58,13 +58,16 @@ def cohort_summary(cohort: DataFrame) -> DataFrame:
 
 def project_report(df: DataFrame, key: str = "PROJECT_ID") -> DataFrame:
     """Table 2: per-project counts, rate % (2 dp), medians; short names; highest rate first."""
+    from cohortlab.functions.quantiles import grouped_medians
     t = (df.groupBy(key)
            .agg(F.count("COMMIT_HASH").alias("N_Commits"),
                 F.sum("BIC").cast("bigint").alias("N_BIC"),
                 F.round(F.avg("BIC") * 100, 2).alias("BIC_Rate_pct"),
-                F.median("SQALE_DEBT_RATIO").alias("TDR_Median"),
-                F.median("CHURN").alias("Churn_Median"),
                 F.sum("HAS_REFACTORING").cast("bigint").alias("N_Refactoring")))
+    med = (grouped_medians(df, [key], ["SQALE_DEBT_RATIO", "CHURN"], out_prefix="_m_")
+           .withColumnsRenamed({"_m_SQALE_DEBT_RATIO": "TDR_Median", "_m_CHURN": "Churn_Median"}))
+    t = t.join(med, on=key, how="left").select(key, "N_Commits", "N_BIC", "BIC_Rate_pct", "TDR_Median",
+                                               "Churn_Median", "N_Refactoring")
     return (t.orderBy(F.col("BIC_Rate_pct").desc(), F.col(key))
              .withColumn(key, short_project(key)))
 
@@ -73,24 +76,33 @@ def describe_by_label(df: DataFrame, variables: Sequence[str], label: str = "BIC
     """Table 1: N, mean, median, SD, min, max (4 dp) and missing % (2 dp) per variable
     for label = 0, label = 1 and all rows (D10).
 
-    One pass: the variables are unpivoted to (Variable, value) and aggregated
-    with grouping sets ((Variable, label), (Variable)).
+    The variables are unpivoted to (Variable, value); the moments come from one
+    aggregate with grouping sets ((Variable, label), (Variable)), the exact
+    medians per cell from ``grouped_medians`` (no unbounded per-cell value map).
     """
     variables = [v for v in variables if v in df.columns]
     long = (df.select(F.col(label).alias("_g"), *[F.col(v).cast("double").alias(v) for v in variables])
               .unpivot("_g", variables, "Variable", "value"))
     r4 = lambda c: F.round(c, 4)
+    from cohortlab.functions.quantiles import grouped_medians
+    med = (grouped_medians(long, ["Variable", "_g"], ["value"], out_prefix="_m_").withColumn("_all", F.lit(1) - 1)
+           .unionByName(grouped_medians(long, ["Variable"], ["value"], out_prefix="_m_")
+                        .withColumn("_g", F.lit(None).cast(long.schema["_g"].dataType)).withColumn("_all", F.lit(1))))
     agg = (long.groupingSets([["Variable", "_g"], ["Variable"]], "Variable", "_g")
                .agg(F.grouping("_g").alias("_all"),
                     F.count("value").alias("N"),
                     r4(F.avg("value")).alias("Mean"),
-                    r4(F.median("value")).alias("Median"),
                     r4(F.stddev_samp("value")).alias("SD"),
                     r4(F.min("value")).alias("Min"),
                     r4(F.max("value")).alias("Max"),
                     F.round(F.avg(F.col("value").isNull().cast("double")) * 100, 2).alias("Missing_pct")))
+    a = agg.withColumn("_all", F.col("_all").cast("int")).alias("a")
+    m = med.withColumn("_all", F.col("_all").cast("int")).alias("m")
+    agg = a.join(m, on=[F.col("a.Variable") == F.col("m.Variable"), F.col("a._all") == F.col("m._all"),
+                        F.col("a._g").eqNullSafe(F.col("m._g"))], how="left").select("a.*", F.col("m._m_value"))
     grp = F.when(F.col("_all") == 1, F.lit("All")).otherwise(F.concat(F.lit(f"{label}="), F.col("_g").cast("string")))
-    return agg.select("Variable", grp.alias("Group"), "N", "Mean", "Median", "SD", "Min", "Max", "Missing_pct")
+    return agg.select("Variable", grp.alias("Group"), "N", "Mean", r4(F.col("_m_value")).alias("Median"),
+                      "SD", "Min", "Max", "Missing_pct")
 
 
 def corr_matrix(df: DataFrame, variables: Sequence[str], digits: int = 2) -> DataFrame:

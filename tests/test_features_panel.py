@@ -136,3 +136,19 @@ def test_exact_quantiles_refinement_with_heavy_tie(spark):
     assert np.allclose(got, np.quantile(x, probs), rtol=0, atol=0)
     assert np.allclose(quantile_values(df, ["v"], probs, distinct_bound=10)["v"], np.quantile(x, probs), atol=0)
     assert np.allclose(quantile_values(df, ["v"], probs)["v"], np.quantile(x, probs), atol=1e-9)
+
+
+def test_grouped_quantiles_refinement_matches_pandas(spark):
+    import pandas as pd
+    from cohortlab.functions.quantiles import grouped_quantiles
+    rng = np.random.default_rng(8)
+    g = np.where(rng.random(3000) < 0.6, "hot", rng.choice(["a", "b", "c"], 3000))
+    v = np.where(rng.random(3000) < 0.2, 0.0, rng.normal(size=3000) * 100)
+    df = spark.createDataFrame([(str(a), float(b)) for a, b in zip(g, v)], "g string, v double")
+    want = pd.DataFrame({"g": g, "v": v}).groupby("g")["v"].quantile([0.25, 0.5]).unstack()
+    for bound in (10, 10**6):
+        got = grouped_quantiles(df, ["g"], "v", [0.25, 0.5], ["q1", "q2"], distinct_bound=bound,
+                                buckets=8, leaf_rows=300).toPandas().set_index("g")
+        for k in want.index:
+            assert abs(got.loc[k, "q1"] - want.loc[k, 0.25]) < 1e-9
+            assert abs(got.loc[k, "q2"] - want.loc[k, 0.5]) < 1e-9
