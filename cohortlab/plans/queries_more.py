@@ -115,6 +115,20 @@ def csv_roundtrip_commits(s):
     return csv_src.read_csv(s.spark, path, csv_src.COMMITS)
 
 
+@register("csv_roundtrip_changes", "SELECT * FROM fx_changes", ops="A2 S14")
+def csv_roundtrip_changes(s):
+    path = _scratch(s, "changes_csv")
+    fixtures.csv_roundtrip(s.raw["changes"], path)
+    return csv_src.read_csv(s.spark, path, csv_src.CHANGES)
+
+
+@register("csv_roundtrip_measures", "SELECT * FROM fx_sonar_measures", doubles=MEAS, ops="A7 S14")
+def csv_roundtrip_measures(s):
+    path = _scratch(s, "measures_csv")
+    fixtures.csv_roundtrip(s.raw["sonar_measures"], path)
+    return csv_src.read_csv(s.spark, path, csv_src.SONAR_MEASURES)
+
+
 @register("csv_report_roundtrip", """
   SELECT replace(PROJECT_ID, 'org.apache:', '') AS PROJECT_ID, count(*) AS N, CAST(sum(BIC) AS BIGINT) AS BIC_count
   FROM cohort GROUP BY PROJECT_ID""", ops="A11 A3")

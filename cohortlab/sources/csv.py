@@ -44,9 +44,9 @@ def _typed(c: Column, dtype: str, name: str) -> Column:
                  .otherwise(F.raise_error(F.concat(F.lit(f"bad boolean in {name}: "), c)).cast("boolean")))
     if dtype in ("bigint", "int"):
         # '12.0' style integers are accepted, fractions are not
-        return F.coalesce(F.try_cast(c, dtype), F.try_cast(F.try_cast(c, "double"), dtype))
+        return F.coalesce(c.try_cast(dtype), c.try_cast("double").try_cast(dtype))
     if dtype == "double":
-        return F.try_cast(c, "double")
+        return c.try_cast("double")
     return c
 
 
