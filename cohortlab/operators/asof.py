@@ -40,6 +40,10 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     drops unmatched left rows (C5), ``'left'`` keeps them with NULL payload.
     ``matched_col`` adds a boolean match flag.
 
+    ``bucket_micros='quantile'`` cuts each key's timeline at its own
+    approximate time quantiles instead of fixed-width buckets, so a key whose
+    rows burst inside one hour is still split into many window groups.
+
     ``dedupe=True`` first reduces both sides to one row per (key, instant) --
     the match depends only on (key, left time), and of equal right instants
     only the largest tiebreak can win -- with partial aggregates, runs the
@@ -72,10 +76,13 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
         F.struct(*[F.col(c) for c in lcols]).alias("_l"))
 
     part = list(by)
-    if bucket_micros:
+    if bucket_micros == "quantile":
+        l_, r = _quantile_buckets(l_, r, by)
+    elif bucket_micros:
         bw = F.lit(int(bucket_micros))
         r = r.withColumn("_b", F.floor(F.col("_t") / bw))
         l_ = l_.withColumn("_b", F.floor(F.col("_t") / bw))
+    if bucket_micros:
         # last right row per (key, bucket): max over (time, tiebreak) -> partial agg
         rlast = (r.groupBy(*by, "_b")
                    .agg(F.max(F.struct("_t", "_tb", "_p")).alias("_m")))
@@ -111,6 +118,28 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     return out.select(*sel)
 
 
+QUANTILE_BUCKETS = 256
+
+
+def _quantile_buckets(l_: DataFrame, r: DataFrame, by: list[str], n_buckets: int = QUANTILE_BUCKETS):
+    """Per key, cut time at the key's own approximate quantiles (both sides together).
+
+    A bucket then holds about 1/n_buckets of the key's rows however bursty its
+    timeline is (only rows at one identical instant stay together).  The edge
+    table has one row per key and is broadcast after a size check.
+    """
+    from cohortlab.functions.sizing import broadcast_if_small
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    tk = l_.select(*by, "_t").unionByName(r.select(*by, "_t"))
+    edges = (tk.filter(F.col("_t").isNotNull()).groupBy(*by)
+               .agg(F.percentile_approx("_t", probs, 10_000).alias("_edges")))
+    edges = broadcast_if_small(edges, 200_000)
+    # number of edges <= t: monotone in t for a fixed key, so the bucket order is the time order
+    b = F.size(F.filter(F.col("_edges"), lambda e: e <= F.col("_t"))).cast("long")
+    add = lambda d: d.join(edges, on=by, how="left").withColumn("_b", b).drop("_edges")
+    return add(l_), add(r)
+
+
 def _asof_dedupe(left, right, by, left_on, right_on, payload, tiebreak, allow_exact, how, bucket_micros,
                  matched_col):
     lt = "_lt"

@@ -95,7 +95,15 @@ def dense_code(df: DataFrame, col: str = "PROJECT_ID", out: str = "PROJECT_IDX")
 def time_index(df: DataFrame, group: str = "PROJECT_ID", time: str = "AUTHOR_DATE",
                tiebreak: str = "COMMIT_HASH", out: str = "TIME_IDX",
                bucket_micros: int | None = None) -> DataFrame:
-    """Running 0-based commit index per project in time order (E1), bucketed for skew."""
+    """Running 0-based commit index per project in time order (E1), bucketed for skew.
+
+    ``bucket_micros='quantile'`` cuts each project's timeline at its own
+    approximate time quantiles (equal-count buckets even for bursts).
+    """
+    if bucket_micros == "quantile":
+        from cohortlab.operators.ranking import quantile_time_bucket
+        d, b = quantile_time_bucket(df, [group], time)
+        return running_index(d, [group], b, [time, tiebreak], out=out).drop("_qedges")
     kw = {} if bucket_micros is None else {"bucket_micros": bucket_micros}
     return running_index(df, [group], time_bucket(time, **kw), [time, tiebreak], out=out)
 

@@ -23,6 +23,21 @@ def time_bucket(col: str, bucket_micros: int = HOUR_MICROS) -> Column:
     return F.floor(F.unix_micros(F.col(col).cast("timestamp")) / F.lit(int(bucket_micros)))
 
 
+def quantile_time_bucket(df: DataFrame, partition_by: Sequence[str], time: str, n_buckets: int = 256):
+    """(df with the per-key edge array, bucket column): the key's own approximate time quantiles.
+
+    The bucket is the number of edges <= t, monotone in time within a key.
+    The edge table (one row per key) is broadcast after a size check.
+    """
+    from cohortlab.functions.sizing import broadcast_if_small
+    t = F.unix_micros(F.col(time).cast("timestamp"))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    edges = (df.filter(F.col(time).isNotNull()).groupBy(*partition_by)
+               .agg(F.percentile_approx(t, probs, 10_000).alias("_qedges")))
+    d = df.join(broadcast_if_small(edges, 200_000), on=list(partition_by), how="left")
+    return d, F.size(F.filter(F.col("_qedges"), lambda e: e <= t)).cast("long")
+
+
 def running_index(df: DataFrame, partition_by: Sequence[str], bucket: Column,
                   order_by: Sequence[str | Column], out: str = "row_idx",
                   group_size: str | None = None) -> DataFrame:

@@ -98,3 +98,30 @@ def test_dedupe_mode_equals_plain_with_hot_instants(spark):
         a = run(spark, left, right, how=how)
         b = run(spark, left, right, how=how, dedupe=True)
         assert a == b and len(b) == (300 if how == "left" else len(a))
+
+
+def test_quantile_buckets_split_a_burst_and_match(spark):
+    rnd = random.Random(5)
+    base = T("2022-06-01 10:00:00")
+    left, right = [], []
+    for i in range(500):
+        k = "hot" if i % 5 else rnd.choice("xy")
+        # the hot key bursts inside one hour (distinct seconds)
+        t = base + dt.timedelta(seconds=rnd.randint(0, 3599)) if k == "hot" else \
+            base + dt.timedelta(hours=rnd.randint(-200, 200))
+        left.append((k, f"c{i}", t))
+    for i in range(200):
+        k = "hot" if i % 4 else rnd.choice("xyz")
+        t = base + dt.timedelta(seconds=rnd.randint(-600, 3599)) if k == "hot" else \
+            base + dt.timedelta(hours=rnd.randint(-300, 200))
+        right.append((k, f"s{i:04d}", t, float(i)))
+    plain = run(spark, left, right, bucket_micros=0)
+    assert run(spark, left, right, bucket_micros="quantile") == plain
+    assert run(spark, left, right, bucket_micros="quantile", allow_exact=False) == \
+        run(spark, left, right, bucket_micros=0, allow_exact=False)
+    # the hot key's rows land in many buckets, not one
+    from cohortlab.operators.asof import _quantile_buckets
+    l_ = spark.createDataFrame(left, L_SCHEMA).select("k", F.unix_micros("t").alias("_t"))
+    r = spark.createDataFrame(right, R_SCHEMA).select("k", F.unix_micros("d").alias("_t"))
+    lb, _ = _quantile_buckets(l_, r, ["k"], n_buckets=32)
+    assert lb.filter("k = 'hot'").select("_b").distinct().count() >= 16

@@ -38,13 +38,14 @@ def test_dense_code_and_time_index(spark):
     assert ti == {"h2": 0, "h3": 1, "h0": 2, "h1": 0}
 
 
-def test_running_index_matches_row_number(spark):
+@pytest.mark.parametrize("bucket", [None, "quantile"])
+def test_running_index_matches_row_number(spark, bucket):
     rng = np.random.default_rng(1)
     base = T("2020-01-01 00:00:00")
     rows = [(str(rng.integers(0, 3)), f"h{i}", base + dt.timedelta(minutes=int(rng.integers(0, 60 * 24 * 40))))
             for i in range(500)]
     df = spark.createDataFrame(rows, "PROJECT_ID string, COMMIT_HASH string, AUTHOR_DATE timestamp")
-    got = features.time_index(df)
+    got = features.time_index(df, bucket_micros=bucket)
     want = df.withColumn("w", F.row_number().over(Window.partitionBy("PROJECT_ID").orderBy("AUTHOR_DATE", "COMMIT_HASH")) - 1)
     j = got.join(want, ["PROJECT_ID", "COMMIT_HASH"])
     assert j.filter(F.col("w") != F.col("TIME_IDX")).count() == 0 and j.count() == 500
