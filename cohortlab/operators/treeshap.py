@@ -84,7 +84,6 @@ def _unwound_sum(pw, zf, of, depth, k):
 def tree_shap(tree: _Tree, X: np.ndarray, phi: np.ndarray, scale: float) -> None:
     """Add ``scale`` x the SHAP values of one tree for every row of ``X`` into ``phi``."""
     n = X.shape[0]
-    maxd = 64
 
     def rec(node, depth, pw, fi, zf, of, pz, po, pf):
         pw, fi, zf, of = list(pw), list(fi), list(zf), list(of)
@@ -112,7 +111,6 @@ def tree_shap(tree: _Tree, X: np.ndarray, phi: np.ndarray, scale: float) -> None
         rec(rc, depth + 1, pw[:depth + 1], fi[:depth + 1], zf[:depth + 1], of[:depth + 1],
             iz * tree.cover[rc] / c, io * (1.0 - go_left), f)
 
-    _ = maxd
     rec(0, 0, [], [], [], [], 1.0, np.ones(n), -1)
 
 

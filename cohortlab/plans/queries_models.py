@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cohortlab import config
 from cohortlab.operators import attribution, metrics, models, profile, split
 from cohortlab.plans.registry import register
-from cohortlab.session import _RUN_ID, _SEQ, checkpoint_dir, materialize
+from cohortlab.session import _RUN_ID, _SEQ, checkpoint_dir
 
 _FITS: dict = {}
 
