@@ -67,3 +67,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 small.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         e = small
     raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
+
+
+def slices(texts: list, max_chars: int = 1 << 20):
+    """Consecutive ``(lo, hi)`` ranges of a batch holding about ``max_chars`` characters each.
+
+    A Python worker then holds the words of about one megabyte of text at a time,
+    or those of one longer document.
+    """
+    lo = used = 0
+    for i, t in enumerate(texts):
+        used += len(t) if t is not None else 0
+        if used >= max_chars:
+            yield lo, i + 1
+            lo, used = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)

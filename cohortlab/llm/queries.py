@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlab.llm import quality_rules
+from cohortlab.llm import decontamination, quality_rules
 from cohortlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +24,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "symbol_permille", "upper_permille", "dup_line_permille", "repeat_permille", "mean_word_centi")
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    s = decontamination.scan(docs, table(spark, sf_dir, "benchmark"))
+    hit = decontamination.hit_count()
+    return s.select("doc_id", F.col("hit_words").alias("n_words"), hit.alias("n_hit"),
+                    F.size("hit_items").cast("long").alias("n_items"),
+                    F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+                    (hit > 0).alias("contaminated"))
