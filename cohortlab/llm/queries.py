@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontamination, quality_rules
+from cohortlab.llm import decontamination, quality_rules, simhash
 from cohortlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.size("hit_items").cast("long").alias("n_items"),
                     F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
                     (hit > 0).alias("contaminated"))
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
