@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,15 +71,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
 
 
-def slices(texts: list, max_chars: int = 1 << 20):
-    """Consecutive ``(lo, hi)`` ranges of a batch holding about ``max_chars`` characters each.
+def slices(texts: list | pa.Array, max_chars: int = 1 << 20):
+    """Consecutive ``(lo, hi)`` ranges of a batch holding about ``max_chars`` characters (Arrow: bytes) each.
 
     A Python worker then holds the words of about one megabyte of text at a time,
     or those of one longer document.
     """
+    if isinstance(texts, pa.Array):
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    else:
+        sizes = [len(t) if t is not None else 0 for t in texts]
     lo = used = 0
-    for i, t in enumerate(texts):
-        used += len(t) if t is not None else 0
+    for i, size in enumerate(sizes):
+        used += size
         if used >= max_chars:
             yield lo, i + 1
             lo, used = i + 1, 0

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontamination, personal_data, quality_rules, simhash
+from cohortlab.llm import decontamination, packing, personal_data, quality_rules, simhash
 from cohortlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +52,8 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[n(k).alias(f"n_{k}") for k in personal_data.KINDS[:4]],
                         F.sha2(personal_data.span_text(F.col("base_spans")), 256).alias("base_sha256"),
                         personal_data.span_text(personal_data.all_spans()).alias("spans"))
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
