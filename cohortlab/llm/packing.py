@@ -254,13 +254,15 @@ def place(parts: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Dat
     ranked = (p.withColumn("__r", own).join(starts, (F.col("length") == F.col("__l")) & (F.col("__b") == F.col("__k")))
               .select(*parts.columns, (F.col("__from") + F.col("__r")).alias("__rank")))
 
+    names = parts.columns
+
     def run(batches):
         places = shared.value
         for b in batches:
             seq, off = places.find(b.column("length").to_numpy(), b.column("__rank").to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in parts.columns], pa.array(seq, pa.int64()), pa.array(off, pa.int64())],
-                names=[*parts.columns, "sequence_id", "offset"])
+                [*[b.column(c) for c in names], pa.array(seq, pa.int64()), pa.array(off, pa.int64())],
+                names=[*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
     return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
