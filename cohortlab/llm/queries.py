@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontamination, packing, personal_data, quality_rules, simhash, substring, warc
+from cohortlab.llm import decontamination, language_id, packing, personal_data, quality_rules, simhash, substring, warc
 from cohortlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = warc.read_records(warc.write_pages(table(spark, sf_dir, "pages")))
     return r.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                     warc.page_of("refers_to").alias("refers_to"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit_model(docs.filter(F.col("doc_id").isNotNull() & ~out))
+    return language_id.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", out.alias("held_out"), "lang_pred", "score", F.size("mixture").alias("n_langs"))
