@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontamination, language_id, packing, personal_data, quality_rules, simhash, substring, warc
+from cohortlab.llm import decontamination, language_id, packing, personal_data, quality_rules, simhash, substring, tool_calls, warc
 from cohortlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit_model(docs.filter(F.col("doc_id").isNotNull() & ~out))
     return language_id.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", out.alias("held_out"), "lang_pred", "score", F.size("mixture").alias("n_langs"))
+
+
+@query
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.conversation_calls(table(spark, sf_dir, "conversations"))
+    schemas = tool_calls.schema_table(spark, tool_calls.CONVERSATION_SCHEMAS)
+    return tool_calls.format_calls(calls, results, schemas)
