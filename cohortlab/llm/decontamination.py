@@ -116,10 +116,10 @@ def _scanner(spark: SparkSession, grams: GramSet, text: str):
     def run(batches):
         g = shared.value
         for batch in batches:
-            texts = batch.column(text).to_pylist()
+            texts = batch.column(text)
             counts, spans, items = [], [], []
             for lo, hi in slices(texts):
-                ws = [words(t) for t in texts[lo:hi]]
+                ws = [words(t) for t in texts.slice(lo, hi - lo).to_pylist()]
                 # one id array for the slice, a zero after every document
                 ids = np.fromiter(
                     map(g.vocab.get, itertools.chain.from_iterable([*w, b" "] for w in ws), itertools.repeat(0)),

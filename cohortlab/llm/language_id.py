@@ -137,10 +137,11 @@ def fit_model(labelled: DataFrame, text: str = "text", lang: str = "lang", sampl
         own = np.zeros((len(langs), 1 << BITS), np.int64)
         where = {x: i for i, x in enumerate(langs)}
         for b in batches:
-            texts, labels = b.column("t").to_pylist(), b.column("l").to_pylist()
-            for lo, hi in slices(texts):
+            labels = b.column("l").to_pylist()
+            for lo, hi in slices(b.column("t")):
+                texts = b.column("t").slice(lo, hi - lo).to_pylist()
                 for x in set(labels[lo:hi]):
-                    cell, _, _ = grams([t for t, y in zip(texts[lo:hi], labels[lo:hi]) if y == x])
+                    cell, _, _ = grams([t for t, y in zip(texts, labels[lo:hi]) if y == x])
                     own[where[x]] += np.bincount(cell, minlength=1 << BITS)
         k, cell = np.nonzero(own)
         yield pa.RecordBatch.from_arrays(
@@ -164,10 +165,9 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
         m = shared.value
         for b in batches:
             lettered = pc.fill_null(pc.match_substring_regex(b.column(text), r"\p{L}"), False).to_pylist()
-            texts = b.column(text).to_pylist()
             pred, score, mix = [], [], []
-            for lo, hi in slices(texts, 2 << 20):
-                p = m.mixtures(texts[lo:hi])
+            for lo, hi in slices(b.column(text), 2 << 20):
+                p = m.mixtures(b.column(text).slice(lo, hi - lo).to_pylist())
                 top = p.argmax(axis=1) if m.langs else np.zeros(len(p), int)
                 for i, k, ok in zip(range(len(p)), top.tolist(), lettered[lo:hi]):
                     known = ok and m.langs and p[i, k] > 0

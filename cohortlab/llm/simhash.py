@@ -70,8 +70,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
     def run(batches):
         for b in batches:
-            texts = b.column("t").to_pylist()
-            fps = [fingerprint(t, shingle) for lo, hi in slices(texts) for t in texts[lo:hi]]
+            t = b.column("t")
+            fps = [fingerprint(x, shingle) for lo, hi in slices(t) for x in t.slice(lo, hi - lo).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     return d.mapInArrow(run, "doc_id long, fp long")
@@ -169,11 +169,15 @@ def _links_by_point(fps: DataFrame, bits: int) -> DataFrame:
     ``bits - bits // 2`` bits of it.
     """
     near = bits // 2
-    masks = [sum(1 << i for i in c) for r in range(bits - near + 1) for c in itertools.combinations(range(64), r)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    spark = fps.sparkSession
-    mask_rows = spark.createDataFrame([(signed(m), m.bit_count() <= near) for m in masks], "m long, close boolean")
-    points = fps.join(F.broadcast(mask_rows)).select(F.col("fp").bitwiseXOR(F.col("m")).alias("p"), "fp", "close")
+    # flips of up to two bits: the pairs (i, j) of 0..64, where 64 flips nothing
+    bit = lambda c: F.when(F.col(c) < 64, F.expr(f"shiftleft(1L, {c})")).otherwise(F.lit(0))
+    flips = (fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))
+             .select("fp", "i", F.explode(F.sequence("i", F.lit(64))).alias("j"))
+             .filter("i < j OR i = 64"))
+    points = flips.select(
+        F.col("fp").bitwiseXOR(bit("i")).bitwiseXOR(bit("j")).alias("p"), "fp",
+        F.when(F.col("i") == 64, 0).when(F.col("j") == 64, 1).otherwise(2).alias("n")).filter(F.col("n") <= bits - near)
+    points = points.withColumn("close", F.col("n") <= near)
     hubs = points.filter("close").groupBy("p").agg(F.min("fp").alias("hub"))
     return points.join(hubs, "p").filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
 
