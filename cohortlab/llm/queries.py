@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontamination, language_id, packing, personal_data, quality_rules, simhash, substring, tool_calls, warc
+from cohortlab.llm import decontamination, language_id, packing, personal_data, quality_rules, simhash, substring, token_files, tool_calls, warc
 from cohortlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_calls.conversation_calls(table(spark, sf_dir, "conversations"))
     schemas = tool_calls.schema_table(spark, tool_calls.CONVERSATION_SCHEMAS)
     return tool_calls.format_calls(calls, results, schemas)
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_tokens(files)
