@@ -1,230 +1,90 @@
-"""Exact quantiles without a single-task value map.
-
-Spark's exact ``percentile`` merges a value -> count map of the whole column
-in one final task, which is unbounded for a continuous measure.  Here the
-value range is cut into about ``buckets`` ranges at approximate quantiles
-(``percentile_approx``, bounded memory); one grouped count per range gives
-the prefix counts, which tell which range holds each wanted rank; only that
-range is refined the same way, until it is constant or small enough
-(``leaf_rows``, a fixed bound) to be read in order.  The result equals
-numpy's linear-interpolation quantile exactly.
+"""Exact quantiles per group without a value map in one task.
+
+One plan for every size: count each distinct value per (group, variable) with
+partial aggregates; cut the distinct values into ranges at the group's own
+approximate quantiles of them; add the counts up per range and take prefix
+sums over that bounded table (``RANGES`` rows a group); keep only the ranges
+that hold a wanted rank; order the values inside those ranges.  A tied value
+is one row however often it occurs.  Results equal linear interpolation
+(numpy's default) exactly.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF_ROWS = 50_000
-BUCKETS = 4096
-
-
-def _values_at_ranks(d: DataFrame, n: int, ranks: list[int], buckets: int, leaf_rows: int,
-                     depth: int = 0) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of column ``v`` of ``d`` (``n`` rows), ascending order."""
-    if n <= leaf_rows or depth > 8:
-        if n > leaf_rows:
-            raise RuntimeError("quantile refinement did not converge")
-        # bounded read: at most leaf_rows values
-        vals = [r[0] for r in d.orderBy("v").collect()]
-        return {k: vals[k] for k in ranks}
-    probs = [i / buckets for i in range(1, buckets)]
-    acc = max(10_000, buckets * 20)
-    edges = d.agg(F.percentile_approx("v", probs, acc).alias("e")).first()["e"]
-    E = sorted(set(float(e) for e in edges))
-    # i = number of edges <= v (binary search in the JVM); each edge value gets its
-    # own point range (2i - 1), the open ranges between edges are 2i -- so a value
-    # tied with a third of the rows is resolved at once instead of blocking refinement
-    b = Bucketizer(splits=[-math.inf] + E + [math.inf], inputCol="v", outputCol="_i").transform(d)
-    i = F.col("_i").cast("int")
-    arr = F.array(*[F.lit(e) for e in E])
-    on_edge = (i >= 1) & (F.col("v") == F.try_element_at(arr, F.greatest(i, F.lit(1))))
-    b = b.withColumn("_b", F.when(on_edge, i * 2 - 1).otherwise(i * 2)).drop("_i")
-    stats = (b.groupBy("_b").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-              .orderBy("_b").collect())                  # at most `buckets` rows
-    out: dict[int, float] = {}
-    start = 0
-    for row in stats:
-        c = row["c"]
-        inside = [k for k in ranks if start <= k < start + c]
-        if inside:
-            if row["lo"] == row["hi"]:
-                for k in inside:
-                    out[k] = row["lo"]
-            else:
-                sub = b.filter(F.col("_b") == row["_b"]).select("v")
-                got = _values_at_ranks(sub, c, [k - start for k in inside], buckets, leaf_rows, depth + 1)
-                for k in inside:
-                    out[k] = got[k - start]
-        start += c
-    return out
-
-
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], buckets: int = BUCKETS,
-                    leaf_rows: int = LEAF_ROWS) -> list[float | None]:
-    """Linear-interpolated quantiles of the non-null values of ``col`` (NaN counts as missing)."""
-    d = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = d.count()
-    if n == 0:
-        return [None] * len(probs)
-    pos = [(n - 1) * p for p in probs]
-    need = sorted({int(math.floor(k)) for k in pos} | {min(int(math.floor(k)) + 1, n - 1) for k in pos})
-    vals = _values_at_ranks(d, n, need, buckets, leaf_rows)
-    res = []
-    for k in pos:
-        lo = int(math.floor(k))
-        hi = min(lo + 1, n - 1)
-        frac = k - lo
-        a, b = vals[lo], vals[hi]
-        res.append(a + (b - a) * frac if frac else a)
-    return res
-
-
-def exact_median(df: DataFrame, col: str, **kw) -> float | None:
-    return exact_quantiles(df, col, [0.5], **kw)[0]
-
-
-DISTINCT_BOUND = 1_000_000
-
-
-def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    distinct_bound: int = DISTINCT_BOUND) -> dict[str, list[float | None]]:
-    """Exact quantiles of several columns, as Python floats.
-
-    One pass measures each column's (approximate) number of distinct values.
-    Columns below ``distinct_bound`` use Spark's exact ``percentile`` (its
-    per-task value map is then bounded by that number), all in one more
-    aggregate; any other column goes through the range refinement above.
-    """
-    cols = list(cols)
-    clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
-    card = df.agg(*[F.approx_count_distinct(clean[c]).alias(c) for c in cols]).first()
-    small = [c for c in cols if card[c] <= distinct_bound]
-    out: dict[str, list[float | None]] = {}
-    if small:
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(clean[c], arr).alias(c) for c in small]).first()
-        for c in small:
-            out[c] = list(row[c]) if row[c] is not None else [None] * len(probs)
-    for c in cols:
-        if c not in out:
-            out[c] = exact_quantiles(df, c, probs)
-    return out
-
-
-def _point_buckets(d: DataFrame, edges: list[float]) -> DataFrame:
-    E = sorted(set(edges))
-    b = Bucketizer(splits=[-math.inf] + E + [math.inf], inputCol="v", outputCol="_i").transform(d)
-    i = F.col("_i").cast("int")
-    arr = F.array(*[F.lit(e) for e in E])
-    on_edge = (i >= 1) & (F.col("v") == F.try_element_at(arr, F.greatest(i, F.lit(1))))
-    return b.withColumn("_b", F.when(on_edge, i * 2 - 1).otherwise(i * 2)).drop("_i")
-
-
-def grouped_quantiles(df: DataFrame, group: Sequence[str], col: str, probs: Sequence[float],
-                      out: Sequence[str], distinct_bound: int = DISTINCT_BOUND, buckets: int = 1024,
-                      leaf_rows: int = 2_000_000, max_levels: int = 8) -> DataFrame:
-    """Exact linear-interpolated quantiles of ``col`` per group, one row per group.
-
-    Groups whose approximate number of distinct values is within
-    ``distinct_bound`` use Spark's ``percentile`` (bounded value map).
-    Otherwise each wanted rank is located level by level: the candidate rows
-    are cut into ranges at approximate quantiles (tied values get point
-    ranges), counted per (target, range), and only the range holding the
-    target survives; once the candidates fit ``leaf_rows`` the ranks are
-    read with a window over the candidates only.
-    """
+SIDE = 16
+RANGES = SIDE * SIDE
+ACCURACY = 10_000
+_PROBS = [i / RANGES for i in range(1, RANGES)]
+
+
+def edges_of(value: Column) -> Column:
+    """Aggregate: approximate cut points of a group's values into ``RANGES`` ranges."""
+    return F.percentile_approx(value, _PROBS, ACCURACY)
+
+
+def range_of(value: Column, edges: Column) -> Column:
+    """Number of edges <= value, by two scans of ``SIDE - 1`` edges; non-decreasing in value."""
+    at = lambda i: F.when(F.get(edges, i) <= value, 1).otherwise(0)
+    coarse = sum((at(F.lit(SIDE * k - 1)) for k in range(1, SIDE)), F.lit(0))
+    return coarse * SIDE + sum((at(coarse * SIDE + j) for j in range(SIDE - 1)), F.lit(0))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the left side's key columns stay."""
+    r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def grouped_quantiles(df: DataFrame, group: Sequence[str], cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """``(*group, _var, _q)``: per group and column the quantiles of its non-missing values."""
     g = list(group)
-    d = df.select(*g, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    card = d.groupBy(*g).agg(F.approx_count_distinct("v").alias("nd")).agg(F.max("nd")).first()[0]
-    if card is None or card <= distinct_bound:
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        r = d.groupBy(*g).agg(F.percentile("v", arr).alias("_q"))
-        return r.select(*g, *[F.col("_q")[i].alias(o) for i, o in enumerate(out)])
-    # targets: (group, target id, rank) for the floor / ceil ranks of every prob
-    n = d.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    tg = []
-    for pi, p in enumerate(probs):
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        lo = F.floor(pos).cast("long")
-        tg.append(n.select(*g, F.lit(pi).alias("_p"), F.lit(0).alias("_s"), lo.alias("_r"),
-                           (pos - lo).alias("_f")))
-        tg.append(n.select(*g, F.lit(pi).alias("_p"), F.lit(1).alias("_s"),
-                           F.least(lo + 1, F.col("_n") - 1).alias("_r"), (pos - lo).alias("_f")))
-    targets = tg[0]
-    for t in tg[1:]:
-        targets = targets.unionByName(t)
-    targets = targets.withColumn("_t", F.monotonically_increasing_id()).persist()
-    # level 0 without copying rows: counts per (group, range), then only the rows
-    # in a range that holds a target rank go on (one copy per target in that range)
-    probs_b = [i / buckets for i in range(1, buckets)]
-    e0 = d.agg(F.percentile_approx("v", probs_b, max(10_000, buckets * 20))).first()[0]
-    db = _point_buckets(d, [float(e) for e in e0])
-    c0 = db.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    w0 = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    c0 = c0.withColumn("_below", F.coalesce(F.sum("c").over(w0), F.lit(0)))
-    h0 = (c0.join(targets.select(*g, "_t", "_r"), on=g)
-            .filter((F.col("_r") >= F.col("_below")) & (F.col("_r") < F.col("_below") + F.col("c"))).persist())
-    resolved = [h0.filter(F.col("lo") == F.col("hi")).select("_t", F.col("lo").alias("_val"))]
-    go0 = h0.filter(F.col("lo") != F.col("hi")).select(*g, "_b", "_t", (F.col("_r") - F.col("_below")).alias("_lr"))
-    cand = db.join(go0, on=g + ["_b"]).select("_t", "v", "_lr")
-    for _ in range(max_levels):
-        total = cand.count()
-        if total <= leaf_rows:
-            w = Window.partitionBy("_t").orderBy("v")
-            leaf = (cand.withColumn("_k", F.row_number().over(w) - 1)
-                        .filter(F.col("_k") == F.col("_lr")).select("_t", F.col("v").alias("_val")))
-            resolved.append(leaf)
-            break
-        edges = cand.agg(F.percentile_approx("v", probs_b, max(10_000, buckets * 20))).first()[0]
-        cb = _point_buckets(cand, [float(e) for e in edges])
-        cnt = cb.groupBy("_t", "_b").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        wb = Window.partitionBy("_t").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        cnt = cnt.withColumn("_below", F.coalesce(F.sum("c").over(wb), F.lit(0)))
-        lr = cand.select("_t", "_lr").distinct()
-        hit = (cnt.join(lr, "_t").filter((F.col("_lr") >= F.col("_below")) & (F.col("_lr") < F.col("_below") + F.col("c")))
-                  .persist())
-        resolved.append(hit.filter(F.col("lo") == F.col("hi")).select("_t", F.col("lo").alias("_val")))
-        go = hit.filter(F.col("lo") != F.col("hi")).select("_t", "_b", (F.col("_lr") - F.col("_below")).alias("_nlr"))
-        cand = (cb.join(go, ["_t", "_b"]).select("_t", "v", F.col("_nlr").alias("_lr")))
-    else:
-        raise RuntimeError("grouped quantile refinement did not converge")
-    vals = resolved[0]
-    for r in resolved[1:]:
-        vals = vals.unionByName(r)
-    tv = targets.join(vals, "_t")
-    lo_v = F.max(F.when(F.col("_s") == 0, F.col("_val")))
-    hi_v = F.max(F.when(F.col("_s") == 1, F.col("_val")))
-    per = tv.groupBy(*g, "_p").agg(lo_v.alias("a"), hi_v.alias("b"), F.first("_f").alias("f"))
-    per = per.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))
-    wide = per.groupBy(*g).pivot("_p", list(range(len(probs)))).agg(F.first("q"))
-    return wide.select(*g, *[F.col(str(i)).alias(o) for i, o in enumerate(out)])
-
-
-def grouped_medians(df: DataFrame, group: Sequence[str], cols: Sequence[str], out_prefix: str = "",
-                    distinct_bound: int = DISTINCT_BOUND) -> DataFrame:
-    """Exact median of each column per group, one row per group (columns ``out_prefix + col``).
-
-    One pass measures the largest per-group distinct count of every column;
-    columns within the bound share one ``percentile`` aggregate, the others go
-    through ``grouped_quantiles``' range refinement.
-    """
-    g, cols = list(group), list(cols)
-    clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
-    card = (df.groupBy(*g).agg(*[F.approx_count_distinct(clean[c]).alias(c) for c in cols])
-              .agg(*[F.max(c).alias(c) for c in cols]).first())
-    small = [c for c in cols if (card[c] or 0) <= distinct_bound]
-    parts = []
-    if small:
-        parts.append(df.groupBy(*g).agg(*[F.median(clean[c]).alias(out_prefix + c) for c in small]))
-    for c in cols:
-        if c not in small:
-            parts.append(grouped_quantiles(df, g, c, [0.5], [out_prefix + c], distinct_bound=distinct_bound))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.join(p, on=g, how="full")
-    return res
+    k = [*g, "_var"]
+    pairs = F.array(*[F.struct(F.lit(c).alias("_var"), F.col(c).cast("double").alias("_v")) for c in cols])
+    long = df.select(*g, F.inline(pairs)).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counts = long.groupBy(*k, "_v").agg(F.count("*").alias("_c"))
+    edges = counts.groupBy(*k).agg(edges_of(F.col("_v")).alias("_e"))
+    ranged = join_null_safe(counts, edges, k).select(
+        *k, "_v", "_c", range_of(F.col("_v"), F.col("_e")).alias("_r"))
+    total = ranged.groupBy(*k, "_r").agg(F.sum("_c").alias("_n"))
+    w = Window.partitionBy(*k)
+    total = total.select(*k, "_r", "_n", (F.sum("_n").over(w.orderBy("_r")) - F.col("_n")).alias("_below"),
+                         F.sum("_n").over(w).alias("_all"))
+    pos = [(F.col("_all") - 1) * F.lit(float(p)) for p in probs]
+    ranks = F.array(*[x for p in pos for x in (F.floor(p), F.least(F.floor(p) + 1, F.col("_all") - 1))])
+    held = total.withColumn("_ranks", ranks).filter(F.exists(
+        "_ranks", lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_n"))))
+    inside = join_null_safe(ranged, held.drop("_n"), [*k, "_r"])
+    upto = F.sum("_c").over(Window.partitionBy(*k, "_r").orderBy("_v")) + F.col("_below")
+    inside = inside.withColumn("_upto", upto)
+    at = lambda i: F.max(F.when((F.get("_ranks", F.lit(i)) >= F.col("_upto") - F.col("_c"))
+                                & (F.get("_ranks", F.lit(i)) < F.col("_upto")), F.col("_v")))
+    found = inside.groupBy(*k).agg(F.max("_all").alias("_all"), F.array(*[at(i) for i in range(2 * len(probs))]).alias("_x"))
+    parts = [F.get("_x", F.lit(2 * i)) + (F.get("_x", F.lit(2 * i + 1)) - F.get("_x", F.lit(2 * i)))
+             * (p - F.floor(p)) for i, p in enumerate(pos)]
+    return found.select(*k, F.array(*parts).alias("_q"))
+
+
+def grouped_medians(df: DataFrame, group: Sequence[str], cols: Sequence[str], out_prefix: str = "") -> DataFrame:
+    """Exact median of each column per group, one row per group with a value (``out_prefix + col``)."""
+    q = grouped_quantiles(df, group, cols, [0.5])
+    return q.groupBy(*group).agg(*[
+        F.max(F.when(F.col("_var") == c, F.get("_q", F.lit(0)))).alias(out_prefix + c) for c in cols])
+
+
+def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """``(_var, _q)``: quantiles of whole columns."""
+    return grouped_quantiles(df, [], cols, probs)
+
+
+def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns as Python floats (one row per column is read)."""
+    got = {r["_var"]: list(r["_q"]) for r in quantile_table(df, cols, probs).collect()}
+    return {c: got.get(c, [None] * len(probs)) for c in cols}

@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlab.functions.quantiles import edges_of, range_of
+
 DAY_MICROS = 86_400_000_000
 HOUR_MICROS = 3_600_000_000
 
@@ -31,7 +33,7 @@ def _micros(c: str):
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str,
               payload: Sequence[str], tiebreak: Sequence[str] = (), allow_exact: bool = True,
-              how: str = "inner", bucket_micros: int | None = HOUR_MICROS,
+              how: str = "inner", bucket_micros: int | str | None = "quantile",
               matched_col: str | None = None, dedupe: bool = False) -> DataFrame:
     """Attach to each ``left`` row the ``payload`` of its backward as-of match.
 
@@ -40,9 +42,10 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     drops unmatched left rows (C5), ``'left'`` keeps them with NULL payload.
     ``matched_col`` adds a boolean match flag.
 
-    ``bucket_micros='quantile'`` cuts each key's timeline at its own
-    approximate time quantiles instead of fixed-width buckets, so a key whose
-    rows burst inside one hour is still split into many window groups.
+    By default each key's timeline is cut at its own approximate time quantiles,
+    so a key whose rows burst is still split into many window groups; a number
+    gives fixed-width buckets, ``None`` one window per key.  Left rows without a
+    key or time never match: ``'inner'`` drops them before the shuffle.
 
     ``dedupe=True`` first reduces both sides to one row per (key, instant) --
     the match depends only on (key, left time), and of equal right instants
@@ -55,6 +58,9 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
         return _asof_dedupe(left, right, by, left_on, right_on, payload, tiebreak, allow_exact, how,
                             bucket_micros, matched_col)
     lcols = left.columns
+    if how == "inner":
+        for k in [*by, left_on]:
+            left = left.filter(F.col(k).isNotNull())
     clash = [c for c in payload if c in lcols and c not in by]
     if clash:
         raise ValueError(f"payload columns already on the left: {clash}")
@@ -118,24 +124,16 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     return out.select(*sel)
 
 
-QUANTILE_BUCKETS = 256
-
-
-def _quantile_buckets(l_: DataFrame, r: DataFrame, by: list[str], n_buckets: int = QUANTILE_BUCKETS):
+def _quantile_buckets(l_: DataFrame, r: DataFrame, by: list[str]):
     """Per key, cut time at the key's own approximate quantiles (both sides together).
 
-    A bucket then holds about 1/n_buckets of the key's rows however bursty its
-    timeline is (only rows at one identical instant stay together).  The edge
-    table has one row per key and is broadcast after a size check.
+    A bucket then holds an equal share of the key's rows however bursty its
+    timeline is (only rows at one identical instant stay together).
     """
-    from cohortlab.functions.sizing import broadcast_if_small
-    probs = [i / n_buckets for i in range(1, n_buckets)]
     tk = l_.select(*by, "_t").unionByName(r.select(*by, "_t"))
-    edges = (tk.filter(F.col("_t").isNotNull()).groupBy(*by)
-               .agg(F.percentile_approx("_t", probs, 10_000).alias("_edges")))
-    edges = broadcast_if_small(edges, 200_000)
+    edges = tk.filter(F.col("_t").isNotNull()).groupBy(*by).agg(edges_of(F.col("_t")).alias("_edges"))
     # number of edges <= t: monotone in t for a fixed key, so the bucket order is the time order
-    b = F.size(F.filter(F.col("_edges"), lambda e: e <= F.col("_t"))).cast("long")
+    b = F.when(F.col("_t").isNotNull() & F.col("_edges").isNotNull(), range_of(F.col("_t"), F.col("_edges"))).cast("long")
     add = lambda d: d.join(edges, on=by, how="left").withColumn("_b", b).drop("_edges")
     return add(l_), add(r)
 

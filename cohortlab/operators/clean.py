@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.scalar import clip_lower, nan_to_null, parse_timestamp_mixed
-from cohortlab.functions.sizing import broadcast_if_small
 
 
 def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Keep one row per key: the smallest by ``order`` then by every other column.
+    """Keep one row per key: the smallest by ``order`` then by every other column, NULL last.
 
     Written as ``min(struct)`` per key, so it is a hash aggregate with a map-side
     partial step: a key holding a third of the rows is reduced before the
@@ -23,7 +22,8 @@ def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     payload = order + rest
     if not payload:
         return df.select(*keys).distinct()
-    m = F.min(F.struct(*[F.col(c) for c in payload])).alias("_first")
+    # a struct compares its fields in turn and NULL comes first, hence the flag before each
+    m = F.min(F.struct(*[x for c in payload for x in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c))])).alias("_first")
     out = df.groupBy(*keys).agg(m)
     return out.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in payload]).select(*df.columns)
 
@@ -71,18 +71,15 @@ def main_branch_non_merge(df: DataFrame, branch: str = "IN_MAIN_BRANCH", merge:
     return df.filter(F.col(branch) & ~F.col(merge))
 
 
-def keep_groups_with_min_rows(df: DataFrame, key: str | Sequence[str], min_rows: int,
-                              max_broadcast_rows: int | None = None) -> DataFrame:
+def keep_groups_with_min_rows(df: DataFrame, key: str | Sequence[str], min_rows: int) -> DataFrame:
     """Semi-join on ``HAVING count(*) >= min_rows``.
 
-    The per-key count is a partial aggregate (skew-safe); the surviving key
-    set is broadcast only after its size was checked, otherwise the semi-join
-    stays a shuffle join.
+    The per-key count is a partial aggregate (skew-safe); how the surviving keys
+    are joined is left to Catalyst and AQE, which know their size.
     """
     keys = [key] if isinstance(key, str) else list(key)
     ok = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
             .filter(F.col("_n") >= F.lit(min_rows)).select(*keys))
-    ok = broadcast_if_small(ok, max_broadcast_rows) if max_broadcast_rows else broadcast_if_small(ok)
     return df.join(ok, on=keys, how="left_semi")
 
 

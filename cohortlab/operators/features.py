@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from cohortlab import config
 from cohortlab.functions.quantiles import grouped_medians, quantile_values
 from cohortlab.functions.scalar import log1p
-from cohortlab.functions.sizing import broadcast_if_small
 from cohortlab.operators.ranking import running_index, time_bucket
 
 LOG_SOURCES = {"log_churn": "CHURN", "log_ncloc": "NCLOC", "log_sqale_index": "SQALE_INDEX",
@@ -42,13 +41,13 @@ def impute_group_median(df: DataFrame, cols: Sequence[str], group: str = "PROJEC
     """NULL -> median of the row's group -> global median.
 
     Per-group medians are exact without an unbounded single-task value map
-    (``grouped_medians``) and are joined back on ``group`` after a size
-    check; the global medians likewise (``quantile_values``).
+    (``grouped_medians``) and are joined back on ``group``; the global medians
+    likewise (``quantile_values``).  Rows without a group get the global one.
     """
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    gm = broadcast_if_small(grouped_medians(df, [group], cols, out_prefix="_gm_"))
+    gm = grouped_medians(df.filter(F.col(group).isNotNull()), [group], cols, out_prefix="_gm_")
     glob = quantile_values(df, cols, [0.5])           # exact global medians, as literals
     out = df.join(gm, on=group, how="left")
     out = out.withColumns({
@@ -83,29 +82,28 @@ def dense_code(df: DataFrame, col: str = "PROJECT_ID", out: str = "PROJECT_IDX")
     """0-based code of ``col`` in sorted order of its distinct values; NULL -> -1 (E5).
 
     The window runs over the distinct-value table only (one row per key); the
-    code table is joined back, broadcast after a size check.
+    code table is joined back.
     """
     keys = df.select(col).filter(F.col(col).isNotNull()).distinct()
     codes = keys.withColumn(out, (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))
-    codes = broadcast_if_small(codes)
     return (df.join(codes, on=col, how="left")
               .withColumn(out, F.coalesce(F.col(out), F.lit(-1))))
 
 
 def time_index(df: DataFrame, group: str = "PROJECT_ID", time: str = "AUTHOR_DATE",
                tiebreak: str = "COMMIT_HASH", out: str = "TIME_IDX",
-               bucket_micros: int | None = None) -> DataFrame:
-    """Running 0-based commit index per project in time order (E1), bucketed for skew.
+               bucket_micros: int | str = "quantile") -> DataFrame:
+    """Running 0-based commit index per project in time order, undated rows last.
 
-    ``bucket_micros='quantile'`` cuts each project's timeline at its own
-    approximate time quantiles (equal-count buckets even for bursts).
+    By default each project's timeline is cut at its own approximate time
+    quantiles (equal-count buckets even for bursts); a number gives fixed widths.
     """
+    order = [F.col(time).asc_nulls_last(), F.col(tiebreak)]
     if bucket_micros == "quantile":
         from cohortlab.operators.ranking import quantile_time_bucket
         d, b = quantile_time_bucket(df, [group], time)
-        return running_index(d, [group], b, [time, tiebreak], out=out).drop("_qedges")
-    kw = {} if bucket_micros is None else {"bucket_micros": bucket_micros}
-    return running_index(df, [group], time_bucket(time, **kw), [time, tiebreak], out=out)
+        return running_index(d, [group], b, order, out=out).drop("_qedges")
+    return running_index(df, [group], time_bucket(time, bucket_micros), order, out=out)
 
 
 def check_features(df: DataFrame, wanted: Sequence[str]) -> list[str]:

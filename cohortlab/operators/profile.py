@@ -24,10 +24,10 @@ def bic_by_project(cohort: DataFrame, key: str = "PROJECT_ID", label: str = "BIC
 
 
 def _summary(df: DataFrame, col: str, prefix: str) -> DataFrame:
-    from cohortlab.functions.quantiles import quantile_values
-    med = quantile_values(df, [col], [0.5])[col][0]
+    from cohortlab.functions.quantiles import quantile_table
+    med = quantile_table(df, [col], [0.5]).select(F.get("_q", F.lit(0))).scalar()
     return df.agg(F.count(F.lit(1)).alias("n_commits"),
-                  F.lit(med).cast("double").alias(f"{prefix}_median"),
+                  F.first(med).alias(f"{prefix}_median"),
                   F.avg(col).alias(f"{prefix}_mean"),
                   F.max(col).alias(f"{prefix}_max"))
 
@@ -108,26 +108,27 @@ def describe_by_label(df: DataFrame, variables: Sequence[str], label: str = "BIC
 def corr_matrix(df: DataFrame, variables: Sequence[str], digits: int = 2) -> DataFrame:
     """Pairwise-complete Pearson correlations, long form, rounded.
 
-    Each row is expanded into its (var1, var2, a, b) pairs of the upper
-    triangle and reduced by one grouped aggregate over the pair-complete
-    values; the ratio uses ``try_divide``, so a constant column yields NULL
-    instead of an error.  The lower triangle is the mirror image.
+    One aggregate over the rows as they are holds the pair-complete covariance and
+    deviations of the upper triangle (stable merges); the ratio uses ``try_divide``,
+    so a constant column yields NULL instead of an error.  The lower triangle is the
+    mirror image.
     """
     variables = [v for v in variables if v in df.columns]
-    pairs = [(a, b) for i, a in enumerate(variables) for b in variables[i:]]
-    arr = F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                             F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-                    for a, b in pairs])
-    long = df.select(F.inline(arr)).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    up = long.groupBy("var1", "var2").agg(
-        F.try_divide(F.covar_samp("a", "b"), F.stddev_samp("a") * F.stddev_samp("b")).alias("r"))
-    spine = df.sparkSession.createDataFrame(pairs, "var1 string, var2 string")
-    up = F.broadcast(spine).join(up, ["var1", "var2"], "left")          # fixed k(k+1)/2 rows
+    up = df.agg(F.array(*_pair_correlations(df, variables)).alias("p")).select(F.inline("p"))
     low = up.filter(F.col("var1") != F.col("var2")).select(
         F.col("var2").alias("var1"), F.col("var1").alias("var2"), "r")
     return up.unionByName(low).withColumn("r", F.round(F.col("r"), digits))
 
 
+def _pair_correlations(df: DataFrame, variables: Sequence[str]):
+    d = {v: F.col(v).cast("double") for v in variables}
+    for i, a in enumerate(variables):
+        for b in variables[i:]:
+            x, y = F.when(d[b].isNotNull(), d[a]), F.when(d[a].isNotNull(), d[b])
+            r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+            yield F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), r.alias("r"))
+
+
 def inventory(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows, columns, missing cells and missing % (2 dp, 0 when empty) per table."""
     parts = []
@@ -148,36 +149,24 @@ def inventory(tables: dict[str, DataFrame]) -> DataFrame:
 def vif(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Variance inflation factors over all complete rows, highest first.
 
-    One aggregate pass collects n, sums and cross-products (a fixed number of
-    scalars, k(k+3)/2); on the driver the k x k correlation matrix is
-    inverted and VIF_i is its i-th diagonal element (= 1 / (1 - R_i^2) of
-    the OLS of x_i on the others with a constant).
+    One aggregate holds the covariances and deviations (stable merges, so large
+    means don't cancel); on the driver the k x k correlation matrix of the columns
+    that vary is inverted and VIF_i is its i-th diagonal element (= 1 / (1 - R_i^2)
+    of the OLS of x_i on the others with a constant).  A constant column has none;
+    columns that depend on each other exactly have an infinite one.
     """
     import numpy as np
 
     variables = [v for v in variables if v in df.columns]
     d = df.select(*[F.col(v).cast("double").alias(v) for v in variables]).na.drop()
-    k = len(variables)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(v).alias(f"s{i}") for i, v in enumerate(variables)]
-    for i in range(k):
-        for j in range(i, k):
-            aggs.append(F.sum(F.col(variables[i]) * F.col(variables[j])).alias(f"p{i}_{j}"))
-    row = d.agg(*aggs).first()
-    n = row["n"]
-    s = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
-    p = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            p[i, j] = p[j, i] = row[f"p{i}_{j}"] or 0.0
-    cov = (p - np.outer(s, s) / n) / max(n - 1, 1)
-    sd = np.sqrt(np.diag(cov))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        corr = cov / np.outer(sd, sd)
-        try:
-            inv = np.linalg.inv(corr)
-            vals = [float(x) for x in np.diag(inv)]
-        except np.linalg.LinAlgError:
-            vals = [float("inf")] * k
-    spark = df.sparkSession
-    out = spark.createDataFrame([(v, x) for v, x in zip(variables, vals)], "Variable string, VIF double")
-    return out.orderBy(F.col("VIF").desc())
+    r = {(x["var1"], x["var2"]): x["r"] for x in
+         d.agg(F.array(*_pair_correlations(d, variables)).alias("p")).select(F.inline("p")).collect()}
+    vary = [v for v in variables if r[v, v] is not None]
+    corr = np.array([[r.get((a, b), r.get((b, a))) for b in vary] for a in vary], float).reshape(len(vary), len(vary))
+    np.fill_diagonal(corr, 1.0)
+    if vary and np.linalg.matrix_rank(corr) == len(vary):
+        vals = dict(zip(vary, np.diag(np.linalg.inv(corr)).tolist()))
+    else:
+        vals = {v: float("inf") for v in vary}
+    out = df.sparkSession.createDataFrame([(v, vals.get(v)) for v in variables], "Variable string, VIF double")
+    return out.orderBy(F.col("VIF").desc_nulls_last())

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlab.functions.quantiles import edges_of, join_null_safe, range_of
+
 DAY_MICROS = 86_400_000_000
 HOUR_MICROS = 3_600_000_000
 
@@ -23,19 +25,16 @@ def time_bucket(col: str, bucket_micros: int = HOUR_MICROS) -> Column:
     return F.floor(F.unix_micros(F.col(col).cast("timestamp")) / F.lit(int(bucket_micros)))
 
 
-def quantile_time_bucket(df: DataFrame, partition_by: Sequence[str], time: str, n_buckets: int = 256):
+def quantile_time_bucket(df: DataFrame, partition_by: Sequence[str], time: str):
     """(df with the per-key edge array, bucket column): the key's own approximate time quantiles.
 
-    The bucket is the number of edges <= t, monotone in time within a key.
-    The edge table (one row per key) is broadcast after a size check.
+    The bucket is the number of edges <= t, monotone in time within a key; undated
+    rows have none.
     """
-    from cohortlab.functions.sizing import broadcast_if_small
     t = F.unix_micros(F.col(time).cast("timestamp"))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    edges = (df.filter(F.col(time).isNotNull()).groupBy(*partition_by)
-               .agg(F.percentile_approx(t, probs, 10_000).alias("_qedges")))
-    d = df.join(broadcast_if_small(edges, 200_000), on=list(partition_by), how="left")
-    return d, F.size(F.filter(F.col("_qedges"), lambda e: e <= t)).cast("long")
+    edges = df.filter(F.col(time).isNotNull()).groupBy(*partition_by).agg(edges_of(t).alias("_qedges"))
+    d = join_null_safe(df, edges, list(partition_by), "left")
+    return d, F.when(F.col(time).isNotNull(), range_of(t, F.col("_qedges"))).cast("long")
 
 
 def running_index(df: DataFrame, partition_by: Sequence[str], bucket: Column,
@@ -44,34 +43,35 @@ def running_index(df: DataFrame, partition_by: Sequence[str], bucket: Column,
     """0-based position of each row inside its group, ordered by ``order_by``.
 
     ``bucket`` must be non-decreasing in ``order_by`` (e.g. a time bucket of
-    the leading time column).  ``group_size`` optionally adds the group's row
-    count (needed by the chronological split).
+    the leading time column); NULL is the last bucket, and a NULL key is a group.
+    ``group_size`` optionally adds the group's row count (needed by the
+    chronological split).
     """
     part = list(partition_by)
     d = df.withColumn("_rb", bucket)
     counts = d.groupBy(*part, "_rb").agg(F.count(F.lit(1)).alias("_bn"))
-    wb = Window.partitionBy(*part).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
+    wb = Window.partitionBy(*part).orderBy(F.col("_rb").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
     if group_size:
         offs = offs.withColumn(group_size, F.sum("_bn").over(Window.partitionBy(*part)))
     offs = offs.drop("_bn")
     w = Window.partitionBy(*part, "_rb").orderBy(*order_by)
     ranked = d.withColumn("_r", F.row_number().over(w))
-    res = ranked.join(offs, on=part + ["_rb"], how="inner")
+    res = join_null_safe(ranked, offs, part + ["_rb"])
     return res.withColumn(out, (F.col("_off") + F.col("_r") - 1).cast("bigint")).drop("_rb", "_r", "_off")
 
 
 def descending_cumulative(counts: DataFrame, partition_by: Sequence[str], score: str,
-                          sums: Sequence[str], n_buckets: int = 4096) -> DataFrame:
+                          sums: Sequence[str]) -> DataFrame:
     """Cumulative sums of ``sums`` over rows with score >= the current one, per group.
 
-    ``counts`` holds one row per (group, distinct score).  Scores are assumed
-    to be probabilities; the bucket index is clamped, which keeps it monotone
-    for any value, so the result stays exact outside [0, 1] as well.
+    ``counts`` holds one row per (group, distinct score).  Buckets are cut at the
+    group's own approximate score quantiles, so they are equal-count wherever the
+    scores lie.
     """
     part = list(partition_by)
-    b = F.least(F.greatest(F.floor(F.col(score) * n_buckets), F.lit(0)), F.lit(n_buckets))
-    d = counts.withColumn("_sb", b.cast("int"))
+    edges = counts.groupBy(*part).agg(edges_of(F.col(score)).alias("_se"))
+    d = join_null_safe(counts, edges, part).withColumn("_sb", range_of(F.col(score), F.col("_se"))).drop("_se")
     tot = d.groupBy(*part, "_sb").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     wb = Window.partitionBy(*part).orderBy(F.col("_sb").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*part, "_sb", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
@@ -79,6 +79,6 @@ def descending_cumulative(counts: DataFrame, partition_by: Sequence[str], score:
     w = (Window.partitionBy(*part, "_sb").orderBy(F.col(score).desc())
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inner = d.select("*", *[F.sum(c).over(w).alias(f"_i_{c}") for c in sums])
-    res = inner.join(offs, on=part + ["_sb"], how="inner")
+    res = join_null_safe(inner, offs, part + ["_sb"])
     return res.select(*counts.columns, *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"cum_{c}")
                                          for c in sums])

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cohortlab import config
 from cohortlab.functions.quantiles import quantile_values
-from cohortlab.functions.sizing import broadcast_if_small
 from cohortlab.operators.features import time_index
 
 
@@ -23,7 +22,7 @@ def chrono_split(df: DataFrame, test_ratio: float = config.TEST_SIZE_RATIO, grou
     """
     if index not in df.columns:
         df = time_index(df, group=group, out=index)
-    n = broadcast_if_small(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")))
+    n = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     cut = F.floor(F.col("_n") * F.lit(1.0 - test_ratio))
     return (df.join(n, on=group, how="inner")
               .withColumn("split", F.when(F.col(index) < cut, F.lit("train")).otherwise(F.lit("test")))
@@ -106,7 +105,7 @@ def project_vocabulary(train: DataFrame, group: str = "PROJECT_ID", drop_first:
 
 def project_dummies(df: DataFrame, vocab: DataFrame, group: str = "PROJECT_ID") -> DataFrame:
     """Per row, the index and name of its single active indicator (NULL = all zero)."""
-    return df.join(broadcast_if_small(vocab), on=group, how="left")
+    return df.join(vocab, on=group, how="left")
 
 
 def dummy_vector_size(vocab: DataFrame) -> int:

@@ -40,14 +40,16 @@ cte("fx_refactoring", """
   FROM lineitem JOIN fx_commits ON COMMIT_HASH = CAST(l_orderkey AS VARCHAR)
   WHERE round(l_tax * 100) >= 7""")
 cte("fx_snap_raw", """
-  SELECT 'org.apache:' || n_name AS PROJECT_ID, strftime(l_shipdate, '%Y%m%d') AS ANALYSIS_KEY,
-         l_shipdate AS DATE, count(*) AS n,
+  SELECT 'org.apache:' || n_name AS PROJECT_ID, strftime(snap, '%Y%m%d') AS ANALYSIS_KEY,
+         snap AS DATE, count(*) AS n,
          CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS d,
          CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT) AS t,
          CAST(sum(l_linenumber) AS BIGINT) AS ln, CAST(sum(l_partkey) AS BIGINT) AS pk,
          CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-  WHERE day(l_shipdate) IN (1, 15) GROUP BY 1, 2, 3""")
+  FROM (SELECT *, make_timestamp(year(l_shipdate), month(l_shipdate), CASE WHEN day(l_shipdate) < 15 THEN 1 ELSE 15 END,
+                                 0, 0, 0.0) AS snap FROM lineitem)
+       JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+  GROUP BY 1, 2, 3""")
 cte("fx_sonar_analysis", "SELECT PROJECT_ID, ANALYSIS_KEY, DATE, ANALYSIS_KEY AS REVISION FROM fx_snap_raw")
 cte("fx_sonar_measures", """
   SELECT PROJECT_ID, ANALYSIS_KEY,

@@ -84,8 +84,12 @@ def run_modeling(spark: SparkSession, out_dir: str, modeling: DataFrame | None =
     return fitted
 
 
-def run_evaluation(spark: SparkSession, out_dir: str, fitted: dict[str, models.Fitted]) -> DataFrame:
-    """Score the test set with every model, persist the scores, write Table 3."""
+def run_evaluation(spark: SparkSession, out_dir: str, names: list[str] | None = None) -> DataFrame:
+    """Score the test set with the saved models, persist the scores, write Table 3.
+
+    Everything comes from ``out_dir``: no object of the training run is needed.
+    """
+    fitted = {n: models.load(_p(out_dir, "models", n)) for n in names or config.MODEL_ORDER[1:]}
     sp = spark.read.parquet(_p(out_dir, "processed", "split"))
     train, test = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
     parts = [models.dummy_scores(train, test)] + [f.score(test) for f in fitted.values()]

@@ -1,14 +1,12 @@
 """Model-stage queries (I1-I13, A12, A14, J6 on fitted scores, J14, D20, F5, F6).
 
 Training results are not SQL-expressible, so these are checked rows-only
-here and by closed-form tests in ``tests/``.  Fits are memoised per
-(session, data directory, model) inside one process, so several queries over
-the same fitted model do not retrain it.
+here and by closed-form tests in ``tests/``.  Fits are kept on the study they
+belong to, so several queries over one study do not retrain a model.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from cohortlab import config
@@ -16,33 +14,27 @@ from cohortlab.operators import attribution, metrics, models, profile, split
 from cohortlab.plans.registry import register
 from cohortlab.session import _RUN_ID, _SEQ, checkpoint_dir
 
-_FITS: dict = {}
-
-
 def _split_tables(s):
-    key = (id(s.spark), s.sf_dir, "split")
-    if key not in _FITS:
-        # short lineage (staged modeling table + one count join): persisted, not written
-        sp = split.chrono_split(s.modeling).persist(StorageLevel.MEMORY_AND_DISK)
+    if "split" not in s.fits:
+        sp = s.stage(split.chrono_split(s.modeling), "split")
         train = sp.filter(F.col("split") == "train")
-        _FITS[key] = (sp, train, sp.filter(F.col("split") == "test"), models.vocabulary(train))
-    return _FITS[key]
+        s.fits["split"] = (sp, train, sp.filter(F.col("split") == "test"), models.vocabulary(train))
+    return s.fits["split"]
 
 
 def _fit(s, name):
-    key = (id(s.spark), s.sf_dir, name)
-    if key not in _FITS:
+    if name not in s.fits:
         _, train, _, proj = _split_tables(s)
         feats = config.MODEL_FEATURES[name]
         if name.startswith(("M1", "M2", "M3")):
-            _FITS[key] = models.fit_logistic(train, feats, name, proj)
+            s.fits[name] = models.fit_logistic(train, feats, name, proj)
         elif name.startswith("M4"):
-            _FITS[key] = models.fit_forest(train, feats, name, proj)
+            s.fits[name] = models.fit_forest(train, feats, name, proj)
         elif name.startswith("M5"):
-            _FITS[key] = models.fit_boosted(train, feats, name, proj)
+            s.fits[name] = models.fit_boosted(train, feats, name, proj)
         else:
             raise KeyError(name)
-    return _FITS[key]
+    return s.fits[name]
 
 
 def _scores(s, names):
@@ -83,7 +75,15 @@ def fit_boosted(s):
     return metrics.model_comparison(_scores(s, ["M5_xgboost"]))
 
 
-@register("dummy_scores", ops="I9")
+def _draw(seed=config.RANDOM_STATE):
+    return f"CAST(concat('0x', substr(md5(concat(COMMIT_HASH, ':', '{seed}')), 1, 8)) AS BIGINT)"
+
+
+@register("dummy_scores", f"""
+  SELECT 'M0_dummy' AS model, PROJECT_ID, COMMIT_HASH, BIC AS label,
+         CASE WHEN {_draw()} / 4294967296.0 < (SELECT avg(BIC) FROM split WHERE split = 'train')
+              THEN 1.0 ELSE 0.0 END AS score
+  FROM split WHERE split = 'test'""", doubles=["score"], ops="I9")
 def dummy_scores(s):
     return _scores(s, ["M0_dummy"])
 
@@ -109,7 +109,7 @@ def persisted_evaluation(s):
     f = _fit(s, "M2_lr_tdr_rq1")
     path = f"{checkpoint_dir(s.spark).rstrip('/')}/cohortlab-{_RUN_ID}/{next(_SEQ):05d}-model-M2"
     models.save(f, path)
-    back = models.load(path, f.kind, f.name, f.design, f.scaled)
+    back = models.load(path)
     return metrics.model_comparison(back.score(test).withColumnRenamed(config.TARGET, "label"))
 
 
@@ -124,7 +124,7 @@ def vif_q(s):
     return profile.vif(s.imputed, config.VIF_VARIABLES)
 
 
-@register("hash_sample", ops="F5 F6")
+@register("hash_sample", f"SELECT * FROM modeling ORDER BY {_draw()}, COMMIT_HASH LIMIT 3000", ops="F5 F6")
 def hash_sample(s):
     return models.hash_sample(s.modeling, 3000)
 
@@ -137,7 +137,7 @@ def attribution_boosted(s):
     f = _fit(s, "M5_xgboost")
     path = f"{checkpoint_dir(s.spark).rstrip('/')}/cohortlab-{_RUN_ID}/{next(_SEQ):05d}-model-M5"
     models.save(f, path)
-    trees = treeshap.load_trees(s.spark, path)
+    trees = treeshap.load_trees(s.spark, f"{path}/model")
     x = models.assemble(test, f.design, False, keep=("COMMIT_HASH",))
     phi = treeshap.attribution_frame(x, "features", trees, list(f.model.treeWeights), f.design.columns)
     return treeshap.summarize(phi, [c for c in config.ATTRIBUTION_FEATURES if c in f.design.columns])

@@ -108,7 +108,7 @@ def _scratch(s, name):
     return f"{checkpoint_dir(s.spark).rstrip('/')}/cohortlab-{_RUN_ID}/{next(_SEQ):05d}-{name}"
 
 
-@register("csv_roundtrip_commits", "SELECT * FROM fx_commits", ops="A1 A2 A4 A5 A6 A7 B2 S14")
+@register("csv_roundtrip_commits", "SELECT * FROM fx_commits", ops="A1 B2 S14")
 def csv_roundtrip_commits(s):
     path = _scratch(s, "commits_csv")
     fixtures.csv_roundtrip(s.raw["commits"], path)
@@ -122,6 +122,34 @@ def csv_roundtrip_changes(s):
     return csv_src.read_csv(s.spark, path, csv_src.CHANGES)
 
 
+@register("csv_roundtrip_szz", "SELECT * FROM fx_szz", ops="A4 S14")
+def csv_roundtrip_szz(s):
+    path = _scratch(s, "szz_csv")
+    fixtures.csv_roundtrip(s.raw["szz"], path)
+    return csv_src.read_csv(s.spark, path, csv_src.SZZ)
+
+
+@register("csv_roundtrip_refactoring", "SELECT * FROM fx_refactoring", ops="A5 S14")
+def csv_roundtrip_refactoring(s):
+    path = _scratch(s, "refactoring_csv")
+    fixtures.csv_roundtrip(s.raw["refactoring"], path)
+    return csv_src.read_csv(s.spark, path, csv_src.REFACTORING)
+
+
+@register("csv_roundtrip_analysis", "SELECT * FROM fx_sonar_analysis", ops="A6 B2 S14")
+def csv_roundtrip_analysis(s):
+    path = _scratch(s, "analysis_csv")
+    fixtures.csv_roundtrip(s.raw["sonar_analysis"], path)
+    return csv_src.read_csv(s.spark, path, csv_src.SONAR_ANALYSIS)
+
+
+@register("csv_roundtrip_projects", "SELECT * FROM fx_projects", ops="A3 S14")
+def csv_roundtrip_projects(s):
+    path = _scratch(s, "projects_csv")
+    fixtures.csv_roundtrip(s.raw["projects"], path)
+    return csv_src.read_csv(s.spark, path, infer=True)
+
+
 @register("csv_roundtrip_measures", "SELECT * FROM fx_sonar_measures", doubles=MEAS, ops="A7 S14")
 def csv_roundtrip_measures(s):
     path = _scratch(s, "measures_csv")

@@ -23,7 +23,7 @@ from cohortlab.sources import fixtures
 
 class Study:
     def __init__(self, spark: SparkSession, sf_dir: str | None = None,
-                 raw: dict[str, DataFrame] | None = None, asof_bucket_micros: int | None = None,
+                 raw: dict[str, DataFrame] | None = None, asof_bucket_micros: int | str = "quantile",
                  min_commits: int = config.MIN_COMMITS_PER_PROJECT,
                  min_snapshots: int = config.MIN_SONAR_SNAPSHOTS, materialize_stages: bool = True):
         if raw is None and sf_dir is None:
@@ -35,8 +35,9 @@ class Study:
         self.min_commits = min_commits
         self.min_snapshots = min_snapshots
         self.materialize_stages = materialize_stages
+        self.fits: dict = {}  # split tables and fitted models of this study
 
-    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name) if self.materialize_stages else df
 
     # -- sources -------------------------------------------------------------
@@ -46,7 +47,7 @@ class Study:
             return self._raw
         # the fixture intermediates stay inside the cohort's plan: staging them
         # costs more writes than the recomputation it saves (measured at sf0.1);
-        # pass stage=self._stage to fixtures.raw_tables to stage the ingest
+        # pass stage=self.stage to fixtures.raw_tables to stage the ingest
         return fixtures.raw_tables(self.spark, self.sf_dir)
 
     @cached_property
@@ -94,7 +95,7 @@ class Study:
 
     @cached_property
     def cohort(self) -> DataFrame:
-        return self._stage(
+        return self.stage(
             assemble.assemble_cohort(self.linked(), self.churn, self.bic_labels, self.refs), "cohort")
 
     # -- features --------------------------------------------------------------
@@ -106,7 +107,7 @@ class Study:
 
     @cached_property
     def modeling(self) -> DataFrame:
-        return self._stage(features.modeling_ready(self.imputed), "modeling_ready")
+        return self.stage(features.modeling_ready(self.imputed), "modeling_ready")
 
     @cached_property
     def panel_all(self) -> DataFrame:

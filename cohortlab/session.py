@@ -9,11 +9,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings every plan in this package assumes.  They are applied with
-# ``setIfMissing`` semantics so a cluster's own configuration wins.
+# what the results depend on: forced on every session
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+}
+# how plans are run: only for sessions built here, a cluster's own configuration stays
+DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -34,7 +36,7 @@ def get_session(master: str | None = None, app: str = "cohortlab",
             # local mode: the driver JVM is the only executor
             b = b.config("spark.driver.memory", os.environ.get("COHORTLAB_DRIVER_MEMORY", "8g"))
     b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-    for k, v in REQUIRED_CONF.items():
+    for k, v in (DEFAULT_CONF | REQUIRED_CONF).items():
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -55,8 +57,9 @@ def apply_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) a private scratch folder is
-    created; on a cluster the configured shared path is always used.
+    Only where the setting is absent and the master is local (tests) a private
+    scratch folder is created; on a cluster a missing setting is an error, because
+    executors could not see each other's files.
     """
     d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
@@ -65,6 +68,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset conf raises
             d = None
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="cohortlab-ckpt-", dir=os.environ.get("COHORTLAB_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     return d
@@ -82,6 +88,12 @@ _RUN_ID = uuid.uuid4().hex[:12]
 _SEQ = itertools.count()
 
 
+def clean_outputs(spark: SparkSession) -> None:
+    """Delete what ``materialize`` and the scratch outputs of this process wrote."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/cohortlab-{_RUN_ID}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 

@@ -32,7 +32,8 @@ def _nullify(c: Column) -> Column:
     return F.when(F.trim(c).isin(*config.NULL_TOKENS), F.lit(None).cast("string")).otherwise(c)
 
 
-def _typed(c: Column, dtype: str, name: str) -> Column:
+def _typed(c: Column, dtype: str) -> Column:
+    """The value, or NULL where the text is NULL or not of the type."""
     c = _nullify(c)
     if dtype == "timestamp":
         return parse_timestamp_mixed(c)
@@ -40,24 +41,32 @@ def _typed(c: Column, dtype: str, name: str) -> Column:
         t = F.lower(F.trim(c))
         return (F.when(t.isin("true", "t", "1", "yes"), F.lit(True))
                  .when(t.isin("false", "f", "0", "no"), F.lit(False))
-                 .when(c.isNull(), F.lit(None).cast("boolean"))
-                 .otherwise(F.raise_error(F.concat(F.lit(f"bad boolean in {name}: "), c)).cast("boolean")))
+                 .otherwise(F.lit(None).cast("boolean")))
     if dtype in ("bigint", "int"):
         # '12.0' style integers are accepted, fractions are not
-        return F.coalesce(c.try_cast(dtype), c.try_cast("double").try_cast(dtype))
+        whole = c.try_cast("double")
+        return F.coalesce(c.try_cast(dtype), F.when(whole == F.floor(whole), whole.try_cast(dtype)))
     if dtype == "double":
         return c.try_cast("double")
     return c
 
 
 def read_csv(spark: SparkSession, path: str, schema: Mapping[str, str] | None = None,
-             columns: Sequence[str] | None = None, infer: bool = False) -> DataFrame:
+             columns: Sequence[str] | None = None, infer: bool = False, on_bad: str = "raise") -> DataFrame:
     """Headered CSV -> typed DataFrame, binding by header name.
 
     ``schema`` maps the wanted columns to types; ``infer=True`` reads every
-    column with type inference (the fully inferred project list, A3).
+    column with type inference (the fully inferred project list, A3).  Quoted
+    fields may hold line breaks, so files are split by file, not by block.
+
+    Text that is not NULL and not of its column's type is bad (``12.7`` in an
+    integer column, an impossible date).  ``on_bad='raise'`` counts it per column in
+    one aggregate and raises with the counts; ``'drop'`` leaves out rows with any;
+    ``'null'`` reads it as NULL.
     """
-    r = (spark.read.option("header", True).option("escape", '"').option("multiLine", False)
+    if on_bad not in ("raise", "drop", "null"):
+        raise ValueError("on_bad must be 'raise', 'drop' or 'null'")
+    r = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
          .option("mode", "FAILFAST"))
     if infer:
         return r.option("inferSchema", True).option("nullValue", "").csv(path)
@@ -68,7 +77,16 @@ def read_csv(spark: SparkSession, path: str, schema: Mapping[str, str] | None =
     missing = [c for c in want if c not in df.columns]
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")
-    return df.select(*[_typed(F.col(f"`{c}`"), schema[c], c).alias(c) for c in want])
+    typed = {c: _typed(F.col(f"`{c}`"), schema[c]) for c in want}
+    bad = {c: _nullify(F.col(f"`{c}`")).isNotNull() & t.isNull() for c, t in typed.items() if schema[c] != "string"}
+    if bad and on_bad == "raise":
+        n = df.agg(*[F.count_if(b).alias(c) for c, b in bad.items()]).first().asDict()
+        if any(n.values()):
+            raise ValueError(f"{path}: unparseable values: {({c: k for c, k in n.items() if k})}")
+    elif bad and on_bad == "drop":
+        for b in bad.values():
+            df = df.filter(~b)
+    return df.select(*[t.alias(c) for c, t in typed.items()])
 
 
 def read_study_csvs(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame]:

@@ -102,7 +102,9 @@ def _snap_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_shipdate", "l_discount", "l_tax", "l_linenumber", "l_partkey",
         "l_quantity")
-    li = li.filter(F.dayofmonth("l_shipdate").isin(1, 15))
+    # every ship date belongs to the snapshot of its half month, dated the 1st or 15th
+    half = F.when(F.dayofmonth("l_shipdate") < 15, 1).otherwise(15)
+    li = li.withColumn("l_shipdate", F.make_date(F.year("l_shipdate"), F.month("l_shipdate"), half))
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     j = li.join(s, li.l_suppkey == s.s_suppkey).join(n, F.col("s_nationkey") == n.n_nationkey)

@@ -123,5 +123,5 @@ def test_quantile_buckets_split_a_burst_and_match(spark):
     from cohortlab.operators.asof import _quantile_buckets
     l_ = spark.createDataFrame(left, L_SCHEMA).select("k", F.unix_micros("t").alias("_t"))
     r = spark.createDataFrame(right, R_SCHEMA).select("k", F.unix_micros("d").alias("_t"))
-    lb, _ = _quantile_buckets(l_, r, ["k"], n_buckets=32)
+    lb, _ = _quantile_buckets(l_, r, ["k"])
     assert lb.filter("k = 'hot'").select("_b").distinct().count() >= 16

@@ -18,6 +18,13 @@ def test_dedup_keep_first_earliest(spark):
     assert len(out) == 1 and out[0].AUTHOR_DATE == T("2020-01-01 00:00:00") and out[0].IN_MAIN_BRANCH is False
 
 
+def test_a_dated_duplicate_beats_an_undated_one(spark):
+    df = spark.createDataFrame([("p", "h", None, True), ("p", "h", T("2020-01-01 00:00:00"), None)],
+                               "PROJECT_ID string, COMMIT_HASH string, AUTHOR_DATE timestamp, IN_MAIN_BRANCH boolean")
+    out = clean.dedup_keep_first(df, ["PROJECT_ID", "COMMIT_HASH"], ["AUTHOR_DATE"]).collect()
+    assert [(r.AUTHOR_DATE, r.IN_MAIN_BRANCH) for r in out] == [(T("2020-01-01 00:00:00"), None)]
+
+
 def test_clip_keeps_null_and_nan_becomes_null(spark):
     df = spark.createDataFrame([(None,), (-3.0,), (float("nan"),), (2.5,)], "SQALE_DEBT_RATIO double")
     got = [r[0] for r in clean.clip_measures(df, ["SQALE_DEBT_RATIO"]).collect()]

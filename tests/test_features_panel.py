@@ -34,8 +34,12 @@ def test_dense_code_and_time_index(spark):
     df = spark.createDataFrame(rows, "PROJECT_ID string, COMMIT_HASH string, AUTHOR_DATE timestamp")
     codes = {r.COMMIT_HASH: r.PROJECT_IDX for r in features.dense_code(df).collect()}
     assert codes == {"h1": 1, "h2": 0, "h3": 0, "h0": 0, "h4": -1}
-    ti = {r.COMMIT_HASH: r.TIME_IDX for r in features.time_index(df.filter("PROJECT_ID IS NOT NULL")).collect()}
-    assert ti == {"h2": 0, "h3": 1, "h0": 2, "h1": 0}
+    ti = {r.COMMIT_HASH: r.TIME_IDX for r in features.time_index(df).collect()}
+    assert ti == {"h2": 0, "h3": 1, "h0": 2, "h1": 0, "h4": 0}
+    undated = df.union(spark.createDataFrame([("a", "h9", None), (None, "h8", None)], df.schema))
+    for bucket in ("quantile", 3_600_000_000):
+        got = {r.COMMIT_HASH: r.TIME_IDX for r in features.time_index(undated, bucket_micros=bucket).collect()}
+        assert got == ti | {"h9": 3, "h8": 1}
 
 
 @pytest.mark.parametrize("bucket", [None, "quantile"])
@@ -127,29 +131,37 @@ def test_empty_quartile_kept(spark):
     assert [r.quartile for r in out] == [1, 2, 3, 4] and sum(r.n for r in out) == 8
 
 
-def test_exact_quantiles_refinement_with_heavy_tie(spark):
-    from cohortlab.functions.quantiles import exact_quantiles, quantile_values
+def test_quantiles_with_heavy_tie_equal_numpy(spark):
+    from cohortlab.functions.quantiles import quantile_values
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=3000), np.zeros(1500), rng.exponential(size=800) * 1e6])
-    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    df = spark.createDataFrame([(float(v), 1e8 + float(v), None) for v in x] + [(float("nan"), None, None)],
+                               "v double, w double, n double")
     probs = [0, .25, .5, .75, 1, 0.3333]
-    got = exact_quantiles(df, "v", probs, buckets=16, leaf_rows=200)
-    assert np.allclose(got, np.quantile(x, probs), rtol=0, atol=0)
-    assert np.allclose(quantile_values(df, ["v"], probs, distinct_bound=10)["v"], np.quantile(x, probs), atol=0)
-    assert np.allclose(quantile_values(df, ["v"], probs)["v"], np.quantile(x, probs), atol=1e-9)
+    got = quantile_values(df, ["v", "w", "n"], probs)
+    assert np.allclose(got["v"], np.quantile(x, probs), rtol=0, atol=1e-9)
+    assert np.allclose(got["w"], np.quantile(1e8 + x, probs), rtol=1e-15)
+    assert got["n"] == [None] * 6
 
 
-def test_grouped_quantiles_refinement_matches_pandas(spark):
+def test_grouped_quantiles_equal_pandas_with_a_hot_tied_group(spark):
     import pandas as pd
-    from cohortlab.functions.quantiles import grouped_quantiles
+    from cohortlab.functions.quantiles import grouped_medians, grouped_quantiles
     rng = np.random.default_rng(8)
     g = np.where(rng.random(3000) < 0.6, "hot", rng.choice(["a", "b", "c"], 3000))
     v = np.where(rng.random(3000) < 0.2, 0.0, rng.normal(size=3000) * 100)
-    df = spark.createDataFrame([(str(a), float(b)) for a, b in zip(g, v)], "g string, v double")
-    want = pd.DataFrame({"g": g, "v": v}).groupby("g")["v"].quantile([0.25, 0.5]).unstack()
-    for bound in (10, 10**6):
-        got = grouped_quantiles(df, ["g"], "v", [0.25, 0.5], ["q1", "q2"], distinct_bound=bound,
-                                buckets=8, leaf_rows=300).toPandas().set_index("g")
-        for k in want.index:
-            assert abs(got.loc[k, "q1"] - want.loc[k, 0.25]) < 1e-9
-            assert abs(got.loc[k, "q2"] - want.loc[k, 0.5]) < 1e-9
+    df = spark.createDataFrame([(str(a) if a != "c" else None, float(b)) for a, b in zip(g, v)], "g string, v double")
+    frame = pd.DataFrame({"g": g, "v": v})
+    want = frame.groupby("g")["v"].quantile([0.25, 0.5]).unstack()
+    got = {r["g"] or "c": r["_q"] for r in grouped_quantiles(df, ["g"], ["v"], [0.25, 0.5]).collect()}
+    med = {r["g"] or "c": r["m_v"] for r in grouped_medians(df, ["g"], ["v"], "m_").collect()}
+    for k in want.index:
+        assert np.allclose(got[k], want.loc[k].to_numpy(), atol=1e-9) and abs(med[k] - want.loc[k, 0.5]) < 1e-9
+
+
+def test_nothing_stays_persisted(spark):
+    from cohortlab.functions.quantiles import quantile_values
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 3.0)], "PROJECT_ID string, SQALE_DEBT_RATIO double")
+    features.impute_group_median(df, ["SQALE_DEBT_RATIO"]).collect()
+    quantile_values(df, ["SQALE_DEBT_RATIO"], [0.5])
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
