@@ -97,10 +97,10 @@ def gram_parts(bench: DataFrame, item_id: str = "item_id", text: str = "text", n
 
 def scan(docs: DataFrame, bench: DataFrame, text: str = "text", n: int = NGRAM, item_id: str = "item_id",
          item_text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """``docs`` with ``hit_words`` (long), ``hit_spans`` (word ranges) and ``hit_items`` (ids, sorted)."""
+    """``docs`` with ``__hit_words`` (long), ``__hit_spans`` (word ranges) and ``__hit_items`` (ids, sorted)."""
     spark = docs.sparkSession
-    out = docs.withColumns({"hit_words": F.lit(0).cast("long"), "hit_spans": F.lit(None).cast(HITS),
-                            "hit_items": F.lit(None).cast("array<string>")})
+    out = docs.withColumns({"__hit_words": F.lit(0).cast("long"), "__hit_spans": F.lit(None).cast(HITS),
+                            "__hit_items": F.lit(None).cast("array<string>")})
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema.fields])
     for k, grams in enumerate(gram_parts(bench, item_id, item_text, n, part_bytes)):
         if k:
@@ -134,12 +134,12 @@ def _scanner(spark: SparkSession, grams: GramSet, text: str):
                     counts.append(len(w))
                     spans.append(_merge([(p, p + len(x)) for p, x in hits]))
                     items.append({i for _, x in hits for i in g.items[x]})
-            before_s, before_i = batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist()
+            before_s, before_i = batch.column("__hit_spans").to_pylist(), batch.column("__hit_items").to_pylist()
             spans = [_merge([(x["start"], x["end"]) for x in old or []] + new) for old, new in zip(before_s, spans)]
             items = [sorted(new.union(old or [])) for old, new in zip(before_i, items)]
-            new = {"hit_words": pa.array(counts, pa.int64()),
-                   "hit_spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], spans_type),
-                   "hit_items": pa.array(items, pa.list_(pa.string()))}
+            new = {"__hit_words": pa.array(counts, pa.int64()),
+                   "__hit_spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], spans_type),
+                   "__hit_items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names],
                                              names=batch.schema.names)
     return run
@@ -156,12 +156,12 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def hit_count() -> Column:
-    return F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return F.aggregate("__hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
 
 
 def remove_documents(scanned: DataFrame) -> DataFrame:
     """Documents without a hit."""
-    return scanned.filter(F.size("hit_spans") == 0).drop("hit_words", "hit_spans", "hit_items")
+    return scanned.filter(F.size("__hit_spans") == 0).drop("__hit_words", "__hit_spans", "__hit_items")
 
 
 def remove_spans(scanned: DataFrame, text: str = "text") -> DataFrame:
@@ -174,7 +174,7 @@ def remove_spans(scanned: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            for i, spans in enumerate(batch.column("hit_spans").to_pylist()):
+            for i, spans in enumerate(batch.column("__hit_spans").to_pylist()):
                 if spans:
                     at = [m.span() for m in word.finditer(texts[i])]
                     out, end = [], 0
@@ -186,4 +186,4 @@ def remove_spans(scanned: DataFrame, text: str = "text") -> DataFrame:
                 [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in batch.schema.names],
                 names=batch.schema.names)
 
-    return scanned.mapInArrow(run, schema).drop("hit_words", "hit_spans", "hit_items")
+    return scanned.mapInArrow(run, schema).drop("__hit_words", "__hit_spans", "__hit_items")

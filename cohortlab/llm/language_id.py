@@ -154,7 +154,11 @@ def fit_model(labelled: DataFrame, text: str = "text", lang: str = "lang", sampl
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``mixture`` (languages and proportions of the chosen set)."""
+    """``docs`` with ``lang_pred``, ``score`` and ``mixture`` (languages and proportions of the chosen set).
+
+    Columns of these names are replaced.
+    """
+    docs = docs.drop("lang_pred", "score", "mixture")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema.fields],
                            T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),

@@ -314,8 +314,8 @@ def fit_model(docs: DataFrame, text: str = "text", sample: int = SAMPLE, limit:
 
 
 def find(docs: DataFrame, model: SemiCRF, text: str = "text") -> DataFrame:
-    """``docs`` with ``base_spans`` and ``added_spans`` (kind, start, end in code points)."""
-    out = docs.withColumns({"base_spans": F.lit(None).cast(SPANS), "added_spans": F.lit(None).cast(SPANS)})
+    """``docs`` with ``__base_spans`` and ``__added_spans`` (kind, start, end in code points)."""
+    out = docs.withColumns({"__base_spans": F.lit(None).cast(SPANS), "__added_spans": F.lit(None).cast(SPANS)})
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema.fields])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -332,7 +332,7 @@ def find(docs: DataFrame, model: SemiCRF, text: str = "text") -> DataFrame:
                 own = base_spans(t)
                 base.append(own)
                 added.append(added_spans(t, own, crf))
-            new = {"base_spans": pack(base), "added_spans": pack(added)}
+            new = {"__base_spans": pack(base), "__added_spans": pack(added)}
             yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in b.schema.names], names=b.schema.names)
 
     return out.mapInArrow(run, schema)
@@ -357,7 +357,7 @@ def all_spans():
     """Base and added spans by start, then kind, then end."""
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     return F.transform(
-        F.array_sort(F.transform(F.concat("base_spans", "added_spans"), lambda s: F.struct(
+        F.array_sort(F.transform(F.concat("__base_spans", "__added_spans"), lambda s: F.struct(
             s["start"].alias("start"), order[s["kind"]].alias("o"), s["end"].alias("end"), s["kind"].alias("kind")))),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
@@ -374,7 +374,7 @@ def mask(found: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         for b in batches:
             texts = b.column(text).to_pylist()
-            base, added = b.column("base_spans").to_pylist(), b.column("added_spans").to_pylist()
+            base, added = b.column("__base_spans").to_pylist(), b.column("__added_spans").to_pylist()
             for i, (x, y) in enumerate(zip(base, added)):
                 if x or y:
                     texts[i] = masked(texts[i], [(s["kind"], s["start"], s["end"]) for s in x + y])
@@ -382,7 +382,7 @@ def mask(found: DataFrame, text: str = "text") -> DataFrame:
                 [pa.array(texts, pa.string()) if c == text else b.column(c) for c in b.schema.names],
                 names=b.schema.names)
 
-    return found.mapInArrow(run, schema).drop("base_spans", "added_spans")
+    return found.mapInArrow(run, schema).drop("__base_spans", "__added_spans")
 
 
 def masked(t: str, spans: list[tuple[str, int, int]]) -> str:

@@ -45,7 +45,7 @@ def _repeats(words: str, hashes: str, wins: str) -> Column:
     none; the others compare the windows' words.
     """
     n = F.size(words)
-    text = lambda i: F.array_join(F.slice(words, i + 1, 5), " ")
+    text = lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(5)])
     by_text = F.array_sort(F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.struct(text(i).alias("s"), i.alias("i"))))
     again = lambda s: F.transform(
         F.filter(F.transform(s, lambda x, k: F.struct(
@@ -63,7 +63,11 @@ def _let(value: Column, body) -> Column:
 
 def signals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
             source: str = "source") -> DataFrame:
-    """One row per input row: ids, groups, counts and integer signals."""
+    """One row per input row: ids, groups, counts and integer signals (a written table).
+
+    It is written because filters on the counts would otherwise be pushed below the
+    word arrays, which would then be computed again for every use.
+    """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"),
                     F.col(text).alias("t"), word_array(F.col(text)).alias("w"))
     # the line array is split from the text once; its distinct size gives the copies
@@ -90,7 +94,7 @@ def signals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
         lambda a: a["n"])
     d = d.select(*[c for c in d.columns if c != "p"], covered.alias("n_repeat_words"))
     per = lambda a, b: F.floor(F.col(a) * 1000 / F.greatest(F.col(b), F.lit(1))).cast("long")
-    return d.select(
+    return stage(d.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)).alias("base_failed"),
         per("n_symbols", "word_chars").alias("symbol_permille"),
@@ -98,7 +102,7 @@ def signals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
         per("n_dup_lines", "n_lines").alias("dup_line_permille"),
         per("n_repeat_words", "n_words").alias("repeat_permille"),
         F.when(F.col("n_words") >= MEAN_MIN_WORDS, F.floor(F.col("word_chars") * 100 / F.col("n_words")).cast("long"))
-        .alias("mean_word_centi"))
+        .alias("mean_word_centi")), "quality-signals")
 
 
 def bucket_low(v: Column) -> Column:
@@ -170,7 +174,7 @@ def judge(sig: DataFrame, fence_rows: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, **cols) -> DataFrame:
     """Verdict per document (see the module); signals and sketches are written tables."""
-    sig = stage(signals(docs, **cols), "quality-signals")
+    sig = signals(docs, **cols)
     sk = stage(sketches(sig), "quality-sketches")
     return judge(sig, stage(fences(sk), "quality-fences"))
 

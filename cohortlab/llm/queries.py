@@ -32,9 +32,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     s = decontamination.scan(docs, table(spark, sf_dir, "benchmark"))
     hit = decontamination.hit_count()
-    return s.select("doc_id", F.col("hit_words").alias("n_words"), hit.alias("n_hit"),
-                    F.size("hit_items").cast("long").alias("n_items"),
-                    F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+    return s.select("doc_id", F.col("__hit_words").alias("n_words"), hit.alias("n_hit"),
+                    F.size("__hit_items").cast("long").alias("n_items"),
+                    F.sha2(F.array_join("__hit_items", ","), 256).alias("items_sha256"),
                     (hit > 0).alias("contaminated"))
 
 
@@ -48,9 +48,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = personal_data.find(docs, personal_data.fit_model(docs))
-    n = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
+    n = lambda k: F.size(F.filter("__base_spans", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", *[n(k).alias(f"n_{k}") for k in personal_data.KINDS[:4]],
-                        F.sha2(personal_data.span_text(F.col("base_spans")), 256).alias("base_sha256"),
+                        F.sha2(personal_data.span_text(F.col("__base_spans")), 256).alias("base_sha256"),
                         personal_data.span_text(personal_data.all_spans()).alias("spans"))
 
 
