@@ -5,19 +5,22 @@ document with a smaller id.  With blocks of ``block = (window + 1) // 2`` words,
 window holds a whole block of its document's grid, so two documents that share a
 window share a block of one that is a rolling window of the other:
 
-1. Index and probe.  Every document sends the hashes of its rolling block-long
-   windows, those on its own grid marked as index entries.  A hash is live when it
-   is an index entry and occurs in two documents.
-2. Extend.  A window that touches a live anchor is a candidate; its full 64 + 64
-   bit hash goes to one place, where the smallest document holding it is found and
-   all others are told.  Neighbouring windows that repeat make up the maximal
-   repeat, so its words are the union of its windows.
+1. Index and probe.  The hashes of all rolling block-long windows meet in buckets,
+   those on their own document's grid marked as index entries.  A hash is live when
+   it is an index entry and occurs in two places.
+2. Extend.  A window that touches a live anchor is a candidate; the 96-bit hashes of
+   candidates meet again, and whoever is not the smallest document that holds one is
+   told.  Neighbouring windows that repeat make up the maximal repeat, so the words
+   to drop are the union of the windows.
 3. Cut.  Each document drops the words its repeated windows cover.
 
-Hashes travel as packed arrays, one row per slice of documents and hash bucket: the
-number of buckets follows the number of words, an occurrence costs six bytes, and
-several documents of a slice with one hash send it once, so a passage in a third of
-all documents stays small.  No pairs of documents are formed.
+Documents are cut into slices of some megabytes, written once, compressed.  A slice
+sends its distinct hashes per bucket in a fixed order (sorted differences in step 1)
+and gets one bit per hash back, so little but the compressed text moves; what
+documents of one slice share is settled inside it, so a passage in a third of all
+documents stays small.  The number of buckets follows the size of the texts.
+Documents that equal a smaller one take no part in step 2: all they have goes.  No
+pairs of documents are formed.
 
 Defined results: NULL and blank texts have no words; texts shorter than a window
 keep everything; repeated rows (equal ids) never remove each other's words; a NULL
@@ -27,8 +30,6 @@ other than the id and text are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,7 +43,7 @@ from cohortlab.llm.common import shuffle_partitions, slices, stage
 WINDOW = 13
 #: words whose hashes meet in one bucket, on average
 BUCKET_WORDS = 2_000_000
-SLICE_CHARS = 8 << 20
+SLICE_BYTES = 6 << 20
 NO_ID = (1 << 63) - 1
 _ODD = np.random.default_rng(13).integers(1, 1 << 63, (3, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -81,6 +82,97 @@ def _starts(at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + at[:-1][doc], doc
 
 
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """First rows of runs of equal rows (sorted input)."""
+    first = np.ones(len(columns[0]), bool)
+    if len(first):
+        first[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return first
+
+
+def _cuts(sorted_values: np.ndarray):
+    """``(value, lo, hi)`` of the runs of a sorted integer array."""
+    at = [*np.flatnonzero(_runs(sorted_values)).tolist(), len(sorted_values)]
+    return [(int(sorted_values[lo]), lo, hi) for lo, hi in zip(at, at[1:])]
+
+
+def _zip(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _unzip(z: bytes, dtype: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), dtype)
+
+
+class Slice:
+    """One slice of documents with the hashes that every step needs again."""
+
+    def __init__(self, a: Anchors, ids: np.ndarray, z: bytes, lens: np.ndarray):
+        self.a, self.ids = a, ids
+        raw = zstandard.ZstdDecompressor().decompress(z)
+        ends = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
+        self.texts = pa.Array.from_buffers(pa.large_string(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+        self.h, self.at = word_hashes(self.texts)
+        self.doc_of = np.repeat(np.arange(len(ids)), np.diff(self.at))
+
+    def anchors(self):
+        """Distinct anchor keys in order, whether each is on a grid and in several documents; and where they are."""
+        pos, doc = _starts(self.at, self.a.block)
+        key = self.a.key(rolling(self.h, self.a.block, 0)[pos])
+        grid = (pos - self.at[:-1][doc]) % self.a.block == 0
+        order = np.argsort(key, kind="stable")
+        key, doc, grid = key[order], doc[order], grid[order]
+        first = _runs(key)
+        run = np.cumsum(first) - 1
+        n = int(first.sum())
+        on_grid = np.bincount(run[grid], minlength=n) > 0
+        shared = np.bincount(run[doc != doc[first][run]], minlength=n) > 0
+        return key[first], on_grid, shared, pos[order], run
+
+    def candidates(self, live: np.ndarray, copies: np.ndarray):
+        """Windows that touch a live anchor: hashes, documents and positions in sending order.
+
+        Sorted by bucket and document; ``mine`` marks the smallest document's one of each
+        hash in the slice, ``late`` those behind it.
+        """
+        key, _, shared, pos, run = self.anchors()
+        hit = np.zeros(len(self.h) + 1, np.int64)
+        hit[pos[(live | shared)[run]]] = 1
+        reach = np.concatenate([[0], np.cumsum(hit)])
+        w, d = _starts(self.at, self.a.window)
+        keep = reach[w + self.a.window - self.a.block + 1] > reach[w]
+        keep &= ~copies[d]
+        w, d = w[keep], d[keep]
+        x = rolling(self.h, self.a.window, 0)[w]
+        y = (rolling(self.h, self.a.window, 1)[w] >> np.uint64(32)).astype("<u4")
+        ids = self.ids[d]
+        order = np.lexsort((ids, y, x))
+        x, y, ids, w = x[order], y[order], ids[order], w[order]
+        first = _runs(x, y)
+        run = np.cumsum(first) - 1
+        late = ids > ids[first][run]
+        bucket = (x[first] >> np.uint64(64 - self.a.bits)).astype(np.int64)
+        send = np.lexsort((ids[first], bucket))
+        return bucket[send], x[first][send], y[first][send], ids[first][send], send, run, late, w
+
+    def gone(self, live: np.ndarray, copies: np.ndarray, told: list[tuple[int, bytes]]) -> np.ndarray:
+        """Which words go, from the bits that came back for the candidates."""
+        bucket, _, _, _, send, run, late, w = self.candidates(live, copies)
+        bits = np.zeros(len(bucket), bool)
+        for q, b in told:
+            lo, hi = np.searchsorted(bucket, [q, q + 1])
+            bits[lo:hi] = np.unpackbits(np.frombuffer(b, np.uint8), count=hi - lo)
+        back = np.zeros(len(bucket), bool)
+        back[send] = bits
+        starts = w[late | back[run]]
+        edge = np.zeros(len(self.h) + 1, np.int64)
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + self.a.window, -1)
+        out = np.cumsum(edge[:-1]) > 0
+        whole = copies & (np.diff(self.at) >= self.a.window)
+        return out | whole[self.doc_of]
+
+
 class Anchors:
     def __init__(self, window: int = WINDOW, buckets: int = 64):
         self.window, self.block = window, (window + 1) // 2
@@ -90,156 +182,97 @@ class Anchors:
         """Bucket and remainder of an anchor hash: its first ``bits + 30`` bits."""
         return h >> np.uint64(64 - self.bits - 30)
 
-    # -- step 1 ---------------------------------------------------------------
-    def send(self, texts: pa.Array):
-        """``(bucket, document numbers, entries)`` of a slice; bucket -1 holds what is live for sure.
-
-        An entry is the hash remainder, then a bit for the grid and one for a hash
-        that several documents of the slice share.
-        """
-        h, at = word_hashes(texts)
-        pos, doc = _starts(at, self.block)
-        key = self.key(rolling(h, self.block, 0)[pos])
-        grid = (pos - at[:-1][doc]) % self.block == 0
-        order = np.argsort(key, kind="stable")
-        key, doc, grid = key[order], doc[order], grid[order]
-        first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        run = np.cumsum(first) - 1
-        begin = np.flatnonzero(first)
-        on_grid = np.bincount(run[grid], minlength=len(begin)) > 0
-        shared = np.zeros(len(begin), bool)
-        other = doc != doc[begin][run] if len(key) else np.zeros(0, bool)
-        shared[run[other]] = True
-        k1 = key[begin]
-        entry = ((k1 & np.uint64((1 << 30) - 1)) << np.uint64(2)) | (on_grid.astype(np.uint64) << np.uint64(1)) | shared
-        bucket = (k1 >> np.uint64(30)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            yield int(bucket[lo]), doc[begin[lo:hi]].astype("<u4"), entry[lo:hi].astype("<u4")
-        # the other documents of the slice that have a shared hash: candidates anyway
-        yield -1, doc[other].astype("<u4"), key[other]
-
-    @staticmethod
-    def live(entries: np.ndarray) -> np.ndarray:
-        """Which entries of a bucket are index hits from more than one place."""
-        rem = entries >> np.uint32(2)
-        order = np.argsort(rem, kind="stable")
-        rem = rem[order]
-        first = np.ones(len(rem), bool)
-        first[1:] = rem[1:] != rem[:-1]
-        run = np.cumsum(first) - 1
-        grid = np.bincount(run, (entries[order] >> np.uint32(1)) & 1) > 0
-        many = (np.bincount(run) > 1) | (np.bincount(run, entries[order] & 1) > 0)
-        out = np.empty(len(rem), bool)
-        out[order] = (grid & many)[run]
+    def live_of(self, keys: np.ndarray, told: list[tuple[int, bytes]]) -> np.ndarray:
+        """A slice's live anchors from the bits that came back per bucket."""
+        out = np.zeros(len(keys), bool)
+        bucket = (keys >> np.uint64(30)).astype(np.int64)
+        for q, b in told:
+            lo, hi = np.searchsorted(bucket, [q, q + 1])
+            out[lo:hi] = np.unpackbits(np.frombuffer(b, np.uint8), count=hi - lo)
         return out
 
-    # -- step 2 ---------------------------------------------------------------
-    def candidates(self, text: str, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the windows of a text that touch a live anchor, and their positions."""
-        h, _ = word_hashes(pa.array([text]))
-        if len(h) < self.window:
-            return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
-        hit = np.isin(self.key(rolling(h, self.block, 0)), live)
-        reach = np.concatenate([[0], np.cumsum(hit)])
-        n = len(h) - self.window + 1
-        at = np.flatnonzero(reach[self.window - self.block + 1:][:n] > reach[:n])
-        return np.stack([rolling(h, self.window, 0)[at], rolling(h, self.window, 1)[at]], axis=1), at
 
+def pack_anchors(keys: np.ndarray, grid: np.ndarray, shared: np.ndarray) -> bytes:
+    """Sorted remainders as differences: low halves plain, high halves (mostly zero) compressed, then flags."""
+    d = np.diff(keys & np.uint64((1 << 30) - 1), prepend=np.uint64(0)).astype("<u4")
+    high = _zip((d >> 16).astype("<u2"))
+    return (len(d).to_bytes(4, "little") + len(high).to_bytes(4, "little") + high + (d & 0xFFFF).astype("<u2").tobytes()
+            + np.packbits(grid).tobytes() + np.packbits(shared).tobytes())
 
-def _pack(text: str | None) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress((text or "").encode())
 
+def unpack_anchors(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, k = int.from_bytes(b[:4], "little"), int.from_bytes(b[4:8], "little")
+    high = _unzip(b[8:8 + k], "<u2").astype(np.uint32)
+    low = np.frombuffer(b, "<u2", n, 8 + k)
+    flags = np.frombuffer(b, np.uint8, offset=8 + k + 2 * n)
+    half = (n + 7) // 8
+    bits = lambda x: np.unpackbits(x, count=n).astype(bool)
+    return np.cumsum((high << 16) | low, dtype=np.uint32), bits(flags[:half]), bits(flags[half:])
 
-def _unpack(z: bytes) -> str:
-    return zstandard.ZstdDecompressor().decompress(z).decode()
 
+def live_bits(packed: list[bytes]) -> list[np.ndarray]:
+    """Per sender of a bucket, which of its hashes are index entries that occur in two places."""
+    parts = [unpack_anchors(b) for b in packed]
+    rem, grid, shared = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(rem, kind="stable")
+    first = _runs(rem[order])
+    run = np.cumsum(first) - 1
+    live = (np.bincount(run, grid[order]) > 0) & ((np.bincount(run) > 1) | (np.bincount(run, shared[order]) > 0))
+    out = np.empty(len(rem), bool)
+    out[order] = live[run]
+    return np.split(out, np.cumsum([len(r) for r, _, _ in parts])[:-1])
 
-def _packed_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(k, doc_id, z)``: comparison key, id and compressed text, so that shuffles stay small."""
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [pc.fill_null(b.column("doc_id"), NO_ID), b.column("doc_id"),
-                 pa.array([_pack(t) for t in b.column("t").to_pylist()], pa.binary())], names=["k", "doc_id", "z"])
+def late_bits(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Per sender of a bucket, which of its windows a smaller document holds."""
+    x, y, ids = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((ids, y, x))
+    first = _runs(x[order], y[order])
+    own = ids[order]
+    out = np.empty(len(x), bool)
+    out[order] = own > own[first][np.cumsum(first) - 1]
+    return np.split(out, np.cumsum([len(p[0]) for p in parts])[:-1])
 
-    return d.mapInArrow(run, "k long, doc_id long, z binary")
 
+_SLICE = "slice long, ids binary, z binary, lens binary, hashes binary"
 
-def live_anchors(docs: DataFrame, a: Anchors, doc_id: str, text: str) -> DataFrame:
-    """``(k, live)``: per document the keys of its live anchors, packed."""
-    n = max(shuffle_partitions(docs.sparkSession), 1 << a.bits)
-    d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text).alias("t"))
 
-    def send(batches):
+def slice_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Written table of slices: comparison ids, compressed texts, their lengths and hashes."""
+    d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("k"),
+                    F.coalesce(F.col(text), F.lit("")).alias("t"))
+
+    def run(batches):
         for b in batches:
-            for lo, hi in slices(b.column("t"), SLICE_CHARS):
+            for lo, hi in slices(b.column("t"), SLICE_BYTES):
                 ids = b.column("k").slice(lo, hi - lo).to_numpy().astype("<i8")
-                slice_id = xxhash.xxh64_intdigest(ids.tobytes()) >> 1
-                rows = [(q, slice_id, doc.tobytes(), x.tobytes()) for q, doc, x in a.send(b.column("t").slice(lo, hi - lo))]
-                # membership and what is live already ride along in some bucket and come back with the answers
-                rows.append((-2, slice_id, ids.tobytes(), b""))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
-                    names=["bucket", "slice", "docs", "entries"])
-
-    sent = d.mapInArrow(send, "bucket int, slice long, docs binary, entries binary")
-    route = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.col("slice"), F.lit(1 << a.bits)))
-    sent = sent.withColumn("to", route.cast("int")).repartition(n, "to").sortWithinPartitions("to", "bucket")
-
-    def answer(batches):
-        for rows in _groups(batches, "bucket", lambda q: q >= 0):
-            q = rows[0]["bucket"]
-            if q < 0:
-                yield _answer_batch([(rows[0]["slice"], q, rows[0]["docs"], rows[0]["entries"])])
-                continue
-            entries = [np.frombuffer(r["entries"], "<u4") for r in rows]
-            live = a.live(np.concatenate(entries))
-            out, lo = [], 0
-            for r, e in zip(rows, entries):
-                mine = live[lo:lo + len(e)]
-                lo += len(e)
-                if mine.any():
-                    key = (e[mine] >> np.uint32(2)).astype(np.uint64) | np.uint64(q << 30)
-                    out.append((r["slice"], q, np.frombuffer(r["docs"], "<u4")[mine].tobytes(), key.tobytes()))
-            yield _answer_batch(out)
-
-    back = sent.mapInArrow(answer, "slice long, bucket int, docs binary, entries binary")
-    back = back.repartition(n, "slice").sortWithinPartitions("slice")
-
-    def gather(batches):
-        for rows in _groups(batches, "slice", lambda s: True):
-            ids = next((np.frombuffer(r["docs"], "<i8") for r in rows if r["bucket"] == -2), None)
-            got = [r for r in rows if r["bucket"] != -2]
-            doc = np.concatenate([np.frombuffer(r["docs"], "<u4") for r in got]) if got else np.zeros(0, "<u4")
-            key = np.concatenate([np.frombuffer(r["entries"], "<u8") for r in got]) if got else np.zeros(0, "<u8")
-            order = np.argsort(doc, kind="stable")
-            doc, key = doc[order], key[order]
-            cuts = np.flatnonzero(np.diff(doc.astype(np.int64), prepend=-1)).tolist() + [len(doc)]
-            # repeated slices of repeated rows give a document twice; its rows are merged later
-            ks = [int(ids[doc[lo]]) for lo in cuts[:-1]]
-            vs = [np.unique(key[lo:hi]).tobytes() for lo, hi in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(vs, pa.binary())], names=["k", "live"])
-
-    return back.mapInArrow(gather, "k long, live binary")
-
-
-def _answer_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [(), (), (), ()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
-        names=["slice", "bucket", "docs", "entries"])
-
-
-def _groups(batches, key: str, together):
-    """Lists of rows with one key (sorted input); rows whose key is not ``together`` come one by one."""
-    held: list[dict] = []
+                raw = [t.as_buffer().to_pybytes() for t in b.column("t").slice(lo, hi - lo)]
+                hashes = b"".join(map(xxhash.xxh3_128_digest, raw))
+                row = (xxhash.xxh64_intdigest(ids.tobytes() + hashes) >> 1, ids.tobytes(),
+                       zstandard.ZstdCompressor(level=1).compress(b"".join(raw)),
+                       np.fromiter(map(len, raw), "<u4", len(raw)).tobytes(), hashes)
+                yield _batch([row], _SLICE)
+
+    # a slice of repeated rows may come twice; a number tells the two apart
+    rows = d.mapInArrow(run, _SLICE).withColumn("slice", F.xxhash64("slice", F.monotonically_increasing_id()))
+    return stage(rows, "substring-slices")
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    cols = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
+
+
+def _bucketed(batches, columns: list[str]):
+    """Rows of each bucket (sorted input) as tuples of the columns."""
+    held: list[tuple] = []
     for b in batches:
-        for r in b.to_pylist():
-            if held and (r[key] != held[0][key] or not together(r[key])):
+        for r in zip(*(b.column(c).to_pylist() for c in columns)):
+            if held and r[0] != held[0][0]:
                 yield held
                 held = []
             held.append(r)
@@ -247,126 +280,99 @@ def _groups(batches, key: str, together):
         yield held
 
 
-def repeated_windows(docs: DataFrame, a: Anchors, doc_id: str, text: str) -> DataFrame:
-    """``(k, cut)``: per document the hashes of its windows that a smaller document holds, packed."""
-    spark = docs.sparkSession
-    n = max(shuffle_partitions(spark), 1 << a.bits)
-    live = live_anchors(docs, a, doc_id, text)
-    packed = _packed_rows(docs, doc_id, text).select("k", "z")
-    joined = packed.join(live.groupBy("k").agg(F.collect_list("live").alias("live")), "k")
+def _told(answers: DataFrame, name: str) -> DataFrame:
+    return answers.groupBy("slice").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
-    def send(batches):
-        held, words = [], 0
-        for b in batches:
-            for k, z, live_ in zip(*(b.column(c).to_pylist() for c in ("k", "z", "live"))):
-                h, _ = a.candidates(_unpack(z), np.frombuffer(b"".join(live_), "<u8"))
-                if len(h):
-                    held.append((k, np.unique(h, axis=0)))
-                    words += len(h)
-                if words >= 1_000_000:
-                    yield _window_batch(held, a.bits)
-                    held, words = [], 0
-        if held:
-            yield _window_batch(held, a.bits)
-
-    sent = joined.mapInArrow(send, "bucket int, own boolean, docs binary, entries binary")
-    # hashes repeated inside a sender are settled there and only travel to their document
-    route = F.when(F.col("own"), F.xxhash64("docs") % (1 << a.bits)).otherwise(F.col("bucket"))
-    sent = sent.withColumn("to", route.cast("int")).repartition(n, "to").sortWithinPartitions("to", "own", "bucket")
-
-    def settle(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        at = None
+
+def _pairs(rows) -> list[tuple[int, bytes]]:
+    return [(r["bucket"], r["bits"]) for r in rows or []]
+
+
+def copies_of_smaller(table_: DataFrame) -> DataFrame:
+    """``(slice, copies)``: numbers of a slice's documents whose whole text a smaller document has."""
+    def explode(batches):
         for b in batches:
-            for q, own, docs_, entries in zip(*(b.column(c).to_pylist() for c in ("bucket", "own", "docs", "entries"))):
-                ids, e = np.frombuffer(docs_, "<i8"), np.frombuffer(entries, "<u8").reshape(-1, 2)
-                if own:
-                    yield _cut_batch(ids, e[:, 0])
-                    continue
-                if at is not None and q != at:
-                    yield _settled(held)
-                    held = []
-                at = q
-                held.append((ids, e))
-        if held:
-            yield _settled(held)
-
-    cut = sent.mapInArrow(settle, "k long, cut binary")
-    return cut.groupBy("k").agg(F.collect_list("cut").alias("cut"))
-
-
-def _window_batch(held: list[tuple[int, np.ndarray]], bits: int) -> pa.RecordBatch:
-    """Rows of a sender: per bucket the smallest document of each hash, and the others' hashes as settled."""
-    ids = np.repeat(np.array([k for k, _ in held], np.int64), [len(h) for _, h in held])
-    h = np.concatenate([x for _, x in held])
-    order = np.lexsort((ids, h[:, 1], h[:, 0]))
-    ids, h = ids[order], h[order]
-    first = np.ones(len(ids), bool)
-    first[1:] = (h[1:] != h[:-1]).any(axis=1)
-    least = ids[first][np.cumsum(first) - 1]
-    rows = []
-    bucket = (h[first, 0] >> np.uint64(64 - bits)).astype(np.int64)
-    own_ids, own_h = ids[first], h[first]
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
-    for lo, hi in zip(cuts, cuts[1:]):
-        rows.append((int(bucket[lo]), False, own_ids[lo:hi].astype("<i8").tobytes(), own_h[lo:hi].astype("<u8").tobytes()))
-    late = ids > least
-    if late.any():
-        rows.append((0, True, ids[late].astype("<i8").tobytes(), h[late].astype("<u8").tobytes()))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))],
-        names=["bucket", "own", "docs", "entries"])
-
-
-def _settled(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    ids, h = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-    order = np.lexsort((ids, h[:, 1], h[:, 0]))
-    ids, h = ids[order], h[order]
-    first = np.ones(len(ids), bool)
-    first[1:] = (h[1:] != h[:-1]).any(axis=1)
-    late = ids > ids[first][np.cumsum(first) - 1]
-    return _cut_batch(ids[late], h[late, 0])
-
-
-def _cut_batch(ids: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(ids, kind="stable")
-    ids, h = ids[order], h[order]
-    cuts = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1)).tolist() + [len(ids)] if len(ids) else [0]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([int(ids[lo]) for lo in cuts[:-1]], pa.int64()),
-         pa.array([np.unique(h[lo:hi]).tobytes() for lo, hi in zip(cuts, cuts[1:])], pa.binary())], names=["k", "cut"])
-
-
-def covered(h: np.ndarray, cut: np.ndarray, window: int) -> np.ndarray:
-    """Which words lie in a window whose hash is in ``cut``."""
-    hit = np.isin(rolling(h, window, 0), cut).astype(np.int64)
-    edge = np.zeros(len(h) + 1, np.int64)
-    edge[:len(hit)] += hit
-    edge[window:window + len(hit)] -= hit
-    return np.cumsum(edge[:-1]) > 0
+            for s, ids, hashes in zip(*(b.column(c).to_pylist() for c in ("slice", "ids", "hashes"))):
+                k = np.frombuffer(ids, "<i8")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s] * len(k), pa.int64()), pa.array(np.arange(len(k), dtype=np.int32)), pa.array(k),
+                     pa.array([hashes[i:i + 16] for i in range(0, len(hashes), 16)], pa.binary())],
+                    names=["slice", "n", "k", "h"])
+
+    rows = table_.select("slice", "ids", "hashes").mapInArrow(explode, "slice long, n int, k long, h binary")
+    least = stage(rows.groupBy("h").agg(F.min("k").alias("least"), F.count("*").alias("c")).filter("c > 1")
+                  .select(F.col("h").alias("g"), "least"), "substring-copies")
+    return (rows.join(least, F.col("h") == F.col("g")).filter("k > least")
+            .groupBy("slice").agg(F.collect_list("n").alias("copies")))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)`` per row; ``kept`` holds the remaining words, one space between."""
+    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(shuffle_partitions(docs.sparkSession), total // (5 * BUCKET_WORDS))
+    buckets = max(shuffle_partitions(spark), total // (5 * BUCKET_WORDS))
     a = Anchors(window, 1 << int(buckets - 1).bit_length())
-    cuts = stage(repeated_windows(docs, a, doc_id, text), "substring-cuts")
-    rows = _packed_rows(docs, doc_id, text).join(cuts, "k", "left").select("doc_id", "z", "cut")
+    n = max(shuffle_partitions(spark), 1 << a.bits)
+    table_ = slice_table(docs, doc_id, text)
+    copies = copies_of_smaller(table_)
 
-    def run(batches):
+    def slices_of(batches, *told: str):
         for b in batches:
-            out = []
-            for i, z, cut in zip(*(b.column(c).to_pylist() for c in ("doc_id", "z", "cut"))):
-                w = _unpack(z).encode().split()
-                n = len(w)
-                if cut:
-                    h, _ = word_hashes(pa.array([_unpack(z)]))
-                    gone = covered(h, np.frombuffer(b"".join(cut), "<u8"), window)
-                    w = [x for x, g in zip(w, gone.tolist()) if not g]
-                out.append((i, n, n - len(w), b" ".join(w).decode()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()))],
-                names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+            for r in b.to_pylist():
+                s = Slice(a, np.frombuffer(r["ids"], "<i8"), r["z"], np.frombuffer(r["lens"], "<u4"))
+                own = np.zeros(len(s.ids), bool)
+                own[r.get("copies") or []] = True
+                yield r["slice"], s, own, *[_pairs(r.get(t)) for t in told]
+
+    def send_anchors(batches):
+        for i, s, _ in slices_of(batches):
+            key, grid, shared, _, _ = s.anchors()
+            rows = [(q, i, pack_anchors(key[lo:hi], grid[lo:hi], shared[lo:hi]))
+                    for q, lo, hi in _cuts((key >> np.uint64(30)).astype(np.int64))]
+            yield _batch(rows, "bucket int, slice long, packed binary")
+
+    def answer_anchors(batches):
+        for rows in _bucketed(batches, ["bucket", "slice", "packed"]):
+            bits = live_bits([r[2] for r in rows])
+            yield _batch([(r[1], r[0], np.packbits(x).tobytes()) for r, x in zip(rows, bits) if x.any()],
+                         "slice long, bucket int, bits binary")
+
+    def send_windows(batches):
+        for i, s, own, live in slices_of(batches, "live"):
+            bucket, x, y, ids, *_ = s.candidates(a.live_of(s.anchors()[0], live), own)
+            rows = [(q, i, x[lo:hi].astype("<u8").tobytes(), y[lo:hi].tobytes(), _zip(ids[lo:hi].astype("<i8")))
+                    for q, lo, hi in _cuts(bucket)]
+            yield _batch(rows, "bucket int, slice long, x binary, y binary, ids binary")
+
+    def answer_windows(batches):
+        for rows in _bucketed(batches, ["bucket", "slice", "x", "y", "ids"]):
+            bits = late_bits([(np.frombuffer(r[2], "<u8"), np.frombuffer(r[3], "<u4"), _unzip(r[4], "<i8")) for r in rows])
+            yield _batch([(r[1], r[0], np.packbits(v).tobytes()) for r, v in zip(rows, bits) if v.any()],
+                         "slice long, bucket int, bits binary")
+
+    def meet(sent: DataFrame, answer) -> DataFrame:
+        return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
+            answer, "slice long, bucket int, bits binary")
+
+    plain = table_.select("slice", "ids", "z", "lens")
+    anchors = plain.mapInArrow(send_anchors, "bucket int, slice long, packed binary")
+    live = _told(meet(anchors, answer_anchors), "live")
+    marks = stage(table_.select("slice").join(live, "slice", "left").join(copies, "slice", "left"), "substring-live")
+    windows = plain.join(marks, "slice").mapInArrow(send_windows, "bucket int, slice long, x binary, y binary, ids binary")
+    late = stage(_told(meet(windows, answer_windows), "late"), "substring-late")
+
+    def cut(batches):
+        for _, s, own, live, late in slices_of(batches, "live", "late"):
+            gone = s.gone(a.live_of(s.anchors()[0], live), own, late)
+            rows = []
+            for k, t, lo, hi in zip(s.ids.tolist(), s.texts, s.at[:-1].tolist(), s.at[1:].tolist()):
+                w = t.as_buffer().to_pybytes().split()
+                g = gone[lo:hi]
+                m = int(g.sum())
+                if m:
+                    w = [x for x, y in zip(w, g.tolist()) if not y]
+                rows.append((None if k == NO_ID else k, hi - lo, m, b" ".join(w).decode()))
+            yield _batch(rows, "doc_id long, n_words long, n_removed long, kept string")
+
+    return plain.join(marks, "slice").join(late, "slice", "left").mapInArrow(
+        cut, "doc_id long, n_words long, n_removed long, kept string")
