@@ -79,9 +79,8 @@ def test_blank_boolean_raises(spark, tmp_path):
     p = tmp_path / "c.csv"
     p.write_text('MERGE,PROJECT_ID,COMMIT_HASH,AUTHOR_DATE,IN_MAIN_BRANCH,X\n'
                  'False,p,h1,2020-01-01,True,"a ""q"""\nmaybe,p,h2,2020-01-02,False,y\n')
-    df = csv_src.read_csv(spark, str(p), csv_src.COMMITS)
-    with pytest.raises(Exception):
-        df.collect()
+    with pytest.raises(ValueError, match="MERGE.: 1"):
+        csv_src.read_csv(spark, str(p), csv_src.COMMITS)
     p.write_text('MERGE,PROJECT_ID,COMMIT_HASH,AUTHOR_DATE,IN_MAIN_BRANCH,X\nFalse,p,h1,2020-01-01,True,"a ""q"""\n'
                  'NA,p,h2,N/A,False,y\n')
     rows = csv_src.read_csv(spark, str(p), csv_src.COMMITS).collect()

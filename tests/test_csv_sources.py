@@ -32,3 +32,29 @@ def test_all_inputs_roundtrip(spark, tmp_path):
         assert _rows(back[name]) == _rows(want), name
     proj = back["projects"]
     assert set(raw["projects"].columns) <= set(proj.columns) and proj.count() == raw["projects"].count()
+
+
+def _csv(tmp_path, text):
+    p = tmp_path / "x.csv"
+    p.write_text(text)
+    return str(p)
+
+
+def test_quoted_newline_is_one_row(spark, tmp_path):
+    p = _csv(tmp_path, 'PROJECT_ID,MESSAGE,COMMIT_HASH,AUTHOR_DATE,IN_MAIN_BRANCH,MERGE\n'
+                       'a,"line one\nline two",1,2020-01-01,true,false\nb,x,2,2020-01-02,true,false\n')
+    got = csv_src.read_csv(spark, p, csv_src.COMMITS).collect()
+    assert [(r.PROJECT_ID, r.COMMIT_HASH, r.IN_MAIN_BRANCH) for r in got] == [("a", "1", True), ("b", "2", True)]
+
+
+@pytest.mark.parametrize("schema,row,column", [
+    ("COMMITS", "a,1,not-a-date,true,false", "AUTHOR_DATE"), ("COMMITS", "a,1,2020-01-01,maybe,false", "IN_MAIN_BRANCH"),
+    ("CHANGES", "a,1,12.7,0", "LINES_ADDED"), ("CHANGES", "a,1,0,abc", "LINES_REMOVED")])
+def test_bad_values_are_counted(spark, tmp_path, schema, row, column):
+    s = getattr(csv_src, schema)
+    good = "a,2,2020-01-01,true,false" if schema == "COMMITS" else "a,2,12.0,"
+    p = _csv(tmp_path, ",".join(s) + f"\n{row}\n{good}\n")
+    with pytest.raises(ValueError, match=f"{column}.: 1"):
+        csv_src.read_csv(spark, p, s)
+    assert [r.COMMIT_HASH for r in csv_src.read_csv(spark, p, s, on_bad="drop").collect()] == ["2"]
+    assert csv_src.read_csv(spark, p, s, on_bad="null").filter(f"{column} IS NULL AND COMMIT_HASH = '1'").count() == 1

@@ -60,7 +60,7 @@ def test_descending_cumulative_equals_window(spark):
     rng = np.random.default_rng(2)
     rows = [("a" if i % 3 else "b", float(rng.random()), int(rng.integers(0, 5))) for i in range(400)]
     df = spark.createDataFrame(rows, "model string, score double, pos long").dropDuplicates(["model", "score"])
-    got = descending_cumulative(df, ["model"], "score", ["pos"], n_buckets=16)
+    got = descending_cumulative(df, ["model"], "score", ["pos"])
     w = Window.partitionBy("model").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("w", F.sum("pos").over(w))
     j = got.join(want, ["model", "score"])
@@ -130,3 +130,61 @@ def test_hash_sample_stable_under_repartition(spark):
     a = [r[0] for r in models.hash_sample(df, 50).collect()]
     b = [r[0] for r in models.hash_sample(df.repartition(13), 50).collect()]
     assert a == b and len(set(a)) == 50
+
+
+def test_vif_survives_large_means_and_constants(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1e8 + float(x), 1e8 + float(y), 3.0) for x, y in rng.normal(size=(400, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {r.Variable: r.VIF for r in profile.vif(df, ["a", "b", "c"]).collect()}
+    r2 = np.corrcoef(np.array(rows)[:, :2].T - 1e8)[0, 1] ** 2
+    assert abs(got["a"] - 1 / (1 - r2)) < 1e-6 and abs(got["b"] - got["a"]) < 1e-9 and got["c"] is None
+    same = spark.createDataFrame([(x, 2 * x + 1) for x, _, _ in rows], "a double, b double")
+    assert min(r.VIF for r in profile.vif(same, ["a", "b"]).collect()) > 1e8
+
+
+def _project_data(spark, projects, n):
+    rng = np.random.default_rng(1)
+    p = rng.integers(0, projects, n)
+    x = rng.normal(size=n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x + (p % 3) - 1)))).astype(int)
+    return p, x, y, spark.createDataFrame(
+        [(f"h{i}", f"p{k:05d}", float(a), int(b)) for i, (k, a, b) in enumerate(zip(p, x, y))],
+        "COMMIT_HASH string, PROJECT_ID string, f1 double, BIC int")
+
+
+def test_indicators_match_newton_and_a_saved_model_scores_alone(spark, tmp_path):
+    p, x, y, df = _project_data(spark, 4, 400)
+    fit = models.fit_logistic(df, ["f1"], "lr")
+    X = np.column_stack([x, *[(p == k).astype(float) for k in range(1, 4)]])
+    Z, n = (X - X.mean(0)) / X.std(0), len(y)
+    w = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
+    A, beta = np.column_stack([np.ones(n), Z]), np.zeros(5)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-A @ beta))
+        beta -= np.linalg.solve((A * (w * q * (1 - q))[:, None]).T @ A + np.diag([0, 1, 1, 1, 1]),
+                                A.T @ (w * (q - y)) + np.r_[0, beta[1:]])
+    assert np.allclose(fit.model.coefficients.toArray(), beta[1:], atol=1e-5)
+    other = spark.createDataFrame([("z1", "unseen", 0.3, 0), ("z2", "p00002", None, 1)], df.schema)
+    test = df.union(other)
+    models.save(fit, str(tmp_path / "m"))
+    back = models.load(str(tmp_path / "m"))
+    key = lambda d: {r.COMMIT_HASH: r.score for r in d.collect()}
+    assert key(back.score(test)) == key(fit.score(test))
+    want = 1 / (1 + np.exp(-(A @ beta)))
+    assert np.allclose([key(fit.score(df))[f"h{i}"] for i in range(n)], want, atol=1e-5)
+
+
+def test_thousands_of_projects_fit(spark):
+    _, _, _, df = _project_data(spark, 5000, 12_000)
+    fit = models.fit_logistic(df, ["f1"], "lr", max_iter=10)
+    assert len(fit.design.projects) > 4000 and fit.model.coefficients.size == len(fit.design.columns)
+
+
+def test_forest_and_boosted_models_rank(spark):
+    _, _, _, df = _project_data(spark, 5, 1500)
+    forest = models.fit_forest(df, ["f1"], num_trees=10, max_depth=5, min_leaf=5)
+    boosted = models.fit_boosted(df, ["f1"], rounds=8, max_depth=3)
+    for f in (forest, boosted):
+        row = metrics.model_comparison(f.score(df).withColumnRenamed("BIC", "label")).first().asDict()
+        assert next(v for k, v in row.items() if "roc" in k.lower()) > 0.7

@@ -19,7 +19,7 @@ def test_stage_functions_write_and_reread(spark, tmp_path):
     m = pipeline.run_features(spark, out)                 # re-reads the cohort Parquet
     assert m.count() == 69 and "TIME_IDX" in m.columns
     pipeline.run_reports(spark, out)
-    fitted = pipeline.run_modeling(spark, out, names=["M1_lr_baseline"])
-    t3 = pipeline.run_evaluation(spark, out, fitted).collect()
+    pipeline.run_modeling(spark, out, names=["M1_lr_baseline"])
+    t3 = pipeline.run_evaluation(spark, out, names=["M1_lr_baseline"]).collect()
     assert [r.Model for r in t3] == ["M0_dummy", "M1_lr_baseline"]
     assert os.path.isdir(os.path.join(out, "models", "M1_lr_baseline"))
