@@ -81,9 +81,9 @@ def _draw(seed=config.RANDOM_STATE):
 
 @register("dummy_scores", f"""
   SELECT 'M0_dummy' AS model, PROJECT_ID, COMMIT_HASH, BIC AS label,
-         CASE WHEN {_draw()} / 4294967296.0 < (SELECT avg(BIC) FROM split WHERE split = 'train')
+         CASE WHEN {_draw()} / 4294967296.0 < (SELECT avg(BIC) FROM mtrain)
               THEN 1.0 ELSE 0.0 END AS score
-  FROM split WHERE split = 'test'""", doubles=["score"], ops="I9")
+  FROM msplit WHERE split = 'test'""", doubles=["score"], ops="I9")
 def dummy_scores(s):
     return _scores(s, ["M0_dummy"])
 
