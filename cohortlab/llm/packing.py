@@ -39,9 +39,9 @@ from cohortlab.llm.tokens import encoder
 
 CAPACITY = 2048
 END_ID = 0
-NODES = 4000
+NODES = 1500
 WIDTH = 8
-RANK_BUCKET = 4096
+RANK_BUCKET = 512
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
     def run(batches):
         enc = encoder(tokenizer, keep_space)
         for b in batches:
-            for lo, hi in slices(b.column("t"), 4 << 20):
+            for lo, hi in slices(b.column("t"), 8 << 20):
                 ids, at = enc.encode_documents(b.column("t").slice(lo, hi - lo), END_ID)
                 n = np.diff(at)
                 k = -(-n // capacity)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,31 @@ import pyarrow.compute as pc
 _WHITE = "\\t\\n\\x0b\\x0c\\r \\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 _ODD = f" [{_WHITE}]|[{_WHITE}] "
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-CACHE = 400_000
-CACHED_CHARS = 16
+CACHE = 250_000
+CACHED_BYTES = 32
 GROUP = 128
 
 
+class _Known:
+    """Ids of distinct pieces, as arrays."""
+
+    def __init__(self, words: pa.Array, size: np.ndarray, ids: np.ndarray):
+        self.words, self.size, self.ids = words, size, ids
+        self.begin = np.cumsum(size) - size
+
+    def take(self, at: np.ndarray) -> "_Known":
+        size = self.size[at]
+        where = np.repeat(self.begin[at] - (np.cumsum(size) - size), size)
+        return _Known(self.words.take(pa.array(at)), size, self.ids[where + np.arange(len(where))])
+
+    def plus(self, other: "_Known") -> "_Known":
+        return _Known(pa.concat_arrays([self.words, other.words]), np.concatenate([self.size, other.size]),
+                      np.concatenate([self.ids, other.ids]))
+
+
+_NONE = _Known(pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u4"))
+
+
 class Encoder:
     """``encode(texts)``: all ids (unsigned 32-bit) and each text's offsets into them.
 
@@ -37,40 +58,47 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.path, self.load = path, Tokenizer.from_file
         self.marked = Tokenizer.from_file(path)
         self.keep_space = keep_space
         self.mark = special if keep_space else " \x01 "
         (self.mark_id,) = self.marked.encode(self.mark, add_special_tokens=False).ids
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.known = [_NONE, _NONE]
+
+    @cached_property
+    def lib(self):
+        lib = self.load(self.path)
+        lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        return lib
 
-    def _raw(self, pieces: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
+    def _raw(self, pieces: list[str]) -> list[np.ndarray]:
+        out: dict[str, np.ndarray] = {}
         plain = [p for p in pieces if "<|" not in p and "\x01" not in p]
         groups = [plain[lo:lo + GROUP] for lo in range(0, len(plain), GROUP)]
         coded = self.marked.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False)
         for part, code in zip(groups, coded):
             ids = np.array(code.ids, "<u4")
             cuts = [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            raw = ids.tobytes()
-            out.update((p, raw[4 * a + 4:4 * b]) for p, a, b in zip(part, cuts, cuts[1:]))
-        return [out[p] if p in out else np.array(self.lib.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-                for p in pieces]
+            out.update((p, ids[a + 1:b]) for p, a, b in zip(part, cuts, cuts[1:]))
+        return [out[p] if p in out else np.array(self.lib.encode(p, add_special_tokens=False).ids, "<u4") for p in pieces]
 
-    def _look_up(self, pieces: list[str], lead: str) -> list[bytes]:
-        """Ids of distinct pieces that follow ``lead``."""
+    def _look_up(self, pieces: pa.Array, lead: str) -> _Known:
+        """Ids of distinct pieces that follow ``lead``, in their order; the table keeps the short ones."""
         known = self.known[bool(lead)]
-        out = list(map(known.get, pieces))
-        new = [i for i, o in enumerate(out) if o is None]
-        if new:
-            if len(known) > CACHE:
-                known.clear()
-            for i, ids in zip(new, self._raw([lead + pieces[i] for i in new])):
-                out[i] = ids
-                if len(pieces[i]) <= CACHED_CHARS:
-                    known[pieces[i]] = ids
-        return out
+        at = pc.fill_null(pc.index_in(pieces, value_set=known.words), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if len(known.words) + len(new) > CACHE:  # what this batch has not seen goes
+                used = np.flatnonzero(at >= 0)
+                known = known.take(at[used])
+                at[used] = np.arange(len(used))
+            words = pieces.take(pa.array(new))
+            ids = self._raw([lead + p for p in words.to_pylist()])
+            at[new] = len(known.words) + np.arange(len(new))
+            known = known.plus(_Known(words, np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate(ids)))
+            short = pc.less_equal(pc.binary_length(known.words), CACHED_BYTES).to_numpy(zero_copy_only=False)
+            self.known[bool(lead)] = known if short.all() else known.take(np.flatnonzero(short))
+        return known.take(at)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
@@ -89,19 +117,17 @@ class Encoder:
         flat = cut.flatten()
         coded = flat.dictionary_encode()
         code = coded.indices.to_numpy().astype(np.int64)
-        ids = self._look_up(coded.dictionary.to_pylist(), " " if self.keep_space else "")
+        own = self._look_up(coded.dictionary, " " if self.keep_space else "")
         if self.keep_space and len(texts):  # a text's first piece follows no space
             first = offsets[:-1]
-            own = pc.take(flat, pa.array(first)).dictionary_encode()
-            code[first] = own.indices.to_numpy().astype(np.int64) + len(ids)
-            ids += self._look_up(own.dictionary.to_pylist(), "")
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begin = np.cumsum(size) - size
-        lens = size[code]
+            begins = pc.take(flat, pa.array(first)).dictionary_encode()
+            code[first] = begins.indices.to_numpy().astype(np.int64) + len(own.words)
+            own = own.plus(self._look_up(begins.dictionary, ""))
+        lens = own.size[code]
         ends = np.concatenate([[0], np.cumsum(lens)])
-        at = np.repeat(begin[code] - ends[:-1], lens)
+        at = np.repeat(own.begin[code] - ends[:-1], lens)
         at += np.arange(len(at))
-        return np.frombuffer(b"".join(ids), "<u4")[at], ends[offsets]
+        return own.ids[at], ends[offsets]
 
     def encode_documents(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The same with ``end_id`` after every text."""
