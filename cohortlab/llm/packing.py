@@ -14,8 +14,8 @@ documents there are:
 - the first incumbent is best fit decreasing; the search stops at the bound
   ``ceil(tokens / capacity)`` or after ``NODES`` nodes, with the best packing so far.
 
-Spark then ranks the pieces of each length (buckets of some thousand rows with prefix
-counts, so no length is gathered in a task) and looks each rank up in the fillings.
+Spark then ranks the pieces of each length (buckets whose number grows with the
+square root of its count, with prefix counts, so no length is gathered in a task) and looks each rank up in the fillings.
 
 Defined results: NULL and empty texts are one end id; repeated rows are packed each;
 ties are broken by id, piece and checksum; an empty table packs nothing; columns
@@ -25,6 +25,7 @@ other than the id and text are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from bisect import bisect_left
 from collections import Counter
@@ -41,7 +42,7 @@ CAPACITY = 2048
 END_ID = 0
 NODES = 1500
 WIDTH = 8
-RANK_BUCKET = 512
+RANK_BUCKET = 128
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
@@ -242,7 +243,8 @@ def place(parts: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Dat
     shared = spark.sparkContext.broadcast(Places(fillings))
     key = [c for c in ("doc_id", "piece", "ids_crc32") if c in parts.columns]
     buckets = F.lit(1)
-    big = {n: -(-c // RANK_BUCKET) for n, c in counts.items() if c > RANK_BUCKET}
+    # as many buckets as rows in one, and at least RANK_BUCKET rows: both grow with the square root
+    big = {n: -(-c // max(RANK_BUCKET, math.isqrt(c))) for n, c in counts.items() if c > RANK_BUCKET}
     if big:
         by_len = F.create_map(*[F.lit(x) for n, b in sorted(big.items()) for x in (n, b)])
         buckets = F.coalesce(F.try_element_at(by_len, F.col("length")), F.lit(1))

@@ -92,3 +92,100 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_tokens(files)
+
+
+# -- DuckDB SQL of the queries that it can express -------------------------------
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+ORACLES["op2_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+     f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
+       CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest"""
+
+ORACLES["op6_substring_dedup"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+     t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+     g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS k
+           FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+     least AS (SELECT k, min(doc_id) AS first_id FROM g GROUP BY k),
+     hit AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT g.doc_id, g.i FROM g JOIN least ON g.k = least.k
+             WHERE g.doc_id > first_id), (SELECT unnest(range(0, 13)) AS j)),
+     kept AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.i) AS s, count(*) AS n FROM t
+              LEFT JOIN hit ON t.doc_id = hit.doc_id AND t.i = hit.i WHERE hit.i IS NULL GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
+_FOLDED = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+           "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+ORACLES["op9_decontamination"] = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_FOLDED} AS w FROM benchmark),
+     bg AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS k
+            FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+     d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
+     dg AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                  FROM d, (SELECT DISTINCT n FROM bg) WHERE len(w) >= n)),
+     m AS (SELECT doc_id, dg.n, i, item FROM dg JOIN bg ON dg.n = bg.n AND dg.k = bg.k),
+     hit AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM m, (SELECT unnest(range(0, 10)) AS j) WHERE j < n GROUP BY doc_id),
+     its AS (SELECT doc_id, count(*) AS c, string_agg(item, ',' ORDER BY item) AS s
+             FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(c, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id"""
+
+
+def _quality_sql() -> str:
+    q = quality_rules
+    values = " UNION ALL ".join(f"SELECT lang, source, '{s}' AS signal, {s} AS v FROM sig WHERE NOT base_failed AND {s} IS NOT NULL"
+                                for s in q.SIGNALS)
+
+    def quartiles(keys: str) -> str:
+        k = keys and keys + ", "
+        return f"""SELECT {k}signal, min(low) FILTER (WHERE upto * 4 >= total) AS q1, min(low) FILTER (WHERE upto * 4 >= total * 3) AS q3,
+                   max(total) AS total FROM (SELECT {k}signal, low, sum(n) OVER (PARTITION BY {k}signal ORDER BY low) AS upto,
+                   sum(n) OVER (PARTITION BY {k}signal) AS total FROM (SELECT {k}signal, low, count(*) AS n FROM sk GROUP BY {k}signal, low))
+                   GROUP BY {k}signal"""
+
+    pick = lambda c: (f"CASE WHEN s.total >= {q.MIN_GROUP} THEN s.{c} WHEN l.total >= {q.MIN_GROUP} THEN l.{c} ELSE a.{c} END")
+    res = "CASE s.signal " + " ".join(f"WHEN '{s}' THEN {r}" for s, (r, _) in q.SIGNALS.items()) + " END"
+    two = ", ".join(f"'{s}'" for s, (_, t) in q.SIGNALS.items() if t)
+    bad = " OR ".join(f"(signal = '{s}' AND ({s} > hi OR (signal IN ({two}) AND {s} < lo)))" for s in q.SIGNALS)
+    return f"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+     g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS k
+           FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+     r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM
+           (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1),
+           (SELECT unnest(range(0, 5)) AS j) GROUP BY doc_id),
+     ln AS (SELECT doc_id, count(*) AS n, count(DISTINCT x) AS u FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)
+            WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+     c AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                  CAST(len(regexp_extract_all(t, '[A-Z]')) AS BIGINT) AS n_upper, CAST(coalesce(ln.n, 0) AS BIGINT) AS n_lines,
+                  CAST(coalesce(ln.n - u, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+           FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN ln ON d.doc_id = ln.doc_id),
+     sig AS (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed,
+                    n_symbols * 1000 // greatest(word_chars, 1) AS symbol_permille, n_upper * 1000 // greatest(word_chars, 1) AS upper_permille,
+                    n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_line_permille,
+                    n_repeat_words * 1000 // greatest(n_words, 1) AS repeat_permille,
+                    CASE WHEN n_words >= {q.MEAN_MIN_WORDS} THEN word_chars * 100 // n_words END AS mean_word_centi FROM c),
+     sk AS (SELECT lang, source, signal, (v // p) * p AS low FROM
+            (SELECT *, CAST(pow(2, greatest(length(bin(v)) - {q.SKETCH_BITS}, 0)) AS BIGINT) AS p FROM ({values}))),
+     qs AS ({quartiles("lang, source")}), ql AS ({quartiles("lang")}), qa AS ({quartiles("")}),
+     f AS (SELECT lang, source, signal, q1 - greatest(q3 - q1, res) * {q.FENCE} AS lo, q3 + greatest(q3 - q1, res) * {q.FENCE} AS hi
+           FROM (SELECT s.lang, s.source, s.signal, {pick("q1")} AS q1, {pick("q3")} AS q3, {res} AS res FROM qs s
+                 JOIN ql l ON s.lang IS NOT DISTINCT FROM l.lang AND s.signal = l.signal JOIN qa a ON s.signal = a.signal)),
+     o AS (SELECT DISTINCT doc_id FROM sig JOIN f ON sig.lang IS NOT DISTINCT FROM f.lang AND sig.source IS NOT DISTINCT FROM f.source
+           WHERE {bad})
+SELECT sig.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND o.doc_id IS NULL AS kept, symbol_permille, upper_permille, dup_line_permille, repeat_permille, mean_word_centi
+FROM sig LEFT JOIN o ON sig.doc_id = o.doc_id"""
+
+
+ORACLES["op1_quality_rules"] = _quality_sql()
