@@ -147,7 +147,7 @@ def csv_roundtrip_analysis(s):
 def csv_roundtrip_projects(s):
     path = _scratch(s, "projects_csv")
     fixtures.csv_roundtrip(s.raw["projects"], path)
-    return csv_src.read_csv(s.spark, path, infer=True)
+    return csv_src.read_csv(s.spark, path, infer=True).select(*s.raw["projects"].columns)
 
 
 @register("csv_roundtrip_measures", "SELECT * FROM fx_sonar_measures", doubles=MEAS, ops="A7 S14")
