@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,3 +91,12 @@ def slices(texts: list | pa.Array, max_chars: int = 1 << 20):
             lo, used = i + 1, 0
     if lo < len(texts):
         yield lo, len(texts)
+
+
+def release_memory() -> None:
+    """Give a Python worker's freed memory back: it idles beside the JVM until the next Python stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlab.llm.common import slices, stage
+from cohortlab.llm.common import release_memory, slices, stage
 
 NGRAM = 10
 PART_BYTES = 32 << 20
@@ -142,6 +142,7 @@ def _scanner(spark: SparkSession, grams: GramSet, text: str):
                    "__hit_items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names],
                                              names=batch.schema.names)
+            release_memory()
     return run
 
 

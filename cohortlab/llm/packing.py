@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import slices, stage
+from cohortlab.llm.common import release_memory, slices, stage
 from cohortlab.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -73,6 +73,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
                 if with_ids:
                     cols.append(pa.array([bytes(x) for x in parts], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+            release_memory()
 
     return d.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long"
                         + ", ids binary" * with_ids)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import components, shuffle_partitions, slices, stage
+from cohortlab.llm.common import components, release_memory, shuffle_partitions, slices, stage
 
 SHINGLE = 3
 BITS = 3
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             t = b.column("t")
             fps = [fingerprint(x, shingle) for lo, hi in slices(t) for x in t.slice(lo, hi - lo).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            release_memory()
 
     return d.mapInArrow(run, "doc_id long, fp long")
 

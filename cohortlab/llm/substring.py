@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import shuffle_partitions, slices, stage
+from cohortlab.llm.common import release_memory, shuffle_partitions, slices, stage
 
 WINDOW = 13
 #: words whose hashes meet in one bucket, on average
@@ -323,6 +323,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 own = np.zeros(len(s.ids), bool)
                 own[r.get("copies") or []] = True
                 yield r["slice"], s, own, *[_pairs(r.get(t)) for t in told]
+            release_memory()
 
     def send_anchors(batches):
         for i, s, _ in slices_of(batches):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from cohortlab.llm import mixing_coder
-from cohortlab.llm.common import shuffle_partitions, slices, stage
+from cohortlab.llm.common import release_memory, shuffle_partitions, slices, stage
 from cohortlab.llm.tokens import encoder
 from cohortlab.llm.warc import _filesystem
 from cohortlab.session import checkpoint_dir
@@ -112,6 +112,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, doc
                 w = w or _Writer(folder, TaskContext.get().partitionId())
                 ids, at = enc.encode_documents(b.column("t").slice(lo, hi - lo), END_ID)
                 w.add(ids, b.column("doc_id").slice(lo, hi - lo).to_pylist(), np.diff(at))
+            release_memory()
         cols = [(x,) for x in w.close()] if w else [(), (), (), ()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))],
