@@ -24,6 +24,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 CACHE = 250_000
 CACHED_BYTES = 32
 GROUP = 128
+AT_ONCE = 32
 
 
 class _Known:
@@ -75,11 +76,13 @@ class Encoder:
         out: dict[str, np.ndarray] = {}
         plain = [p for p in pieces if "<|" not in p and "\x01" not in p]
         groups = [plain[lo:lo + GROUP] for lo in range(0, len(plain), GROUP)]
-        coded = self.marked.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False)
-        for part, code in zip(groups, coded):
-            ids = np.array(code.ids, "<u4")
-            cuts = [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            out.update((p, ids[a + 1:b]) for p, a, b in zip(part, cuts, cuts[1:]))
+        for lo in range(0, len(groups), AT_ONCE):  # the library's results are far larger than the ids
+            some = groups[lo:lo + AT_ONCE]
+            coded = self.marked.encode_batch_fast([self.mark.join(g) for g in some], add_special_tokens=False)
+            for part, code in zip(some, coded):
+                ids = np.array(code.ids, "<u4")
+                cuts = [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+                out.update((p, ids[a + 1:b]) for p, a, b in zip(part, cuts, cuts[1:]))
         return [out[p] if p in out else np.array(self.lib.encode(p, add_special_tokens=False).ids, "<u4") for p in pieces]
 
     def _look_up(self, pieces: pa.Array, lead: str) -> _Known:
