@@ -32,11 +32,6 @@ def null_to_zero(c, dtype: str | None = None) -> Column:
     return c.cast(dtype) if dtype else c
 
 
-def safe_div(num, den) -> Column:
-    """Division that yields NULL instead of failing on a zero divisor."""
-    return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))
-
-
 def log1p(c) -> Column:
     return F.log1p(_c(c).cast("double"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab import config
-from cohortlab.functions.quantiles import quantile_values
+from cohortlab.functions.quantiles import join_null_safe, quantile_values
 from cohortlab.operators.features import time_index
 
 
@@ -17,14 +17,14 @@ def chrono_split(df: DataFrame, test_ratio: float = config.TEST_SIZE_RATIO, grou
     """First ``floor(n * (1 - test_ratio))`` commits of each project train, the rest test.
 
     Uses the running time index (computed bucket-wise, so no whole-project
-    sort); the per-project size is a grouped count joined back after a size
-    check.
+    sort); the per-project size is a grouped count joined back, NULL being a
+    project like any other, so no row is lost.
     """
     if index not in df.columns:
         df = time_index(df, group=group, out=index)
     n = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     cut = F.floor(F.col("_n") * F.lit(1.0 - test_ratio))
-    return (df.join(n, on=group, how="inner")
+    return (join_null_safe(df, n, [group])
               .withColumn("split", F.when(F.col(index) < cut, F.lit("train")).otherwise(F.lit("test")))
               .withColumnRenamed("_n", "project_n"))
 
@@ -46,15 +46,6 @@ def class_weights(train: DataFrame, label: str = config.TARGET) -> DataFrame:
                      F.try_divide(n.cast("double"), pos * 2).alias("weight_pos"))
 
 
-def with_balanced_weight(df: DataFrame, train: DataFrame, label: str = config.TARGET,
-                         out: str = "weight") -> DataFrame:
-    """Per-row balanced class weight from train counts, as a column."""
-    w = class_weights(train, label)
-    w0 = w.select("weight_neg").scalar()
-    w1 = w.select("weight_pos").scalar()
-    return df.withColumn(out, F.when(F.col(label) == 1, w1).otherwise(w0))
-
-
 def standardize_params(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """Mean and population SD per feature; a zero SD becomes scale 1."""
     aggs = []
@@ -67,16 +58,6 @@ def standardize_params(train: DataFrame, features: Sequence[str]) -> DataFrame:
     return long.withColumn("scale", F.when(F.col("sd") == 0, F.lit(1.0)).otherwise(F.col("sd")))
 
 
-def standardize(df: DataFrame, params: DataFrame, features: Sequence[str], suffix: str = "_z") -> DataFrame:
-    """(x - mean) / scale per feature with train parameters (I4); NULL input -> 0 first."""
-    cols = {}
-    for f in features:
-        p = params.filter(F.col("feature") == f)
-        m, s = p.select("mean").scalar(), p.select("scale").scalar()
-        cols[f + suffix] = (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - m) / s
-    return df.withColumns(cols)
-
-
 def train_medians(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """Exact train median per feature, the fill value of the alternative matrix builder."""
     med = quantile_values(train, features, [0.5])
@@ -106,8 +87,3 @@ def project_vocabulary(train: DataFrame, group: str = "PROJECT_ID", drop_first:
 def project_dummies(df: DataFrame, vocab: DataFrame, group: str = "PROJECT_ID") -> DataFrame:
     """Per row, the index and name of its single active indicator (NULL = all zero)."""
     return df.join(vocab, on=group, how="left")
-
-
-def dummy_vector_size(vocab: DataFrame) -> int:
-    return vocab.count()
-

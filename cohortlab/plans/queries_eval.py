@@ -73,6 +73,17 @@ def null_fill_train_median(s):
     return split.train_medians(_train(s), config.FEATURES_M3)
 
 
+_FILLED = ", ".join(f"coalesce(CAST({f} AS DOUBLE), (SELECT median({f}) FROM mtrain)) AS {f}" for f in config.FEATURES_M3)
+
+
+@register("fill_train_median", f"SELECT PROJECT_ID, COMMIT_HASH, split, {_FILLED} FROM msplit",
+          doubles=list(config.FEATURES_M3), ops="I3")
+def fill_train_median(s):
+    sp = _split(s)
+    filled = split.fill_train_median(sp, sp.filter(F.col("split") == "train"), config.FEATURES_M3)
+    return filled.select("PROJECT_ID", "COMMIT_HASH", "split", *[F.col(f).cast("double") for f in config.FEATURES_M3])
+
+
 def _scores(s):
     return fixture_scores(s.cohort)
 

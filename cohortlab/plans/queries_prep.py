@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from cohortlab.operators import profile
 from cohortlab.operators.asof import asof_coverage
 from cohortlab.plans.oracle import MEAS

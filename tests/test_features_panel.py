@@ -42,7 +42,7 @@ def test_dense_code_and_time_index(spark):
         assert got == ti | {"h9": 3, "h8": 1}
 
 
-@pytest.mark.parametrize("bucket", [None, "quantile"])
+@pytest.mark.parametrize("bucket", [3_600_000_000, "quantile"])
 def test_running_index_matches_row_number(spark, bucket):
     rng = np.random.default_rng(1)
     base = T("2020-01-01 00:00:00")
@@ -165,3 +165,13 @@ def test_nothing_stays_persisted(spark):
     features.impute_group_median(df, ["SQALE_DEBT_RATIO"]).collect()
     quantile_values(df, ["SQALE_DEBT_RATIO"], [0.5])
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_rows_without_project_or_date_survive_split_and_index(spark):
+    from cohortlab.operators import split
+    rows = [("a", f"h{i}", T("2020-01-01 00:00:00") + dt.timedelta(days=i)) for i in range(5)]
+    rows += [("a", "h9", None), (None, "n1", T("2020-01-01 00:00:00")), (None, "n2", None)]
+    df = spark.createDataFrame(rows, "PROJECT_ID string, COMMIT_HASH string, AUTHOR_DATE timestamp")
+    got = {r.COMMIT_HASH: (r.TIME_IDX, r.split) for r in split.chrono_split(df).collect()}
+    assert len(got) == len(rows)
+    assert got["h9"] == (5, "test") and got["n1"] == (0, "train") and got["n2"] == (1, "test")

@@ -15,9 +15,9 @@ def test_stage_functions_write_and_reread(spark, tmp_path):
     out = str(tmp_path / "out")
     s = Study(spark, SF)
     cohort = pipeline.run_preprocessing(s, out)
-    assert cohort.count() == 69
+    assert cohort.count() == 70
     m = pipeline.run_features(spark, out)                 # re-reads the cohort Parquet
-    assert m.count() == 69 and "TIME_IDX" in m.columns
+    assert m.count() == 70 and "TIME_IDX" in m.columns
     pipeline.run_reports(spark, out)
     pipeline.run_modeling(spark, out, names=["M1_lr_baseline"])
     t3 = pipeline.run_evaluation(spark, out, names=["M1_lr_baseline"]).collect()
