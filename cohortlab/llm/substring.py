@@ -30,6 +30,8 @@ other than the id and text are ignored.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -115,6 +117,7 @@ class Slice:
         self.h, self.at = word_hashes(self.texts)
         self.doc_of = np.repeat(np.arange(len(ids)), np.diff(self.at))
 
+    @cached_property
     def anchors(self):
         """Distinct anchor keys in order, whether each is on a grid and in several documents; and where they are."""
         pos, doc = _starts(self.at, self.a.block)
@@ -135,7 +138,7 @@ class Slice:
         Sorted by bucket and document; ``mine`` marks the smallest document's one of each
         hash in the slice, ``late`` those behind it.
         """
-        key, _, shared, pos, run = self.anchors()
+        key, _, shared, pos, run = self.anchors
         hit = np.zeros(len(self.h) + 1, np.int64)
         hit[pos[(live | shared)[run]]] = 1
         reach = np.concatenate([[0], np.cumsum(hit)])
@@ -327,7 +330,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def send_anchors(batches):
         for i, s, _ in slices_of(batches):
-            key, grid, shared, _, _ = s.anchors()
+            key, grid, shared, _, _ = s.anchors
             rows = [(q, i, pack_anchors(key[lo:hi], grid[lo:hi], shared[lo:hi]))
                     for q, lo, hi in _cuts((key >> np.uint64(30)).astype(np.int64))]
             yield _batch(rows, "bucket int, slice long, packed binary")
@@ -340,7 +343,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def send_windows(batches):
         for i, s, own, live in slices_of(batches, "live"):
-            bucket, x, y, ids, *_ = s.candidates(a.live_of(s.anchors()[0], live), own)
+            bucket, x, y, ids, *_ = s.candidates(a.live_of(s.anchors[0], live), own)
             rows = [(q, i, x[lo:hi].astype("<u8").tobytes(), y[lo:hi].tobytes(), _zip(ids[lo:hi].astype("<i8")))
                     for q, lo, hi in _cuts(bucket)]
             yield _batch(rows, "bucket int, slice long, x binary, y binary, ids binary")
@@ -364,7 +367,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def cut(batches):
         for _, s, own, live, late in slices_of(batches, "live", "late"):
-            gone = s.gone(a.live_of(s.anchors()[0], live), own, late)
+            gone = s.gone(a.live_of(s.anchors[0], live), own, late)
             rows = []
             for k, t, lo, hi in zip(s.ids.tolist(), s.texts, s.at[:-1].tolist(), s.at[1:].tolist()):
                 w = t.as_buffer().to_pybytes().split()
