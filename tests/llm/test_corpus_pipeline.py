@@ -93,3 +93,18 @@ def test_edge_rows_pass_through_all_stages(spark, edge, none):
             docs = stage(fn(spark, docs, SF), "test-edge")
             assert docs.columns == edge.columns
         cp.STAGES[-1][1](spark, docs, SF).count()
+
+
+def test_planted_secrets_are_masked(spark):
+    sf = "/root/testdata/sf0.01"  # the smallest tables with planted secrets
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    out = [table(spark, sf, "documents")]
+    for name, fn in cp.STAGES[:4]:
+        out.append(stage(fn(spark, out[-1], sf), f"test-secrets-{name}"))
+    before, after = rows(out[3]), rows(out[4])
+    planted = re.compile(r'token = "([0-9a-f]{40})"', re.I)
+    secrets = [(i, m[1]) for i, r in before.items() for m in planted.finditer(r["text"])]
+    assert secrets
+    for i, s in secrets:
+        assert s not in after[i]["text"] and "[SECRET]" in after[i]["text"]

@@ -124,3 +124,46 @@ def test_edges(spark, edge, none):
     assert "[EMAIL]" in texts[8] and "bob" not in texts[8] and "10.0.0" not in texts[8]
     assert p.find(none, p.fit_model(none)).count() == 0
     assert p.masked("ab cd", [("email", 0, 4), ("card", 1, 2)]) == "[EMAIL]d"
+
+
+def test_credential_forms():
+    def found(t):
+        return [t[a:b] for lo, hi in p.windows(t) for a, b in [m.span() for m in p._SECRET.finditer(t, lo, hi)]]
+
+    for x in ('token = "f33e61083db5"', "TOKEN = '9233A8ECF7C5'", "password=abcdefgh", "secret: a1b2-c3d4_e5", 'pwd="hunterhunter=="'):
+        assert found(f"Der Text {x} geht weiter") == [x], x
+    # it starts in the window of a number, and prose behind a cue word is no credential
+    assert found('x1:token = "f33e61083db5" y') == ['token = "f33e61083db5"']
+    assert found("the secret: understanding people; no token = here\nabcdefgh12") == []
+    for t in ("token=" * 50_000, 'token = "' * 30_000, "token" + " " * 200_000, "token=" + "." * 200_000, "token=a" + ".a" * 100_000):
+        p.windows(t), p._SECRET.findall(t)
+
+
+PLANTED = re.compile(r'token = "[0-9a-f]{40}"', re.I)
+
+
+def test_every_planted_secret_is_added(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    n = 0
+    for r in p.find(docs, p.fit_model(docs)).filter("text IS NOT NULL").collect():
+        added = {(s["kind"], s["start"], s["end"]) for s in r["__added_spans"]}
+        want = {("secret", *m.span()) for m in PLANTED.finditer(r["text"])}
+        assert want <= added, r["doc_id"]
+        n += len(want)
+    assert n == 13
+
+
+def test_rare_credentials_are_drawn_from_all_documents(spark):
+    rows = [(i, f"page {i} of {i + 7}, section {i % 9}") for i in range(400)]
+    rows += [(1000 + i, f'some words token = "{i:02d}{"ab3f" * 9}{i:02d}" and more') for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = p.fit_model(docs, sample=20, limit=60)
+    for _, t in rows[-8:]:
+        assert p.added_spans(t, p.base_spans(t), model) == [("secret", 11, 61)]
+    # digits in a secret that look like a card: the parts around the base span are added
+    t = 'some words token = "068c002651439458202064d35406d6b34bf01abe" and more'
+    base = p.base_spans(t)
+    assert base == [("card", 24, 42)]
+    added = p.added_spans(t, base, model)
+    assert added == [("secret", 11, 24), ("secret", 42, 61)]
+    assert p.masked(t, base + added) == "some words [SECRET][CARD][SECRET] and more"
