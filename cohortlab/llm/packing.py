@@ -8,11 +8,15 @@ documents there are:
 
 - around the largest remaining length it enumerates fillings of the free space,
   largest lengths first, and drops dominated ones (a longer available document fits
-  in place of a chosen one, or another one still fits);
+  in place of a chosen one, or another one still fits); where the first ones hold none
+  within the waste bound, the fillings of least waste are found by the sums that the
+  lengths can reach, so a branch without a filling is proven to have none;
 - a filling is repeated while its documents last (branching: as often as possible, or once);
 - a branch ends when its waste exceeds what an improvement on the incumbent allows;
 - the first incumbent is best fit decreasing; the search stops at the bound
   ``ceil(tokens / capacity)`` or after ``NODES`` nodes, with the best packing so far.
+  A node that is deeper than all before it isn't counted, so the way down to a first
+  packing, about a step per length, is always open.
 
 Spark then ranks the pieces of each length (buckets whose number grows with the
 square root of its count, with prefix counts, so no length is gathered in a task) and looks each rank up in the fillings.
@@ -29,6 +33,7 @@ import math
 import zlib
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +45,7 @@ from cohortlab.llm.tokens import encoder
 
 CAPACITY = 2048
 END_ID = 0
-NODES = 1500
+NODES = 4000
 WIDTH = 8
 RANK_BUCKET = 128
 
@@ -135,6 +140,41 @@ def _merged(lengths: list[int], chosen: list[list[int]]) -> Filling:
     return tuple(own.items())
 
 
+def _fullest(left: Counter, lengths: list[int], capacity: int) -> tuple[int, Iterator[Filling]]:
+    """Least waste around the first of ``lengths``, and the fillings that have it, longest lengths first."""
+    largest, room = lengths[0], capacity - lengths[0]
+    mask = (1 << room + 1) - 1
+    usable = [(n, min(left[n] - (n == largest), room // n)) for n in lengths if n <= room]
+    reach = [1]  # per position: the sums of the lengths from there on, as bits
+    for n, copies in reversed(usable):
+        sums, k = reach[-1], 1
+        while copies:
+            k = min(k, copies)
+            sums |= sums << k * n & mask
+            copies -= k
+            k *= 2
+        reach.append(sums)
+    reach.reverse()
+
+    def go(i: int, need: int, chosen: Filling):
+        if not need:
+            own = Counter({largest: 1})
+            for n, k in chosen:
+                own[n] += k
+            yield tuple(own.items())
+            return
+        for j in range(i, len(usable)):
+            n, copies = usable[j]
+            for k in range(min(copies, need // n), 0, -1):
+                if reach[j + 1] >> need - k * n & 1:
+                    yield from go(j + 1, need - k * n, (*chosen, (n, k)))
+            if not reach[j + 1] >> need & 1:
+                return
+
+    most = reach[0].bit_length() - 1
+    return room - most, go(0, most, ())
+
+
 def undominated(left: Counter, lengths: list[int], capacity: int, waste_left: int,
                 width: int = WIDTH) -> list[Filling]:
     """Up to ``width`` undominated fillings within the waste bound, least waste first."""
@@ -153,6 +193,10 @@ def undominated(left: Counter, lengths: list[int], capacity: int, waste_left: in
         out.append((waste, f))
         if len(out) >= width:
             break
+    if not out:  # fillings of least waste are dominated by none
+        waste, fullest = _fullest(left, lengths, capacity)
+        if waste <= waste_left:
+            return list(itertools.islice(fullest, width))
     return [f for _, f in sorted(out, key=lambda x: x[0])]
 
 
@@ -180,6 +224,7 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
         return iter(tries)
 
     todo = [options()] if size > least else []
+    deepest = 0
     while todo and nodes:
         step = next(todo[-1], None)
         if step is None:
@@ -190,7 +235,6 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
                 for n, k in f:
                     left[n] += t * k
             continue
-        nodes -= 1
         f, t = step
         own = t * (capacity - sum(n * k for n, k in f))
         if waste[-1] + own > (size - 1) * capacity - total:
@@ -198,6 +242,10 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
         _use(left, f, t)
         path.append(step)
         waste.append(waste[-1] + own)
+        if len(path) > deepest:
+            deepest = len(path)
+        else:
+            nodes -= 1
         if not any(left.values()):
             best, size = list(path), sum(t for _, t in path)
             if size == least:

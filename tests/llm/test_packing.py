@@ -95,3 +95,37 @@ def test_edges(edge, none):
     long = out.filter("doc_id = 6").orderBy("piece").collect()
     assert [r["start"] for r in long] == [2048 * i for i in range(len(long))] and all(r["length"] == 2048 for r in long[:-1])
     assert p.pack(none, path).count() == 0
+
+
+def test_search_of_many_lengths_beats_best_fit():
+    lengths = np.clip(np.random.default_rng(1).lognormal(6.3, 0.6, 400_000).astype(int), 1, 2047)
+    counts = Counter(lengths.tolist())
+    f = p.complete(counts)
+    used = Counter()
+    for filling, t in f:
+        assert sum(n * k for n, k in filling) <= 2048
+        for n, k in filling:
+            used[n] += k * t
+    assert used == counts
+    assert sum(t for _, t in f) < sum(t for _, t in p.best_fit(counts, 2048))
+
+
+def test_fillings_within_the_waste_bound_are_found_behind_many_others():
+    # only two lengths fill it up exactly, behind more fillings than are listed first
+    left = Counter({1001: 1, 691: 1, 308: 1, **{n: 1 for n in range(8, 700, 8)}})
+    assert p.undominated(left, sorted(left, reverse=True), 2000, 0) == [((1001, 1), (691, 1), (308, 1))]
+    assert p.undominated(Counter({100: 1, 60: 1, 30: 2}), [100, 60, 30], 195, 4) == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 25), st.integers(1, 4), min_size=1, max_size=7), st.integers(25, 40))
+def test_fullest_fillings_equal_enumeration(counts, capacity):
+    lengths = sorted(counts, reverse=True)
+    waste, found = p._fullest(Counter(counts), lengths, capacity)
+    every = {}
+    for copies in itertools.product(*[range(counts[n] + 1) for n in lengths]):
+        total = sum(n * k for n, k in zip(lengths, copies))
+        if copies[0] and total <= capacity:
+            every.setdefault(capacity - total, set()).add(tuple((n, k) for n, k in zip(lengths, copies) if k))
+    found = list(found)
+    assert waste == min(every) and len(found) == len(set(found)) and set(found) == every[waste]
