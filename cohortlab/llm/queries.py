@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontamination, language_id, packing, personal_data, quality_rules, simhash, substring, token_files, tool_calls, warc
+from cohortlab.llm import decontamination, language_id, packing, personal_data, quality_rules, simhash, substring, token_files, tool_calls, url_filters, warc
 from cohortlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(files)
 
 
+@query
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.filter_urls(pages).select(
+        "page_id", "host", "path", "rule", "verdict", "host_labelled", "host_blocked",
+        (F.round("bad_bound", 6) + F.lit(0.0)).alias("bad_bound"))
+
+
 # -- DuckDB SQL of the queries that it can express -------------------------------
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
@@ -189,3 +197,47 @@ FROM sig LEFT JOIN o ON sig.doc_id = o.doc_id"""
 
 
 ORACLES["op1_quality_rules"] = _quality_sql()
+
+
+def _url_sql() -> str:
+    u = url_filters
+    fits = lambda r: (lambda h, slash, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{slash + p}')")(*r.partition("/"))
+    ranked = sorted(u.RULES, key=lambda r: (-len(r[0]), r[0]))
+    case = lambda i: "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[i]}'" for r in ranked) + " END"
+    second = ", ".join(f"'{x}'" for x in u.SECOND_LEVEL)
+    rho = lambda p: (f"least(greatest(coalesce(sum((bad - n * {p}) * (bad - n * {p}) - n * {p} * (1 - {p}))"
+                     f" / nullif(sum(n * (n - 1) * {p} * (1 - {p})), 0), {u.RHO[1]}), {u.RHO[0]}), {u.RHO[1]})")
+    m = lambda p, source: f"SELECT (1 - rho) / rho AS m FROM (SELECT {rho(p)} AS rho FROM {source})"
+    return f"""
+WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+     b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM a),
+     c AS (SELECT page_id, translate(h, '{u.UPPER}', '{u.LOWER}') AS host,
+                  regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM b),
+     d AS (SELECT *, {case(0)} AS rule, {case(1)} AS says FROM c),
+     e AS (SELECT host, count(says) AS n, count(*) FILTER (WHERE says = 'block') AS bad,
+                  regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.$', '') AS bare
+           FROM d GROUP BY host),
+     f AS (SELECT *, string_split(bare, '.') AS l, len(string_split(bare, '.')) AS k FROM e),
+     g AS (SELECT *, CASE WHEN k < 2 OR regexp_matches(bare, '^[0-9.]*$') THEN k
+                          WHEN k > 2 AND length(l[-1]) = 2 AND l[-2] IN ({second}) THEN 2 ELSE 1 END AS w FROM f),
+     hosts AS (SELECT host, n, bad, array_to_string(l[greatest(k - w + 1, 1):k], '.') AS suffix,
+                      array_to_string(l[greatest(k - w, 1):k], '.') AS domain FROM g),
+     t AS (SELECT coalesce(sum(n), 0) AS tn, coalesce(sum(bad), 0) AS tb FROM hosts),
+     dn AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2),
+     sx AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM dn GROUP BY 1),
+     ms AS ({m("r", "(SELECT *, (tb - bad + 0.5e0) / (tn - n + 1) AS r FROM sx, t)")}),
+     d1 AS (SELECT dn.*, sx.n AS sn, sx.bad AS sb, (tb - dn.bad + 0.5e0) / (tn - dn.n + 1) AS r FROM dn JOIN sx USING (suffix), t),
+     md AS ({m("s", "(SELECT *, (m * r + sb - bad) / (m + sn - n) AS s FROM d1, ms)")}),
+     h1 AS (SELECT h.*, sx.n AS sn, sx.bad AS sb, dn.n AS dn, dn.bad AS db, (tb - h.bad + 0.5e0) / (tn - h.n + 1) AS r
+            FROM hosts h JOIN dn USING (domain) JOIN sx ON h.suffix = sx.suffix, t),
+     h2 AS (SELECT h1.*, (ms.m * r + sb - bad) / (ms.m + sn - n) AS s FROM h1, ms),
+     h3 AS (SELECT h2.*, (md.m * s + db - bad) / (md.m + dn - n) AS p FROM h2, md),
+     mh AS ({m("p", "h3")}),
+     h4 AS (SELECT host, n, bad, pow(sin(greatest(asin(sqrt((m * p + bad) / (m + n))) - {u.Z} / (2 * sqrt(m + n + 1)), 0)), 2) AS bound
+            FROM h3, mh)
+SELECT page_id, d.host, path, rule, coalesce(says, CASE WHEN bound > {u.MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict,
+       n AS host_labelled, bad AS host_blocked, round(bound, 6) + 0.0 AS bad_bound
+FROM d JOIN h4 ON d.host = h4.host"""
+
+
+ORACLES["op13_url_filters"] = _url_sql()
