@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontamination, language_id, packing, personal_data, quality_rules, simhash, substring, token_files, tool_calls, url_filters, warc
-from cohortlab.llm.common import table
+from cohortlab.llm import decontamination, language_id, packing, periodic_runs, personal_data, quality_rules, simhash, substring, token_files, tool_calls, url_filters, warc
+from cohortlab.llm.common import table, word_array
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,6 +94,27 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(files)
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    n = F.size(word_array(F.col("text")))
+    docs = docs.withColumns({"n": n, "h": h, "g": g}).withColumn("a", F.col("g") % F.greatest("n", F.lit(1)))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    docs = docs.withColumn("text", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), periodic_runs.cycle_words(
+        F.col("text"), F.col("a"), period)).otherwise(F.col("text")))
+    found = periodic_runs.periodic_runs(docs.select("doc_id", "text")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "runs", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    # the greatest length first, then the smallest start and period
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("top", top).select(
+        "doc_id", "n_runs", (-F.col("top.s")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.p")).alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
 @query
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
