@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortlab.operators import profile
 from cohortlab.plans.oracle import MEAS
 from cohortlab.plans.registry import register
-from cohortlab.session import checkpoint_dir
+from cohortlab.session import scratch_path
 from cohortlab.sources import csv as csv_src
 from cohortlab.sources import fixtures
 
@@ -104,8 +104,7 @@ def cohort_summary(s):
 
 
 def _scratch(s, name):
-    from cohortlab.session import _RUN_ID, _SEQ
-    return f"{checkpoint_dir(s.spark).rstrip('/')}/cohortlab-{_RUN_ID}/{next(_SEQ):05d}-{name}"
+    return scratch_path(s.spark, name)
 
 
 @register("csv_roundtrip_commits", "SELECT * FROM fx_commits", ops="A1 B2 S14")

@@ -94,6 +94,11 @@ def clean_outputs(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in this run's part of the shared folder; ``clean_outputs`` deletes it."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/cohortlab-{_RUN_ID}/{next(_SEQ):05d}-{name}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
@@ -101,8 +106,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the upstream joins) and keeps later plans small; the read-back scan gets
     Parquet statistics, pushdown and pruning.
     """
-    spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/cohortlab-{_RUN_ID}/{next(_SEQ):05d}-{name}"
+    path = scratch_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
