@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontamination, language_id, packing, periodic_runs, personal_data, quality_rules, simhash, substring, token_files, tool_calls, url_filters, warc
+from cohortlab.llm import decontamination, hard_negatives, language_id, packing, periodic_runs, personal_data, quality_rules, simhash, substring, token_files, tool_calls, url_filters, warc
 from cohortlab.llm.common import table, word_array
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +115,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), "collapsed_sha256")
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("vec_id")
+    label = F.when(v % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.integer_vectors(table(spark, sf_dir, "embeddings"), v, F.col("embedding"), label)
+    return hard_negatives.hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
 @query
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -262,3 +270,17 @@ FROM d JOIN h4 ON d.host = h4.host"""
 
 
 ORACLES["op13_url_filters"] = _url_sql()
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS c FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same, CAST(list_dot_product(a.c, b.c) AS BIGINT) AS score
+           FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+     p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+           QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 5"""
