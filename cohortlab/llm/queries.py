@@ -273,9 +273,9 @@ ORACLES["op13_url_filters"] = _url_sql()
 
 ORACLES["op12_hard_negatives"] = """
 WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-                  list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS c FROM embeddings
+                  [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS c FROM embeddings
            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
      s AS (SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same, CAST(list_dot_product(a.c, b.c) AS BIGINT) AS score
            FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
      p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
