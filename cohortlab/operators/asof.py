@@ -2,16 +2,19 @@
 
 For every left row, take the last right row of the same key whose time is
 ``<=`` the left time (``<`` with ``allow_exact=False``).  Spark has no public
-as-of join for DataFrames, so the join is expressed as a union of both sides
-and one ordered window: ``last(payload, ignorenulls)`` over the rows up to the
-current one.  No pair of rows is ever formed.
-
-Scale: a plain window partitioned by the key puts a hot key (say a third of
-all rows) into one task.  With ``bucket_micros`` the window partition becomes
-``(key, time bucket)``; each left bucket gets one *carry* row, the last right
-row of all earlier buckets, found by the same window over the tiny
-per-(key, bucket) ``max(struct)`` table.  Hot keys are thereby split into as
-many groups as they span buckets, and the result is identical.
+as-of join for DataFrames.  The match depends only on (key, left time), and of
+equal right instants only the largest tiebreak can win, so both sides are first
+reduced, by one partial aggregate, to one row per (key, instant).  On these rows
+``last(payload, ignorenulls)`` over an ordered window finds the match, and an
+equality join on (key, instant) brings it back to the left rows.  No pair of
+rows is ever formed.
+
+Scale: a window partitioned by the key alone would put a hot key (say a third of
+all rows) into one task.  The instants are range-partitioned by (key, time), so a
+hot key covers as many ranges as its instants ask for; each range gets one *carry*,
+the key's last right row of all earlier ranges, from a table with one row per (key,
+range).  A hot instant is one row here, and in the join back its left rows are split
+like any skewed side of a join.
 """
 
 from __future__ import annotations
@@ -21,20 +24,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.functions.quantiles import edges_of, range_of
+from cohortlab.functions.ordering import write_ordered
 
 DAY_MICROS = 86_400_000_000
 HOUR_MICROS = 3_600_000_000
 
 
-def _micros(c: str):
-    return F.unix_micros(F.col(c).cast("timestamp"))
-
-
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str,
               payload: Sequence[str], tiebreak: Sequence[str] = (), allow_exact: bool = True,
               how: str = "inner", bucket_micros: int | str | None = "quantile",
-              matched_col: str | None = None, dedupe: bool = False) -> DataFrame:
+              matched_col: str | None = None) -> DataFrame:
     """Attach to each ``left`` row the ``payload`` of its backward as-of match.
 
     ``by``: equality keys (NULL keys never match).  ``tiebreak``: right columns
@@ -42,123 +41,57 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     drops unmatched left rows (C5), ``'left'`` keeps them with NULL payload.
     ``matched_col`` adds a boolean match flag.
 
-    By default each key's timeline is cut at its own approximate time quantiles,
-    so a key whose rows burst is still split into many window groups; a number
-    gives fixed-width buckets, ``None`` one window per key.  Left rows without a
-    key or time never match: ``'inner'`` drops them before the shuffle.
-
-    ``dedupe=True`` first reduces both sides to one row per (key, instant) --
-    the match depends only on (key, left time), and of equal right instants
-    only the largest tiebreak can win -- with partial aggregates, runs the
-    window on those, and joins the matches back on the unique (key, time).
-    Use it when single instants are hot (bursts of identical timestamps).
+    By default the instants are cut into ranges of equal count (``"quantile"``; they
+    are written to the shared folder once); a number gives ranges of fixed width,
+    ``None`` one window per key.
     """
     by, payload, tiebreak = list(by), list(payload), list(tiebreak)
-    if dedupe:
-        return _asof_dedupe(left, right, by, left_on, right_on, payload, tiebreak, allow_exact, how,
-                            bucket_micros, matched_col)
-    lcols = left.columns
-    if how == "inner":
-        for k in [*by, left_on]:
-            left = left.filter(F.col(k).isNotNull())
-    clash = [c for c in payload if c in lcols and c not in by]
+    if how not in ("inner", "left"):
+        raise ValueError("how must be 'inner' or 'left'")
+    clash = [c for c in payload if c in left.columns and c not in by]
     if clash:
         raise ValueError(f"payload columns already on the left: {clash}")
-    # side order on equal time: right first gives <=, left first gives <
-    s_right, s_left = (0, 1) if allow_exact else (1, 0)
-    p_struct = F.struct(*[F.col(c) for c in payload])
-    tb = F.struct(*[F.col(c) for c in tiebreak]) if tiebreak else F.lit(None).cast("int")
-
-    r = right.filter(F.col(right_on).isNotNull())
+    keys = [F.col(k) for k in by]
+    moment = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("_t")
+    row = F.struct(F.struct(*[F.col(c) for c in tiebreak] or [F.lit(0)]).alias("_tb"), F.struct(*payload).alias("_p"))
+    r = right.select(*keys, moment(right_on), row.alias("_m"), F.lit(False).alias("_l"))
+    l_ = left.select(*keys, moment(left_on), F.lit(None).cast(r.schema["_m"].dataType).alias("_m"), F.lit(True).alias("_l"))
+    both = l_.unionByName(r)
+    for k in [*by, "_t"]:
+        both = both.filter(F.col(k).isNotNull())
+    instants = both.groupBy(*by, "_t").agg(F.max("_m").alias("_m"), F.bool_or("_l").alias("_l"))
+    m = _last_before(instants, by, allow_exact, bucket_micros)
+
+    match = m.select(*[F.col(k).alias(f"_k_{k}") for k in by], F.col("_t").alias("_mt"), "_p")
+    on = F.unix_micros(F.col(left_on).cast("timestamp")) == F.col("_mt")
     for k in by:
-        r = r.filter(F.col(k).isNotNull())
-    r = r.select(
-        *[F.col(k) for k in by], _micros(right_on).alias("_t"), F.lit(s_right).alias("_s"),
-        tb.alias("_tb"), p_struct.alias("_p"), F.lit(None).cast(left.select(F.struct(*lcols)).schema[0].dataType).alias("_l"))
-    l_ = left.select(
-        *[F.col(k) for k in by], _micros(left_on).alias("_t"), F.lit(s_left).alias("_s"),
-        F.lit(None).cast(r.schema["_tb"].dataType).alias("_tb"),
-        F.lit(None).cast(r.schema["_p"].dataType).alias("_p"),
-        F.struct(*[F.col(c) for c in lcols]).alias("_l"))
-
-    part = list(by)
-    if bucket_micros == "quantile":
-        l_, r = _quantile_buckets(l_, r, by)
-    elif bucket_micros:
-        bw = F.lit(int(bucket_micros))
-        r = r.withColumn("_b", F.floor(F.col("_t") / bw))
-        l_ = l_.withColumn("_b", F.floor(F.col("_t") / bw))
-    if bucket_micros:
-        # last right row per (key, bucket): max over (time, tiebreak) -> partial agg
-        rlast = (r.groupBy(*by, "_b")
-                   .agg(F.max(F.struct("_t", "_tb", "_p")).alias("_m")))
-        lb = l_.filter(F.col("_b").isNotNull()).select(*by, "_b").distinct()
-        # left bucket sorts before right bucket on equal _b -> strictly earlier buckets only
-        carry_in = (lb.select(*by, "_b", F.lit(0).alias("_o"),
-                              F.lit(None).cast(rlast.schema["_m"].dataType).alias("_m"))
-                    .unionByName(rlast.select(*by, "_b", F.lit(1).alias("_o"), "_m")))
-        wc = (Window.partitionBy(*by).orderBy("_b", "_o")
-                    .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        carry = (carry_in.withColumn("_c", F.last("_m", ignorenulls=True).over(wc))
-                         .filter((F.col("_o") == 0) & F.col("_c").isNotNull())
-                         .select(*by, "_b", F.col("_c._t").alias("_t"), F.lit(s_right).alias("_s"),
-                                 F.col("_c._tb").alias("_tb"), F.col("_c._p").alias("_p"),
-                                 F.lit(None).cast(l_.schema["_l"].dataType).alias("_l")))
-        u = l_.unionByName(r).unionByName(carry)
-        part.append("_b")
-    else:
-        u = l_.unionByName(r)
-
-    w = (Window.partitionBy(*part).orderBy("_t", "_s", "_tb")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = (u.withColumn("_m", F.last("_p", ignorenulls=True).over(w))
-            .filter(F.col("_s") == F.lit(s_left))
-            .filter(F.col("_l").isNotNull()))
+        on = on & (F.col(k) == F.col(f"_k_{k}"))
     if how == "inner":
-        out = out.filter(F.col("_m").isNotNull())
-    elif how != "left":
-        raise ValueError("how must be 'inner' or 'left'")
-    sel = [F.col(f"_l.{c}").alias(c) for c in lcols] + [F.col(f"_m.{c}").alias(c) for c in payload]
+        match = match.filter(F.col("_p").isNotNull())
+    out = left.join(match, on, how)
+    sel = [F.col(c) for c in left.columns] + [F.col(f"_p.{c}").alias(c) for c in payload]
     if matched_col:
-        sel.append(F.col("_m").isNotNull().alias(matched_col))
+        sel.append(F.col("_p").isNotNull().alias(matched_col))
     return out.select(*sel)
 
 
-def _quantile_buckets(l_: DataFrame, r: DataFrame, by: list[str]):
-    """Per key, cut time at the key's own approximate quantiles (both sides together).
-
-    A bucket then holds an equal share of the key's rows however bursty its
-    timeline is (only rows at one identical instant stay together).
-    """
-    tk = l_.select(*by, "_t").unionByName(r.select(*by, "_t"))
-    edges = tk.filter(F.col("_t").isNotNull()).groupBy(*by).agg(edges_of(F.col("_t")).alias("_edges"))
-    # number of edges <= t: monotone in t for a fixed key, so the bucket order is the time order
-    b = F.when(F.col("_t").isNotNull() & F.col("_edges").isNotNull(), range_of(F.col("_t"), F.col("_edges"))).cast("long")
-    add = lambda d: d.join(edges, on=by, how="left").withColumn("_b", b).drop("_edges")
-    return add(l_), add(r)
-
-
-def _asof_dedupe(left, right, by, left_on, right_on, payload, tiebreak, allow_exact, how, bucket_micros,
-                 matched_col):
-    lt = "_lt"
-    keys = left.select(*[F.col(k) for k in by], F.col(left_on).cast("timestamp").alias(lt)).distinct()
-    order = [F.col(c) for c in tiebreak] + [F.col(c) for c in payload if c not in tiebreak]
-    r = right.filter(F.col(right_on).isNotNull())
-    r = (r.groupBy(*by, F.col(right_on).cast("timestamp").alias("_rt"))
-          .agg(F.max(F.struct(*order)).alias("_m")))
-    r = r.select(*by, "_rt", *[F.col(f"_m.{c}").alias(c) for c in dict.fromkeys(tiebreak + payload)])
-    m = asof_join(keys, r, by, lt, "_rt", payload, tiebreak, allow_exact, "left", bucket_micros, "_mm")
-    # one row per (key, left time): the join back never fans out
-    cond = [left[k].eqNullSafe(m[k]) for k in by] + [left[left_on].cast("timestamp").eqNullSafe(m[lt])]
-    j = left.join(m, on=cond, how="left")
-    if how == "inner":
-        j = j.filter(F.col("_mm"))
-    elif how != "left":
-        raise ValueError("how must be 'inner' or 'left'")
-    sel = [left[c] for c in left.columns] + [m[c] for c in payload]
-    if matched_col:
-        sel.append(F.coalesce(m["_mm"], F.lit(False)).alias(matched_col))
-    return j.select(*sel)
+def _last_before(instants: DataFrame, by: list[str], allow_exact: bool, bucket_micros: int | str | None) -> DataFrame:
+    """``(*by, _t, _p)``: for each instant of the left its match's payload, or NULL."""
+    if bucket_micros == "quantile":
+        d = write_ordered(instants, by, [F.col("_t")], "asof-instants")
+    else:
+        d = instants.withColumn("_part", F.floor(F.col("_t") / int(bucket_micros)) if bucket_micros else F.lit(0))
+    # one row per (key, instant): the frame's end decides between <= and <
+    w = (Window.partitionBy(*by, "_part").orderBy("_t")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow if allow_exact else -1))
+    own = F.last("_m", ignorenulls=True).over(w)
+    d = d.select(*by, "_part", "_t", "_l", "_m", own.alias("_own"))
+    if not bucket_micros:
+        return d.filter("_l").select(*by, "_t", F.col("_own._p").alias("_p"))
+    parts = d.groupBy(*by, "_part").agg(F.max(F.when(F.col("_m").isNotNull(), F.struct("_t", "_m"))).alias("_c"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.select(*by, "_part", F.last("_c", ignorenulls=True).over(earlier).alias("_c"))
+    return d.filter("_l").join(carry, [*by, "_part"]).select(*by, "_t", F.coalesce("_own._p", "_c._m._p").alias("_p"))
 
 
 def asof_coverage(linked_left: DataFrame, matched_col: str = "_matched") -> DataFrame:

@@ -8,28 +8,32 @@ following joins reuse the partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab import config
 from cohortlab.operators import clean
 from cohortlab.operators.asof import asof_join
+from cohortlab.sources.tables import LazyTables
 
 KEY = ["PROJECT_ID", "COMMIT_HASH"]
 
 
-def clean_tables(raw: dict[str, DataFrame], on_bad_dates: str = "raise") -> dict[str, DataFrame]:
-    """The study's cleaning step applied to the logical raw tables."""
-    out = dict(raw)
-    cm = clean.parse_dates(raw["commits"], "AUTHOR_DATE", on_bad_dates)
-    out["commits"] = clean.dedup_keep_first(cm, KEY, ["AUTHOR_DATE"])
-    out["changes"] = clean.fill_zero(raw["changes"], ["LINES_ADDED", "LINES_REMOVED"])
-    sa = clean.parse_dates(raw["sonar_analysis"], "DATE", on_bad_dates)
-    out["sonar_analysis"] = clean.dedup_keep_first(sa, ["PROJECT_ID", "ANALYSIS_KEY"], ["DATE"])
-    out["sonar_measures"] = clean.clip_measures(raw["sonar_measures"], config.TD_FEATURES)
-    out["szz"] = clean.distinct_rows(raw["szz"])
-    out["refactoring"] = clean.distinct_rows(raw["refactoring"])
-    return out
+def clean_tables(raw: Mapping[str, DataFrame], on_bad_dates: str = "raise") -> LazyTables:
+    """The study's cleaning step applied to the logical raw tables (B2-B7), each when first asked for."""
+    def dated(name: str, col: str, keys: list[str]) -> DataFrame:
+        return clean.dedup_keep_first(clean.parse_dates(raw[name], col, on_bad_dates), keys, [col])
+
+    return LazyTables({name: lambda name=name: raw[name] for name in raw} | {
+        "commits": lambda: dated("commits", "AUTHOR_DATE", KEY),
+        "changes": lambda: clean.fill_zero(raw["changes"], ["LINES_ADDED", "LINES_REMOVED"]),
+        "sonar_analysis": lambda: dated("sonar_analysis", "DATE", ["PROJECT_ID", "ANALYSIS_KEY"]),
+        "sonar_measures": lambda: clean.clip_measures(raw["sonar_measures"], config.TD_FEATURES),
+        "szz": lambda: clean.distinct_rows(raw["szz"]),
+        "refactoring": lambda: clean.distinct_rows(raw["refactoring"]),
+    })
 
 
 def commit_base(commits: DataFrame, min_commits: int = config.MIN_COMMITS_PER_PROJECT) -> DataFrame:

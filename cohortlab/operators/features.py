@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab import config
-from cohortlab.functions.quantiles import grouped_medians, quantile_values
+from cohortlab.functions.quantiles import grouped_medians, median_struct
 from cohortlab.functions.scalar import log1p
-from cohortlab.operators.ranking import running_index, time_bucket
+from cohortlab.operators.ranking import running_index
 
 LOG_SOURCES = {"log_churn": "CHURN", "log_ncloc": "NCLOC", "log_sqale_index": "SQALE_INDEX",
                "log_ref_count": "REF_COUNT"}
@@ -41,18 +41,16 @@ def impute_group_median(df: DataFrame, cols: Sequence[str], group: str = "PROJEC
     """NULL -> median of the row's group -> global median.
 
     Per-group medians are exact without an unbounded single-task value map
-    (``grouped_medians``) and are joined back on ``group``; the global medians
-    likewise (``quantile_values``).  Rows without a group get the global one.
+    (``grouped_medians``) and are joined back on ``group``; the global medians enter
+    as one scalar subquery.  Rows without a group get the global one.
     """
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
     gm = grouped_medians(df.filter(F.col(group).isNotNull()), [group], cols, out_prefix="_gm_")
-    glob = quantile_values(df, cols, [0.5])           # exact global medians, as literals
-    out = df.join(gm, on=group, how="left")
-    out = out.withColumns({
-        c: F.coalesce(F.col(c), F.col(f"_gm_{c}"), F.lit(glob[c][0]).cast("double")) for c in cols})
-    return out.drop(*[f"_gm_{c}" for c in cols])
+    out = df.join(gm, on=group, how="left").withColumn("_gl", median_struct(df, cols))
+    out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"_gm_{c}"), F.col(f"_gl.{c}")) for c in cols})
+    return out.drop("_gl", *[f"_gm_{c}" for c in cols])
 
 
 def missing_counts(df: DataFrame, cols: Sequence[str], stage: str) -> DataFrame:
@@ -91,19 +89,9 @@ def dense_code(df: DataFrame, col: str = "PROJECT_ID", out: str = "PROJECT_IDX")
 
 
 def time_index(df: DataFrame, group: str = "PROJECT_ID", time: str = "AUTHOR_DATE",
-               tiebreak: str = "COMMIT_HASH", out: str = "TIME_IDX",
-               bucket_micros: int | str = "quantile") -> DataFrame:
-    """Running 0-based commit index per project in time order, undated rows last.
-
-    By default each project's timeline is cut at its own approximate time
-    quantiles (equal-count buckets even for bursts); a number gives fixed widths.
-    """
-    order = [F.col(time).asc_nulls_last(), F.col(tiebreak)]
-    if bucket_micros == "quantile":
-        from cohortlab.operators.ranking import quantile_time_bucket
-        d, b = quantile_time_bucket(df, [group], time)
-        return running_index(d, [group], b, order, out=out).drop("_qedges")
-    return running_index(df, [group], time_bucket(time, bucket_micros), order, out=out)
+               tiebreak: str = "COMMIT_HASH", out: str = "TIME_IDX") -> DataFrame:
+    """Running 0-based commit index per project in time order, undated rows last."""
+    return running_index(df, [group], [F.col(time).asc_nulls_last(), F.col(tiebreak).asc()], out)
 
 
 def check_features(df: DataFrame, wanted: Sequence[str]) -> list[str]:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.functions.quantiles import grouped_medians, grouped_quantiles, quantile_table
 from cohortlab.functions.scalar import short_project
 
 
@@ -24,7 +25,6 @@ def bic_by_project(cohort: DataFrame, key: str = "PROJECT_ID", label: str = "BIC
 
 
 def _summary(df: DataFrame, col: str, prefix: str) -> DataFrame:
-    from cohortlab.functions.quantiles import quantile_table
     med = quantile_table(df, [col], [0.5]).select(F.get("_q", F.lit(0))).scalar()
     return df.agg(F.count(F.lit(1)).alias("n_commits"),
                   F.first(med).alias(f"{prefix}_median"),
@@ -58,7 +58,6 @@ def cohort_summary(cohort: DataFrame) -> DataFrame:
 
 def project_report(df: DataFrame, key: str = "PROJECT_ID") -> DataFrame:
     """Table 2: per-project counts, rate % (2 dp), medians; short names; highest rate first."""
-    from cohortlab.functions.quantiles import grouped_medians
     t = (df.groupBy(key)
            .agg(F.count("COMMIT_HASH").alias("N_Commits"),
                 F.sum("BIC").cast("bigint").alias("N_BIC"),
@@ -78,16 +77,17 @@ def describe_by_label(df: DataFrame, variables: Sequence[str], label: str = "BIC
 
     The variables are unpivoted to (Variable, value); the moments come from one
     aggregate with grouping sets ((Variable, label), (Variable)), the exact
-    medians per cell from ``grouped_medians`` (no unbounded per-cell value map).
+    medians of the same sets from one ``grouped_quantiles`` (no unbounded value map).
     """
     variables = [v for v in variables if v in df.columns]
     long = (df.select(F.col(label).alias("_g"), *[F.col(v).cast("double").alias(v) for v in variables])
               .unpivot("_g", variables, "Variable", "value"))
     r4 = lambda c: F.round(c, 4)
-    from cohortlab.functions.quantiles import grouped_medians
-    med = (grouped_medians(long, ["Variable", "_g"], ["value"], out_prefix="_m_").withColumn("_all", F.lit(1) - 1)
-           .unionByName(grouped_medians(long, ["Variable"], ["value"], out_prefix="_m_")
-                        .withColumn("_g", F.lit(None).cast(long.schema["_g"].dataType)).withColumn("_all", F.lit(1))))
+    # each row counts for its label and for all rows
+    both = (df.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("_all"), F.col(label).alias("_l"), *variables)
+              .withColumn("_g", F.when(F.col("_all") == 0, F.col("_l"))))
+    med = (grouped_quantiles(both, ["_all", "_g"], variables, [0.5])
+           .select("_all", "_g", F.col("_var").alias("Variable"), F.get("_q", F.lit(0)).alias("_m_value")))
     agg = (long.groupingSets([["Variable", "_g"], ["Variable"]], "Variable", "_g")
                .agg(F.grouping("_g").alias("_all"),
                     F.count("value").alias("N"),
@@ -97,7 +97,7 @@ def describe_by_label(df: DataFrame, variables: Sequence[str], label: str = "BIC
                     r4(F.max("value")).alias("Max"),
                     F.round(F.avg(F.col("value").isNull().cast("double")) * 100, 2).alias("Missing_pct")))
     a = agg.withColumn("_all", F.col("_all").cast("int")).alias("a")
-    m = med.withColumn("_all", F.col("_all").cast("int")).alias("m")
+    m = med.alias("m")
     agg = a.join(m, on=[F.col("a.Variable") == F.col("m.Variable"), F.col("a._all") == F.col("m._all"),
                         F.col("a._g").eqNullSafe(F.col("m._g"))], how="left").select("a.*", F.col("m._m_value"))
     grp = F.when(F.col("_all") == 1, F.lit("All")).otherwise(F.concat(F.lit(f"{label}="), F.col("_g").cast("string")))

@@ -2,9 +2,9 @@
 
 A running index or cumulative sum over a whole group (or a whole table) is a
 window whose partition is the group: one task must sort all of it.  Here the
-ordered dimension is first cut into buckets; per-bucket totals form a small
-table (one row per group and bucket) on which the prefix offsets are taken,
-and each bucket is then ranked on its own and shifted by its offset.  The
+ordered dimension is first cut into ranges; per-range totals form a small
+table (one row per group and range) on which the prefix offsets are taken,
+and each range is then worked through on its own and shifted by its offset.  The
 result is exactly the single-window result.
 """
 
@@ -15,50 +15,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlab.functions.ordering import place_in_group, write_ordered
 from cohortlab.functions.quantiles import edges_of, join_null_safe, range_of
 
-DAY_MICROS = 86_400_000_000
-HOUR_MICROS = 3_600_000_000
 
-
-def time_bucket(col: str, bucket_micros: int = HOUR_MICROS) -> Column:
-    return F.floor(F.unix_micros(F.col(col).cast("timestamp")) / F.lit(int(bucket_micros)))
-
-
-def quantile_time_bucket(df: DataFrame, partition_by: Sequence[str], time: str):
-    """(df with the per-key edge array, bucket column): the key's own approximate time quantiles.
-
-    The bucket is the number of edges <= t, monotone in time within a key; undated
-    rows have none.
-    """
-    t = F.unix_micros(F.col(time).cast("timestamp"))
-    edges = df.filter(F.col(time).isNotNull()).groupBy(*partition_by).agg(edges_of(t).alias("_qedges"))
-    d = join_null_safe(df, edges, list(partition_by), "left")
-    return d, F.when(F.col(time).isNotNull(), range_of(t, F.col("_qedges"))).cast("long")
-
-
-def running_index(df: DataFrame, partition_by: Sequence[str], bucket: Column,
-                  order_by: Sequence[str | Column], out: str = "row_idx",
+def running_index(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column], out: str = "row_idx",
                   group_size: str | None = None) -> DataFrame:
-    """0-based position of each row inside its group, ordered by ``order_by``.
+    """0-based position of each row inside its group, ordered by ``order_by``; a NULL key is a group.
 
-    ``bucket`` must be non-decreasing in ``order_by`` (e.g. a time bucket of
-    the leading time column); NULL is the last bucket, and a NULL key is a group.
-    ``group_size`` optionally adds the group's row count (needed by the
-    chronological split).
+    The ranges are cut over (key, ``order_by``) as a whole, so rows of one instant
+    spread over ranges by the columns that break the tie.  ``group_size`` optionally
+    adds the group's row count.
     """
-    part = list(partition_by)
-    d = df.withColumn("_rb", bucket)
-    counts = d.groupBy(*part, "_rb").agg(F.count(F.lit(1)).alias("_bn"))
-    wb = Window.partitionBy(*part).orderBy(F.col("_rb").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
-    if group_size:
-        offs = offs.withColumn(group_size, F.sum("_bn").over(Window.partitionBy(*part)))
-    offs = offs.drop("_bn")
-    w = Window.partitionBy(*part, "_rb").orderBy(*order_by)
-    ranked = d.withColumn("_r", F.row_number().over(w))
-    res = join_null_safe(ranked, offs, part + ["_rb"])
-    return res.withColumn(out, (F.col("_off") + F.col("_r") - 1).cast("bigint")).drop("_rb", "_r", "_off")
+    return place_in_group(write_ordered(df, partition_by, order_by, "index"), partition_by, out, group_size)
 
 
 def descending_cumulative(counts: DataFrame, partition_by: Sequence[str], score: str,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab import config
-from cohortlab.functions.quantiles import join_null_safe, quantile_values
+from cohortlab.functions.quantiles import join_null_safe, median_struct, quantile_table
 from cohortlab.operators.features import time_index
 
 
@@ -60,15 +60,15 @@ def standardize_params(train: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def train_medians(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """Exact train median per feature, the fill value of the alternative matrix builder."""
-    med = quantile_values(train, features, [0.5])
-    return train.sparkSession.createDataFrame([(f, med[f][0]) for f in features],
-                                              "feature string, train_median double")
+    found = quantile_table(train, features, [0.5]).select("_var", F.get("_q", F.lit(0)).alias("train_median"))
+    wanted = train.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return wanted.join(found, wanted["feature"] == found["_var"], "left").select("feature", "train_median")
 
 
 def fill_train_median(df: DataFrame, train: DataFrame, features: Sequence[str]) -> DataFrame:
     """NULL -> train median for each feature (I3), medians as scalar subqueries."""
-    med = quantile_values(train, features, [0.5])
-    return df.withColumns({f: F.coalesce(F.col(f), F.lit(med[f][0]).cast("double")) for f in features})
+    return (df.withColumn("_med", median_struct(train, features))
+              .withColumns({f: F.coalesce(F.col(f).cast("double"), F.col(f"_med.{f}")) for f in features}).drop("_med"))
 
 
 def project_vocabulary(train: DataFrame, group: str = "PROJECT_ID", drop_first: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ shared checkpoint folder and read back, which cuts lineage between stages
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -17,13 +18,13 @@ from pyspark.sql import functions as F
 
 from cohortlab import config
 from cohortlab.operators import assemble, features, panel
-from cohortlab.session import materialize
+from cohortlab.session import materialize, materialize_bucketed
 from cohortlab.sources import fixtures
 
 
 class Study:
     def __init__(self, spark: SparkSession, sf_dir: str | None = None,
-                 raw: dict[str, DataFrame] | None = None, asof_bucket_micros: int | str = "quantile",
+                 raw: Mapping[str, DataFrame] | None = None, asof_bucket_micros: int | str = "quantile",
                  min_commits: int = config.MIN_COMMITS_PER_PROJECT,
                  min_snapshots: int = config.MIN_SONAR_SNAPSHOTS, materialize_stages: bool = True):
         if raw is None and sf_dir is None:
@@ -40,18 +41,18 @@ class Study:
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name) if self.materialize_stages else df
 
+    def stage_bucketed(self, df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+        return materialize_bucketed(df, name, keys) if self.materialize_stages else df
+
     # -- sources -------------------------------------------------------------
     @cached_property
-    def raw(self) -> dict[str, DataFrame]:
+    def raw(self) -> Mapping[str, DataFrame]:
         if self._raw is not None:
             return self._raw
-        # the fixture intermediates stay inside the cohort's plan: staging them
-        # costs more writes than the recomputation it saves (measured at sf0.1);
-        # pass stage=self.stage to fixtures.raw_tables to stage the ingest
-        return fixtures.raw_tables(self.spark, self.sf_dir)
+        return fixtures.raw_tables(self.spark, self.sf_dir, self.stage_bucketed)
 
     @cached_property
-    def clean(self) -> dict[str, DataFrame]:
+    def clean(self) -> Mapping[str, DataFrame]:
         return assemble.clean_tables(self.raw)
 
     # -- preprocessing ---------------------------------------------------------
@@ -73,14 +74,15 @@ class Study:
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        return assemble.snapshot_base(self.clean["sonar_analysis"], self.clean["sonar_measures"],
-                                      self.min_snapshots)
+        return self.stage(assemble.snapshot_base(self.clean["sonar_analysis"], self.clean["sonar_measures"],
+                                                 self.min_snapshots), "snapshots")
 
     @cached_property
     def linked_all(self) -> DataFrame:
-        """Every base commit with its as-of match (NULL payload when none) and ``_matched``."""
-        return assemble.link_snapshots(self.base, self.snapshots, how="left",
-                                       bucket_micros=self.asof_bucket_micros, matched_col="_matched")
+        """Every base commit with its as-of match (NULL payload when none) and ``_matched``, by commit key."""
+        linked = assemble.link_snapshots(self.base, self.snapshots, how="left",
+                                         bucket_micros=self.asof_bucket_micros, matched_col="_matched")
+        return self.stage_bucketed(linked, "linked", assemble.KEY)
 
     def linked(self, allow_exact: bool = True, how: str = "inner",
                matched_col: str | None = None) -> DataFrame:

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab import config
+from cohortlab.sources.tables import LazyTables
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
                  "conversations"]
 
+KEY = ["PROJECT_ID", "COMMIT_HASH"]
 
 _READS: dict[tuple[int, str], DataFrame] = {}
 
@@ -152,26 +154,29 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("n_name").alias("NAME"), F.col("r_name").alias("REGION")))
 
 
-def raw_tables(spark: SparkSession, sf_dir: str, stage=None) -> dict[str, DataFrame]:
+def raw_tables(spark: SparkSession, sf_dir: str, stage=None) -> LazyTables:
     """The seven logical raw inputs of the study, keyed like its loader.
 
-    ``stage(df, name)`` (optional) materializes the three shared intermediates
-    -- commits, lineitem joined to its commit, per-day snapshot sums -- so the
-    fixture joins run once; the seven tables are projections of them.
+    ``stage(df, name, keys)`` (optional) writes the three shared intermediates --
+    commits, lineitem joined to its commit, half-month snapshot sums -- when one of
+    their tables is first asked for, so the fixture joins run once; the seven tables
+    are projections of them.
     """
-    st = stage or (lambda d, _n: d)
-    cm = st(commits(spark, sf_dir), "raw_commits")
-    li = st(lineitem_commits(spark, sf_dir, cm), "raw_lineitem_commits")
-    snap = st(_snap_raw(spark, sf_dir), "raw_snapshots")
-    return {
-        "commits": cm,
-        "changes": changes(spark, sf_dir, li),
-        "projects": projects(spark, sf_dir),
-        "szz": szz(spark, sf_dir, li),
-        "refactoring": refactoring(spark, sf_dir, li),
-        "sonar_analysis": sonar_analysis(spark, sf_dir, snap),
-        "sonar_measures": sonar_measures(spark, sf_dir, snap),
-    }
+    st = stage or (lambda d, _name, _keys: d)
+    shared = LazyTables({
+        "commits": lambda: st(commits(spark, sf_dir), "raw_commits", KEY),
+        "lines": lambda: st(lineitem_commits(spark, sf_dir, shared["commits"]), "raw_lineitem_commits", KEY),
+        "snapshots": lambda: st(_snap_raw(spark, sf_dir), "raw_snapshots", ["PROJECT_ID", "ANALYSIS_KEY"]),
+    })
+    return LazyTables({
+        "commits": lambda: shared["commits"],
+        "changes": lambda: changes(spark, sf_dir, shared["lines"]),
+        "projects": lambda: projects(spark, sf_dir),
+        "szz": lambda: szz(spark, sf_dir, shared["lines"]),
+        "refactoring": lambda: refactoring(spark, sf_dir, shared["lines"]),
+        "sonar_analysis": lambda: sonar_analysis(spark, sf_dir, shared["snapshots"]),
+        "sonar_measures": lambda: sonar_measures(spark, sf_dir, shared["snapshots"]),
+    })
 
 
 def driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -82,7 +82,7 @@ def test_random_against_pandas_merge_asof(spark):
     assert out.filter(F.col("d") > F.col("t")).count() == 0
 
 
-def test_dedupe_mode_equals_plain_with_hot_instants(spark):
+def test_hot_instants_on_both_sides(spark):
     rnd = random.Random(3)
     base = T("2021-01-01 00:00:00")
     left, right = [], []
@@ -95,12 +95,21 @@ def test_dedupe_mode_equals_plain_with_hot_instants(spark):
         t = base if i % 4 == 0 else base + dt.timedelta(hours=rnd.randint(-24 * 5, 24 * 30))
         right.append((k, f"s{i:04d}", t, float(i)))
     for how in ("inner", "left"):
-        a = run(spark, left, right, how=how)
-        b = run(spark, left, right, how=how, dedupe=True)
-        assert a == b and len(b) == (300 if how == "left" else len(a))
+        for exact in (True, False):
+            a = run(spark, left, right, how=how, allow_exact=exact, bucket_micros=None)
+            b = run(spark, left, right, how=how, allow_exact=exact)
+            assert a == b and len(b) == (300 if how == "left" else len(a))
 
 
-def test_quantile_buckets_split_a_burst_and_match(spark):
+@pytest.fixture
+def many_ranges(spark):
+    """Ranges stay apart however small they are."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_ranges_split_a_burst_and_match(spark, many_ranges):
     rnd = random.Random(5)
     base = T("2022-06-01 10:00:00")
     left, right = [], []
@@ -115,13 +124,24 @@ def test_quantile_buckets_split_a_burst_and_match(spark):
         t = base + dt.timedelta(seconds=rnd.randint(-600, 3599)) if k == "hot" else \
             base + dt.timedelta(hours=rnd.randint(-300, 200))
         right.append((k, f"s{i:04d}", t, float(i)))
-    plain = run(spark, left, right, bucket_micros=0)
-    assert run(spark, left, right, bucket_micros="quantile") == plain
-    assert run(spark, left, right, bucket_micros="quantile", allow_exact=False) == \
-        run(spark, left, right, bucket_micros=0, allow_exact=False)
-    # the hot key's rows land in many buckets, not one
-    from cohortlab.operators.asof import _quantile_buckets
-    l_ = spark.createDataFrame(left, L_SCHEMA).select("k", F.unix_micros("t").alias("_t"))
-    r = spark.createDataFrame(right, R_SCHEMA).select("k", F.unix_micros("d").alias("_t"))
-    lb, _ = _quantile_buckets(l_, r, ["k"])
-    assert lb.filter("k = 'hot'").select("_b").distinct().count() >= 16
+    for exact in (True, False):
+        assert run(spark, left, right, allow_exact=exact) == run(spark, left, right, bucket_micros=0, allow_exact=exact)
+
+
+def test_one_instant_spreads_over_ranges(spark, many_ranges):
+    """All rows of one project at one instant: ranges are cut by the tiebreak, none above twice the median."""
+    from pyspark.sql import Window
+
+    from cohortlab.functions.ordering import place_in_group, write_ordered
+    df = spark.range(8000).selectExpr("IF(id % 5 = 0, CAST(id % 3 AS STRING), 'hot') AS k", "sha(CAST(id AS STRING)) AS h",
+                                      "TIMESTAMP'2020-01-01' AS t").withColumn("k", F.when(F.col("k") != "1", F.col("k")))
+    order = [F.col("t").asc_nulls_last(), F.col("h").asc()]
+    cut = write_ordered(df, ["k"], order)
+    sizes = sorted(r["count"] for r in cut.groupBy("_part").count().collect())
+    assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    got = place_in_group(cut, ["k"], "i", "n")
+    w = Window.partitionBy("k")
+    want = df.select("*", (F.row_number().over(w.orderBy("t", "h")) - 1).alias("j"), F.count("*").over(w).alias("m"))
+    both = got.join(want, "h")
+    assert set(got.columns) == {"k", "h", "t", "i", "n"} and both.count() == 8000
+    assert both.filter("i <> j OR n <> m").count() == 0

@@ -37,19 +37,17 @@ def test_dense_code_and_time_index(spark):
     ti = {r.COMMIT_HASH: r.TIME_IDX for r in features.time_index(df).collect()}
     assert ti == {"h2": 0, "h3": 1, "h0": 2, "h1": 0, "h4": 0}
     undated = df.union(spark.createDataFrame([("a", "h9", None), (None, "h8", None)], df.schema))
-    for bucket in ("quantile", 3_600_000_000):
-        got = {r.COMMIT_HASH: r.TIME_IDX for r in features.time_index(undated, bucket_micros=bucket).collect()}
-        assert got == ti | {"h9": 3, "h8": 1}
+    got = {r.COMMIT_HASH: r.TIME_IDX for r in features.time_index(undated).collect()}
+    assert got == ti | {"h9": 3, "h8": 1}
 
 
-@pytest.mark.parametrize("bucket", [3_600_000_000, "quantile"])
-def test_running_index_matches_row_number(spark, bucket):
+def test_running_index_matches_row_number(spark):
     rng = np.random.default_rng(1)
     base = T("2020-01-01 00:00:00")
     rows = [(str(rng.integers(0, 3)), f"h{i}", base + dt.timedelta(minutes=int(rng.integers(0, 60 * 24 * 40))))
             for i in range(500)]
     df = spark.createDataFrame(rows, "PROJECT_ID string, COMMIT_HASH string, AUTHOR_DATE timestamp")
-    got = features.time_index(df, bucket_micros=bucket)
+    got = features.time_index(df)
     want = df.withColumn("w", F.row_number().over(Window.partitionBy("PROJECT_ID").orderBy("AUTHOR_DATE", "COMMIT_HASH")) - 1)
     j = got.join(want, ["PROJECT_ID", "COMMIT_HASH"])
     assert j.filter(F.col("w") != F.col("TIME_IDX")).count() == 0 and j.count() == 500
