@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.quantiles import grouped_medians, grouped_quantiles, quantile_table
 from cohortlab.functions.scalar import short_project
+from cohortlab.operators.comoments import pair_moments
 
 
 def bic_by_project(cohort: DataFrame, key: str = "PROJECT_ID", label: str = "BIC") -> DataFrame:
@@ -108,25 +109,21 @@ def describe_by_label(df: DataFrame, variables: Sequence[str], label: str = "BIC
 def corr_matrix(df: DataFrame, variables: Sequence[str], digits: int = 2) -> DataFrame:
     """Pairwise-complete Pearson correlations, long form, rounded.
 
-    One aggregate over the rows as they are holds the pair-complete covariance and
-    deviations of the upper triangle (stable merges); the ratio uses ``try_divide``,
-    so a constant column yields NULL instead of an error.  The lower triangle is the
-    mirror image.
+    The moments of all pairs come from one pass (``pair_moments``); a constant column
+    yields NULL instead of an error.  The lower triangle is the mirror image.
     """
     variables = [v for v in variables if v in df.columns]
-    up = df.agg(F.array(*_pair_correlations(df, variables)).alias("p")).select(F.inline("p"))
-    low = up.filter(F.col("var1") != F.col("var2")).select(
-        F.col("var2").alias("var1"), F.col("var1").alias("var2"), "r")
-    return up.unionByName(low).withColumn("r", F.round(F.col("r"), digits))
+    up = _correlations(df, variables)
+    both = F.when(F.col("var1") == F.col("var2"), F.array(F.struct("var1", "var2"))).otherwise(
+        F.array(F.struct("var1", "var2"), F.struct(F.col("var2").alias("var1"), F.col("var1").alias("var2"))))
+    return up.select(F.inline(both), F.round("r", digits).alias("r"))
 
 
-def _pair_correlations(df: DataFrame, variables: Sequence[str]):
-    d = {v: F.col(v).cast("double") for v in variables}
-    for i, a in enumerate(variables):
-        for b in variables[i:]:
-            x, y = F.when(d[b].isNotNull(), d[a]), F.when(d[a].isNotNull(), d[b])
-            r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-            yield F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), r.alias("r"))
+def _correlations(df: DataFrame, variables: Sequence[str]) -> DataFrame:
+    same = F.col("var1") == F.col("var2")
+    r = F.try_divide(F.col("cov"), F.sqrt("var_1") * F.sqrt("var_2"))
+    return pair_moments(df, variables).select(
+        "var1", "var2", F.when(same, F.when(F.col("var_1") > 0, 1.0)).otherwise(r).alias("r"))
 
 
 def inventory(tables: dict[str, DataFrame]) -> DataFrame:
@@ -149,24 +146,23 @@ def inventory(tables: dict[str, DataFrame]) -> DataFrame:
 def vif(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Variance inflation factors over all complete rows, highest first.
 
-    One aggregate holds the covariances and deviations (stable merges, so large
-    means don't cancel); on the driver the k x k correlation matrix of the columns
-    that vary is inverted and VIF_i is its i-th diagonal element (= 1 / (1 - R_i^2)
-    of the OLS of x_i on the others with a constant).  A constant column has none;
-    columns that depend on each other exactly have an infinite one.
+    The correlations of all pairs come from one pass; on the driver the k x k matrix of
+    the columns that vary is decomposed, and VIF_i is the i-th diagonal element of its
+    (pseudo-)inverse, = 1 / (1 - R_i^2) of the OLS of x_i on the others with a constant.
+    A constant column has none.  A column with a part in an exact dependency has an
+    infinite one; the others keep theirs.
     """
     import numpy as np
 
     variables = [v for v in variables if v in df.columns]
     d = df.select(*[F.col(v).cast("double").alias(v) for v in variables]).na.drop()
-    r = {(x["var1"], x["var2"]): x["r"] for x in
-         d.agg(F.array(*_pair_correlations(d, variables)).alias("p")).select(F.inline("p")).collect()}
-    vary = [v for v in variables if r[v, v] is not None]
+    r = {(x["var1"], x["var2"]): x["r"] for x in _correlations(d, variables).collect()}
+    vary = [v for v in variables if r.get((v, v)) is not None]
     corr = np.array([[r.get((a, b), r.get((b, a))) for b in vary] for a in vary], float).reshape(len(vary), len(vary))
-    np.fill_diagonal(corr, 1.0)
-    if vary and np.linalg.matrix_rank(corr) == len(vary):
-        vals = dict(zip(vary, np.diag(np.linalg.inv(corr)).tolist()))
-    else:
-        vals = {v: float("inf") for v in vary}
+    size, axes = np.linalg.eigh(corr)
+    none = size < 1e-10                                   # directions without spread: exact dependencies
+    tied = (axes[:, none] ** 2).sum(axis=1) > 1e-8
+    inverse = ((axes[:, ~none] ** 2) / size[~none]).sum(axis=1)
+    vals = {v: float("inf") if t else float(x) for v, t, x in zip(vary, tied, inverse)}
     out = df.sparkSession.createDataFrame([(v, vals.get(v)) for v in variables], "Variable string, VIF double")
     return out.orderBy(F.col("VIF").desc_nulls_last())

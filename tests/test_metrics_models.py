@@ -188,3 +188,36 @@ def test_forest_and_boosted_models_rank(spark):
     for f in (forest, boosted):
         row = metrics.model_comparison(f.score(df).withColumnRenamed("BIC", "label")).first().asDict()
         assert next(v for k, v in row.items() if "roc" in k.lower()) > 0.7
+
+
+def test_pair_complete_correlations_equal_pandas(spark):
+    import pandas as pd
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 5)) @ rng.normal(size=(5, 5)) + 1e8
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 4] = 7.0
+    frame = pd.DataFrame(x, columns=list("abcde"))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double, e double").repartition(3)
+    got = {(r.var1, r.var2): r.r for r in profile.corr_matrix(df, list("abcde"), digits=9).collect()}
+    want = frame.corr()
+    assert len(got) == 25
+    for (a, b), r in got.items():
+        assert (r is None) == (a == "e" or b == "e") and (r is None or abs(r - want.loc[a, b]) < 1e-6)
+    empty = profile.corr_matrix(df.limit(0), ["a", "b"]).collect()
+    assert len(empty) == 4 and all(r.r is None for r in empty)
+
+
+def test_240_columns_and_one_exact_dependency(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 240))
+    x[:, 1] = 3 * x[:, 0] - 5
+    names = [f"c{i}" for i in range(240)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in names))
+    got = {r.Variable: r.VIF for r in profile.vif(df, names).collect()}
+    want = np.diag(np.linalg.inv(np.corrcoef(np.delete(x, [0, 1], axis=1).T)))
+    assert got["c0"] == got["c1"] == float("inf")
+    finite = np.array([got[n] for n in names[2:]])
+    assert np.isfinite(finite).all()
+    # the others are regressed on the one direction of the pair too
+    both = np.diag(np.linalg.inv(np.corrcoef(np.delete(x, 1, axis=1).T)))[1:]
+    assert np.allclose(finite, both, rtol=1e-8) and not np.allclose(finite, want, rtol=1e-8)
