@@ -121,6 +121,26 @@ def csv_roundtrip_changes(s):
     return csv_src.read_csv(s.spark, path, csv_src.CHANGES)
 
 
+@register("csv_split_changes", "SELECT * FROM fx_changes", ops="A2 S14")
+def csv_split_changes(s):
+    """Every row has a quoted field with line breaks, and every file is read by several tasks."""
+    path = scratch_path(s.spark, "changes_split_csv")
+    fixtures.csv_roundtrip(s.raw["changes"], path, extra='first line\nthen "this",\n\nand the last')
+    return csv_src.read_csv(s.spark, path, csv_src.CHANGES, split_bytes=1 << 16)
+
+
+@register("csv_quarantine_changes", """
+  SELECT PROJECT_ID, COMMIT_HASH, CAST(LINES_ADDED AS VARCHAR) || ' lines' AS LINES_ADDED,
+         coalesce(CAST(LINES_REMOVED AS VARCHAR), 'NA') AS LINES_REMOVED FROM fx_changes WHERE LINES_ADDED % 10 = 0""", ops="A2 B2 S14")
+def csv_quarantine_changes(s):
+    """The rows that strict reading sets aside: each tenth number of lines is no number."""
+    path = scratch_path(s.spark, "changes_bad_csv")
+    text = F.col("LINES_ADDED").cast("string")
+    fixtures.csv_roundtrip(s.raw["changes"].withColumn("LINES_ADDED", F.when(
+        F.col("LINES_ADDED") % 10 == 0, F.concat(text, F.lit(" lines"))).otherwise(text)), path)
+    return csv_src.read_csv_checked(s.spark, path, csv_src.CHANGES)[1]
+
+
 @register("csv_roundtrip_szz", "SELECT * FROM fx_szz", ops="A4 S14")
 def csv_roundtrip_szz(s):
     path = _scratch(s, "szz_csv")

@@ -8,13 +8,16 @@ still reaches the scan (only selected columns are parsed).
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab import config
 from cohortlab.functions.scalar import parse_timestamp_mixed
+from cohortlab.session import materialize
+from cohortlab.sources.csv_records import file_sizes, split_records
 
 # logical schemas (column -> type), see the study's loaders
 COMMITS = {"PROJECT_ID": "string", "COMMIT_HASH": "string", "AUTHOR_DATE": "timestamp",
@@ -51,39 +54,87 @@ def _typed(c: Column, dtype: str) -> Column:
     return c
 
 
+_FORMAT = {"escape": '"', "multiLine": "true", "mode": "FAILFAST"}
+
+
+def _strings(spark: SparkSession, path: str, split_bytes: int | None) -> DataFrame:
+    """Every column as text, named by the header.
+
+    Files that fit one byte range are read whole, a task each, as Spark does with quoted
+    line breaks; if any file is larger, all are read range by range (``csv_records``).
+    """
+    df = spark.read.options(**_FORMAT).option("header", True).csv(path)
+    limit = split_bytes or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if (file_sizes(spark, path).agg(F.max("length")).first()[0] or 0) <= limit:
+        return df
+    row = F.from_csv("record", F.lit(", ".join(f"`{c.replace('`', '``')}` STRING" for c in df.columns)), _FORMAT)
+    return split_records(spark, path, split_bytes).select(row.alias("r")).select(
+        *[F.col("r").getField(c).alias(c) for c in df.columns])
+
+
+def _typed_columns(df: DataFrame, path: str, schema: Mapping[str, str], columns: Sequence[str] | None):
+    want = list(columns or schema.keys())
+    missing = [c for c in want if c not in df.columns]
+    if missing:
+        raise ValueError(f"{path}: missing columns {missing}")
+    typed = {c: _typed(F.col(f"`{c}`"), schema[c]) for c in want}
+    bad = {c: _nullify(F.col(f"`{c}`")).isNotNull() & t.isNull() for c, t in typed.items() if schema[c] != "string"}
+    return typed, bad
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: Mapping[str, str], columns: Sequence[str] | None = None,
+                     split_bytes: int | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """``(good rows, quarantine, bad values per column)`` of one scan.
+
+    The typed rows are written to the shared folder in one pass that also counts; rows
+    with text that is not of its column's type go to the quarantine instead, as text.
+    """
+    df = _strings(spark, path, split_bytes)
+    typed, bad = _typed_columns(df, path, schema, columns)
+    any_bad = F.lit(False)
+    for b in bad.values():
+        any_bad = any_bad | b
+    seen = Observation("csv")
+    if bad:
+        df = df.observe(seen, *[F.count_if(b).alias(c) for c, b in bad.items()])
+    raw = F.struct(*[F.col(f"`{c}`").alias(c) for c in typed])
+    rows = materialize(df.select(*[t.alias(c) for c, t in typed.items()], F.when(any_bad, raw).alias("_raw")), "csv-typed")
+    counts = dict(seen.get) if bad else {}
+    return rows.filter(F.col("_raw").isNull()).drop("_raw"), rows.filter(F.col("_raw").isNotNull()).select("_raw.*"), counts
+
+
 def read_csv(spark: SparkSession, path: str, schema: Mapping[str, str] | None = None,
-             columns: Sequence[str] | None = None, infer: bool = False, on_bad: str = "raise") -> DataFrame:
+             columns: Sequence[str] | None = None, infer: bool = False, on_bad: str = "raise",
+             split_bytes: int | None = None) -> DataFrame:
     """Headered CSV -> typed DataFrame, binding by header name.
 
     ``schema`` maps the wanted columns to types; ``infer=True`` reads every
     column with type inference (the fully inferred project list, A3).  Quoted
-    fields may hold line breaks, so files are split by file, not by block.
+    fields may hold line breaks; files larger than a byte range (``split_bytes``, the
+    session's unless given) are still read by several tasks.
 
     Text that is not NULL and not of its column's type is bad (``12.7`` in an
-    integer column, an impossible date).  ``on_bad='raise'`` counts it per column in
-    one aggregate and raises with the counts; ``'drop'`` leaves out rows with any;
-    ``'null'`` reads it as NULL.
+    integer column, an impossible date).  ``on_bad='raise'`` reads strictly, in one scan
+    (``read_csv_checked``), and raises with the counts and the quarantine's place;
+    ``'drop'`` leaves out rows with any; ``'null'`` reads it as NULL.
     """
     if on_bad not in ("raise", "drop", "null"):
         raise ValueError("on_bad must be 'raise', 'drop' or 'null'")
-    r = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-         .option("mode", "FAILFAST"))
     if infer:
-        return r.option("inferSchema", True).option("nullValue", "").csv(path)
-    df = r.csv(path)          # every column a string, named by the header
+        return (spark.read.options(**_FORMAT).option("header", True).option("inferSchema", True)
+                .option("nullValue", "").csv(path))
     if schema is None:
-        return df
-    want = list(columns or schema.keys())
-    missing = [c for c in want if c not in df.columns]
-    if missing:
-        raise ValueError(f"{path}: missing columns {missing}")
-    typed = {c: _typed(F.col(f"`{c}`"), schema[c]) for c in want}
-    bad = {c: _nullify(F.col(f"`{c}`")).isNotNull() & t.isNull() for c, t in typed.items() if schema[c] != "string"}
-    if bad and on_bad == "raise":
-        n = df.agg(*[F.count_if(b).alias(c) for c, b in bad.items()]).first().asDict()
-        if any(n.values()):
-            raise ValueError(f"{path}: unparseable values: {({c: k for c, k in n.items() if k})}")
-    elif bad and on_bad == "drop":
+        return _strings(spark, path, split_bytes)
+    if on_bad == "raise" and any(schema[c] != "string" for c in columns or schema):
+        good, quarantine, counts = read_csv_checked(spark, path, schema, columns, split_bytes)
+        if any(counts.values()):
+            raise ValueError(f"{path}: unparseable values: {({c: k for c, k in counts.items() if k})}; "
+                             f"rows with a _raw value in {os.path.dirname(quarantine.inputFiles()[0])}")
+        return good
+    df = _strings(spark, path, split_bytes)
+    typed, bad = _typed_columns(df, path, schema, columns)
+    if on_bad == "drop":
         for b in bad.values():
             df = df.filter(~b)
     return df.select(*[t.alias(c) for c, t in typed.items()])

@@ -204,11 +204,11 @@ def fixture_scores(cohort: DataFrame, key: str = "COMMIT_HASH", label: str = "BI
     return d.select("model", key, "label", score.alias("score"))
 
 
-def csv_roundtrip(df: DataFrame, path: str, extra_col: str = "EXTRA_COL") -> None:
+def csv_roundtrip(df: DataFrame, path: str, extra_col: str = "EXTRA_COL", extra: str = 'say "hi", ok') -> None:
     """Write ``df`` as an export-style CSV: columns in reversed order, one extra
     column, values quoted where needed (test input for the typed CSV reader)."""
     cols = list(reversed(df.columns))
     out = df.select(*[F.col(c).cast("string").alias(c) for c in cols],
-                    F.lit('say "hi", ok').alias(extra_col))
+                    F.lit(extra).alias(extra_col))
     out.write.mode("errorifexists").option("header", True).option("escape", '"').option("quoteAll", False) \
        .option("nullValue", "NA").csv(path)

@@ -58,3 +58,66 @@ def test_bad_values_are_counted(spark, tmp_path, schema, row, column):
         csv_src.read_csv(spark, p, s)
     assert [r.COMMIT_HASH for r in csv_src.read_csv(spark, p, s, on_bad="drop").collect()] == ["2"]
     assert csv_src.read_csv(spark, p, s, on_bad="null").filter(f"{column} IS NULL AND COMMIT_HASH = '1'").count() == 1
+
+
+def test_quarantine_holds_the_bad_rows_as_text(spark, tmp_path):
+    p = _csv(tmp_path, "PROJECT_ID,COMMIT_HASH,LINES_ADDED,LINES_REMOVED\na,1,x,y\na,2,3,4\nb,3,5,z\nb,4,NA,\n")
+    good, bad, counts = csv_src.read_csv_checked(spark, p, csv_src.CHANGES)
+    assert counts == {"LINES_ADDED": 1, "LINES_REMOVED": 2}
+    assert sorted(tuple(r) for r in bad.collect()) == [("a", "1", "x", "y"), ("b", "3", "5", "z")]
+    assert sorted(tuple(r) for r in good.collect()) == [("a", "2", 3, 4), ("b", "4", None, None)]
+    assert good.columns == bad.columns == list(csv_src.CHANGES)
+
+
+def test_strict_reading_scans_a_file_once(spark, tmp_path, monkeypatch):
+    p = _csv(tmp_path, "PROJECT_ID,COMMIT_HASH,LINES_ADDED,LINES_REMOVED\na,1,2,3\n")
+    plans = []
+    keep = csv_src.materialize
+    monkeypatch.setattr(csv_src, "materialize", lambda df, name: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    out = csv_src.read_csv(spark, p, csv_src.CHANGES)
+    assert len(plans) == 1 and plans[0].count("FileScan csv") == 1
+    assert "FileScan csv" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def _odd_file(tmp_path, n, seed, crlf=False):
+    """Records whose quoted fields hold line breaks, doubled quotes, commas and empty lines."""
+    import random
+    rnd = random.Random(seed)
+    bits = ["x", "line\nbreak", 'say ""hi""', "a,b", "\n\n", "é", '""', "\n", "long " * 30 + "\n" + "tail " * 30, 'q"",""\n""']
+    rows = ["id,note,k"]
+    for i in range(n):
+        note = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 4)))
+        rows.append(f'{i},"{note}",{i % 7}' if rnd.random() < 0.7 else f"{i},plain,{i % 7}")
+    text = ("\r\n" if crlf else "\n").join(rows) + "\n"
+    p = tmp_path / f"odd{seed}.csv"
+    p.write_bytes(text.encode())
+    return str(p)
+
+
+@pytest.mark.parametrize("n,seed,split,crlf", [(400, 1, 2048, False), (400, 2, 97, False), (400, 3, 1000, True), (3, 4, 40, False)])
+def test_one_file_with_quoted_breaks_is_read_by_several_tasks(spark, tmp_path, n, seed, split, crlf):
+    from cohortlab.sources import csv_records
+    p = _odd_file(tmp_path, n, seed, crlf)
+    want = sorted(tuple(r) for r in csv_src.read_csv(spark, p).collect())
+    schema = {"id": "bigint", "note": "string", "k": "int"}
+    got = csv_src.read_csv(spark, p, schema, split_bytes=split)
+    assert sorted((str(r.id), r.note, str(r.k)) for r in got.collect()) == want and len(want) == n
+    with csv_records._Settings(spark, split):
+        lines = spark.read.option("lineSep", "\n").text(p)
+        tasks = lines.select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks > 1
+
+
+def test_a_record_longer_than_ranges_and_several_files(spark, tmp_path, monkeypatch):
+    from cohortlab.sources import csv_records
+    folder = tmp_path / "many"
+    folder.mkdir()
+    long = "\n".join(f"line {i}" for i in range(300))
+    (folder / "a.csv").write_text(f'id,note\n1,"{long}"\n2,x\n3,"a\nb"\n')
+    (folder / "b.csv").write_text('id,note\n4,"c\n\nd"\n\n5,""\n')
+    want = {("1", long), ("2", "x"), ("3", "a\nb"), ("4", "c\n\nd"), ("5", None)}
+    assert {tuple(r) for r in csv_src.read_csv(spark, str(folder)).collect()} == want
+    for limit in (csv_records.BROADCAST_RANGES, 0):   # ranges told by broadcast, and by a shuffle
+        monkeypatch.setattr(csv_records, "BROADCAST_RANGES", limit)
+        assert {tuple(r) for r in csv_src.read_csv(spark, str(folder), split_bytes=200).collect()} == want
