@@ -42,3 +42,19 @@ def place_in_group(ordered: DataFrame, by: Sequence[str], out: str, group_size:
         cols.append(F.sum("_n").over(w).alias(group_size))
     placed = join_null_safe(ordered, parts.select(*by, "_part", *cols), [*by, "_part"])
     return placed.withColumn(out, F.col("_at") - F.col("_base")).drop("_base", "_at", "_part")
+
+
+def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
+    """``df`` with ``cum_<c>`` for each column of ``sums``: its sum over the group's rows up to and with the row.
+
+    NULL counts as 0.  Sums inside each range, plus the group's sums over earlier ranges.
+    """
+    by = list(by)
+    d = write_ordered(df, by, order, "running").withColumns({f"_s_{c}": F.coalesce(F.col(c), F.lit(0)) for c in sums})
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = d.groupBy(*by, "_part").agg(*[F.sum(f"_s_{c}").alias(f"_s_{c}") for c in sums])
+    before = parts.select(*by, "_part", *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    inside = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumns({f"_i_{c}": F.sum(f"_s_{c}").over(inside) for c in sums})
+    return join_null_safe(d, before, [*by, "_part"]).select(
+        *df.columns, *[(F.col(f"_b_{c}") + F.col(f"_i_{c}")).alias(f"cum_{c}") for c in sums])

@@ -1,27 +1,25 @@
 """Project x month panel.
 
 The forward-looking rate of each (project, month) anchor -- mean label of the
-commits in ``(month start, month start + tau]`` -- is computed without a
-window over a whole project and without forming (anchor, commit) pairs: each
-commit can only fall into the windows of the few anchors at most
-``ceil(tau_max / 28)`` months before it, so it is expanded into those
-candidate anchors, tested against every tau, and reduced by a partial
-aggregate keyed on (project, anchor).
+commits in ``(month start, month start + tau]`` -- is the difference of two
+prefix sums, divided by that of two prefix counts.  The commits are first
+reduced to one row per (project, instant); these and the ends of all windows
+are put into one order, and the sums up to each end are read off there.  No
+commit is copied, no window spans a project and no (anchor, commit) pair is
+formed.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab import config
+from cohortlab.functions.ordering import running_sums
 from cohortlab.functions.scalar import log1p, month_start
 
-DAY_MICROS = 86_400_000_000
-
 
 def panel_month(df: DataFrame, group: str = "PROJECT_ID", time: str = "AUTHOR_DATE") -> DataFrame:
     """Aggregate commits to project x calendar month (D9) with the rate, lag and delta."""
@@ -54,21 +52,21 @@ def forward_rates(df: DataFrame, taus: Sequence[int] = tuple(config.FORWARD_WIND
     month's start, a purely forward window.
     """
     taus = list(taus)
-    k_max = math.ceil(max(taus) / 28) + 1
-    shift = 1 if anchor == "period_end" else 0
-    t = F.col(time).cast("timestamp")
-    c = df.select(F.col(group), t.alias("_t"), F.col(label).alias("_y"))
-    c = c.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(k_max))))
-    # t0 of the candidate anchor: month start k months back (+1 month for period_end)
-    c = c.withColumn("_a", F.add_months(month_start("_t"), -F.col("_k")).cast("timestamp"))
-    c = c.withColumn("_t0", F.add_months(F.col("_a"), shift).cast("timestamp"))
-    c = c.filter(F.col("_t") > F.col("_t0"))
-    ins = {tau: F.col("_t") <= F.col("_t0") + F.make_dt_interval(F.lit(tau)) for tau in taus}
-    c = c.filter(ins[max(taus)])
-    aggs = []
-    for tau in taus:
-        aggs.append(F.avg(F.when(ins[tau], F.col("_y"))).alias(f"BIC_RATE_NEXT_{tau}D"))
-    return c.groupBy(F.col(group), F.col("_a").alias("PERIOD_START")).agg(*aggs)
+    months = df.select(group, month_start(time).alias("PERIOD_START")).distinct()
+    t0 = F.add_months("PERIOD_START", 1 if anchor == "period_end" else 0).cast("timestamp")
+    ends = {0: t0} | {tau: t0 + F.make_dt_interval(F.lit(tau)) for tau in taus}
+    points = (months.filter(F.col("PERIOD_START").isNotNull())
+              .select(group, "PERIOD_START", *[F.unix_micros(e).alias(str(tau)) for tau, e in ends.items()])
+              .unpivot([group, "PERIOD_START"], [str(tau) for tau in ends], "_end", "_t"))
+    instants = (df.groupBy(group, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"))
+                  .agg(F.sum(label).alias("_y"), F.count(label).alias("_n")).filter(F.col("_t").isNotNull()))
+    # at one instant the commits come first: a window's end counts them, its start leaves them out
+    upto = running_sums(instants.unionByName(points, allowMissingColumns=True), [group],
+                        [F.col("_t").asc(), F.col("_end").asc_nulls_first()], ["_y", "_n"])
+    at = lambda c, tau: F.max(F.when(F.col("_end") == str(tau), F.col(c)))
+    rate = lambda tau: F.try_divide((at("cum__y", tau) - at("cum__y", 0)).cast("double"), at("cum__n", tau) - at("cum__n", 0))
+    return (upto.filter(F.col("_end").isNotNull()).groupBy(group, "PERIOD_START")
+                .agg(*[rate(tau).alias(f"BIC_RATE_NEXT_{tau}D") for tau in taus]))
 
 
 def panel_with_forward(df: DataFrame, taus: Sequence[int] = tuple(config.FORWARD_WINDOWS_DAYS),

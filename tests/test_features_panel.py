@@ -96,6 +96,26 @@ def test_forward_window_matches_brute_force(spark):
             assert (want is None and have is None) or abs(want - have) < 1e-12
 
 
+def test_forward_rates_copy_no_commit(spark, monkeypatch):
+    from cohortlab.functions import ordering
+    plans, keep = [], ordering.materialize
+    monkeypatch.setattr(ordering, "materialize", lambda df, name: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
+    rows = [("p", f"h{i}", T("2020-01-01 00:00:00") + dt.timedelta(days=i % 90), i % 2) for i in range(400)] + [(None, "n", None, 1)]
+    out = panel.forward_rates(_commits(spark, rows), taus=[30, 60])
+    plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    assert not any("explode" in p.lower() or "Generate" in p for p in plans)
+    assert {r.PERIOD_START.month for r in out.collect()} == {1, 2, 3}
+
+
+def test_forward_window_from_the_next_month(spark):
+    rows = [("p", "a", T("2020-01-10 00:00:00"), 1), ("p", "b", T("2020-02-01 00:00:00"), 1),
+            ("p", "c", T("2020-02-20 00:00:00"), 0), ("p", "d", T("2020-03-02 00:00:00"), 1)]
+    f = {r.PERIOD_START.month: r.BIC_RATE_NEXT_30D for r in
+         panel.forward_rates(_commits(spark, rows), taus=[30], anchor="period_end").collect()}
+    assert f == {1: 0.5, 2: 1.0, 3: None}       # (1 Feb, 2 Mar], (1 Mar, 31 Mar], (1 Apr, 1 May]
+
+
 def test_month_gap_lag_and_empty_window(spark):
     rows = [("p", "a", T("2020-01-10 00:00:00"), 1), ("p", "b", T("2020-03-10 00:00:00"), 0),
             ("p", "c", T("2020-05-01 00:00:00"), 1)]
