@@ -102,8 +102,13 @@ def check_features(df: DataFrame, wanted: Sequence[str]) -> list[str]:
     return missing
 
 
-def imputed_cohort(cohort: DataFrame) -> DataFrame:
-    """cohort -> log transforms -> imputation (the order the study uses, S18)."""
+def imputed_cohort(cohort: DataFrame, impute_first: bool = False) -> DataFrame:
+    """cohort -> log transforms -> imputation, the order the study uses: a missing size has log 0.
+
+    ``impute_first=True`` imputes the measures first, so the logs are of the imputed values.
+    """
+    if impute_first:
+        return handle_missing(log_transforms(impute_group_median(cohort, config.TD_FEATURES)))
     return handle_missing(log_transforms(cohort))
 
 

@@ -1,9 +1,10 @@
 """The five study stages as functions with Parquet / CSV / model outputs.
 
 Each stage takes its upstream DataFrame or, when ``None``, re-reads the
-upstream stage's Parquet output (A13), so stages can run separately like the
+upstream stage's completed output (A13), so stages can run separately like the
 original command-line stages.  Outputs go under ``out_dir`` (a shared
-path on a cluster).
+path on a cluster) through ``handoff``: a stage run again on the same inputs
+re-reads what it wrote, and a half-written output is never read.
 """
 
 from __future__ import annotations
@@ -14,41 +15,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab import config
-from cohortlab.operators import attribution, buckets, metrics, models, panel, profile, split
+from cohortlab.operators import attribution, buckets, features, metrics, models, panel, profile, split
+from cohortlab.plans import handoff
 from cohortlab.plans.study import Study
 from cohortlab.sources import csv as csv_src
 
+ROWS = ["PROJECT_ID", "AUTHOR_DATE"]       # clustering of the row-level tables
+
 
 def _p(out_dir: str, *parts: str) -> str:
     return os.path.join(out_dir, *parts)
 
 
-def _write(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def _made_from(spark: SparkSession, stage: str, given: DataFrame | None, path: str) -> str:
+    """Fingerprint of a stage that reads the output at ``path``, or the table it was given."""
+    if given is None:
+        return handoff.fingerprint(spark, stage=stage, version=handoff.version_of(spark, path))
+    return handoff.fingerprint(spark, given, stage=stage)
 
 
 def run_preprocessing(study: Study, out_dir: str) -> DataFrame:
     """Raw inputs -> interim tables and the cohort, all as Parquet (A9); returns the cohort."""
-    _write(study.churn, _p(out_dir, "interim", "churn_per_commit"))
-    _write(study.bic_labels, _p(out_dir, "interim", "bic_labels"))
-    _write(study.refs, _p(out_dir, "interim", "refactoring_binary"))
-    _write(study.cohort, _p(out_dir, "processed", "cohort_final"))
-    return study.spark.read.parquet(_p(out_dir, "processed", "cohort_final"))
+    spark, made_from = study.spark, study.fingerprint()
+    key = ["PROJECT_ID", "COMMIT_HASH"]
+    handoff.reuse(spark, _p(out_dir, "interim", "churn_per_commit"), made_from, lambda: study.churn, key)
+    handoff.reuse(spark, _p(out_dir, "interim", "bic_labels"), made_from, lambda: study.bic_labels, key)
+    handoff.reuse(spark, _p(out_dir, "interim", "refactoring_binary"), made_from, lambda: study.refs, key)
+    return handoff.reuse(spark, _p(out_dir, "processed", "cohort_final"), made_from, lambda: study.cohort, ROWS)
+
+
+def run_features(spark: SparkSession, out_dir: str, cohort: DataFrame | None = None,
+                 impute_first: bool = False) -> DataFrame:
+    """cohort (or its completed output) -> modeling table and panel as Parquet."""
+    path = _p(out_dir, "processed", "cohort_final")
+    made_from = _made_from(spark, f"features impute_first={impute_first}", cohort, path)
 
+    def imputed() -> DataFrame:
+        return features.imputed_cohort(cohort if cohort is not None else handoff.read(spark, path), impute_first)
 
-def run_features(spark: SparkSession, out_dir: str, cohort: DataFrame | None = None) -> DataFrame:
-    """cohort (or its Parquet) -> modeling table and panel as Parquet."""
-    from cohortlab.operators import features
-    c = cohort if cohort is not None else spark.read.parquet(_p(out_dir, "processed", "cohort_final"))
-    imp = features.imputed_cohort(c)
-    _write(features.modeling_ready(imp), _p(out_dir, "processed", "modeling_ready"))
-    _write(panel.final_panel(imp), _p(out_dir, "processed", "panel_data"))
-    return spark.read.parquet(_p(out_dir, "processed", "modeling_ready"))
+    handoff.reuse(spark, _p(out_dir, "processed", "panel_data"), made_from, lambda: panel.final_panel(imputed()),
+                  ["PROJECT_ID", "PERIOD_START"])
+    return handoff.reuse(spark, _p(out_dir, "processed", "modeling_ready"), made_from,
+                         lambda: features.modeling_ready(imputed()), ROWS)
 
 
 def run_reports(spark: SparkSession, out_dir: str, modeling: DataFrame | None = None) -> None:
     """Report tables as headered CSV."""
-    m = modeling if modeling is not None else spark.read.parquet(_p(out_dir, "processed", "modeling_ready"))
+    m = modeling if modeling is not None else handoff.read(spark, _p(out_dir, "processed", "modeling_ready"))
     csv_src.write_csv_report(profile.describe_by_label(m, config.DESCRIBE_VARIABLES),
                              _p(out_dir, "tables", "table1_descriptive_stats"))
     csv_src.write_csv_report(profile.project_report(m), _p(out_dir, "tables", "table2_bic_per_project"))
@@ -58,10 +71,9 @@ def run_reports(spark: SparkSession, out_dir: str, modeling: DataFrame | None =
 def run_modeling(spark: SparkSession, out_dir: str, modeling: DataFrame | None = None,
                  names: list[str] | None = None) -> dict[str, models.Fitted]:
     """Split, fit and save the models (A12); the scored test set is persisted."""
-    m = modeling if modeling is not None else spark.read.parquet(_p(out_dir, "processed", "modeling_ready"))
-    sp = split.chrono_split(m)
-    _write(sp, _p(out_dir, "processed", "split"))
-    sp = spark.read.parquet(_p(out_dir, "processed", "split"))
+    path = _p(out_dir, "processed", "modeling_ready")
+    sp = handoff.reuse(spark, _p(out_dir, "processed", "split"), _made_from(spark, "split", modeling, path), lambda: split.chrono_split(
+        modeling if modeling is not None else handoff.read(spark, path)), ROWS)
     train = sp.filter(F.col("split") == "train")
     proj = models.vocabulary(train)
     fitted = {}
@@ -90,14 +102,15 @@ def run_evaluation(spark: SparkSession, out_dir: str, names: list[str] | None =
     Everything comes from ``out_dir``: no object of the training run is needed.
     """
     fitted = {n: models.load(_p(out_dir, "models", n)) for n in names or config.MODEL_ORDER[1:]}
-    sp = spark.read.parquet(_p(out_dir, "processed", "split"))
+    sp = handoff.read(spark, _p(out_dir, "processed", "split"))
     train, test = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
     parts = [models.dummy_scores(train, test)] + [f.score(test) for f in fitted.values()]
     sc = parts[0]
     for p in parts[1:]:
         sc = sc.unionByName(p)
-    _write(sc.withColumnRenamed(config.TARGET, "label"), _p(out_dir, "processed", "test_scores"))
-    sc = spark.read.parquet(_p(out_dir, "processed", "test_scores"))
+    # the models are no table: their scores are written each time
+    sc = handoff.write(sc.withColumnRenamed(config.TARGET, "label"), _p(out_dir, "processed", "test_scores"),
+                       handoff.fingerprint(spark, sp, stage="scores"), ["model", "PROJECT_ID"])
     table3 = metrics.model_comparison(sc)
     csv_src.write_csv_report(table3, _p(out_dir, "tables", "table3_model_comparison"))
     lin = [f for f in fitted.values() if f.name.startswith("M3")]

@@ -12,12 +12,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab import config
 from cohortlab.operators import assemble, features, panel
+from cohortlab.plans import handoff
 from cohortlab.session import materialize, materialize_bucketed
 from cohortlab.sources import fixtures
 
@@ -26,7 +26,8 @@ class Study:
     def __init__(self, spark: SparkSession, sf_dir: str | None = None,
                  raw: Mapping[str, DataFrame] | None = None, asof_bucket_micros: int | str = "quantile",
                  min_commits: int = config.MIN_COMMITS_PER_PROJECT,
-                 min_snapshots: int = config.MIN_SONAR_SNAPSHOTS, materialize_stages: bool = True):
+                 min_snapshots: int = config.MIN_SONAR_SNAPSHOTS, materialize_stages: bool = True,
+                 impute_first: bool = False):
         if raw is None and sf_dir is None:
             raise ValueError("give sf_dir or raw tables")
         self.spark = spark
@@ -36,6 +37,7 @@ class Study:
         self.min_commits = min_commits
         self.min_snapshots = min_snapshots
         self.materialize_stages = materialize_stages
+        self.impute_first = impute_first
         self.fits: dict = {}  # split tables and fitted models of this study
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +46,12 @@ class Study:
     def stage_bucketed(self, df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
         return materialize_bucketed(df, name, keys) if self.materialize_stages else df
 
+    def fingerprint(self) -> str:
+        """What the study's results depend on: its input files and its parameters."""
+        raw = self._raw.values() if self._raw is not None else fixtures.study_tables(self.spark, self.sf_dir)
+        return handoff.fingerprint(self.spark, *raw, stage="study", min_commits=self.min_commits,
+                                   min_snapshots=self.min_snapshots, impute_first=self.impute_first)
+
     # -- sources -------------------------------------------------------------
     @cached_property
     def raw(self) -> Mapping[str, DataFrame]:
@@ -103,9 +111,8 @@ class Study:
     # -- features --------------------------------------------------------------
     @cached_property
     def imputed(self) -> DataFrame:
-        # short lineage (staged cohort + one median aggregate) and four consumers:
-        # persisted (memory and disk; a lost block is recomputed from the cohort)
-        return features.imputed_cohort(self.cohort).persist(StorageLevel.MEMORY_AND_DISK)
+        # four consumers: staged, so nothing stays in executors' memory behind the study
+        return self.stage(features.imputed_cohort(self.cohort, self.impute_first), "imputed")
 
     @cached_property
     def modeling(self) -> DataFrame:

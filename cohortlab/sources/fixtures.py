@@ -179,6 +179,11 @@ def raw_tables(spark: SparkSession, sf_dir: str, stage=None) -> LazyTables:
     })
 
 
+def study_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The driver's tables that the study's inputs are mapped from."""
+    return [read_table(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier", "orders", "lineitem")]
+
+
 def driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: read_table(spark, sf_dir, t) for t in DRIVER_TABLES}
 
