@@ -159,6 +159,9 @@ cte("fe_imp", "SELECT * REPLACE (" + ", ".join(
     for m in MEAS) + ", " + ", ".join(
     f"coalesce({c}, 0.0) AS {c}" for c in ["log_churn", "log_ncloc", "log_sqale_index", "log_ref_count"])
     + ") FROM fe_log")
+cte("fe_first", "SELECT * REPLACE (" + ", ".join(
+    f"coalesce({m}, median({m}) OVER (PARTITION BY PROJECT_ID), (SELECT median({m}) FROM cohort)) AS {m}" for m in MEAS)
+    + ") FROM cohort")
 cte("modeling", """
   SELECT *, SQALE_DEBT_RATIO * HAS_REFACTORING AS TDR_x_REF,
          SQALE_DEBT_RATIO * log_ref_count AS TDR_x_REFCOUNT,

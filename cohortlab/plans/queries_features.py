@@ -37,6 +37,23 @@ def impute_group_median(s):
     return s.imputed.select("PROJECT_ID", "COMMIT_HASH", *MEAS)
 
 
+@register("log_features_impute_first", """
+  SELECT PROJECT_ID, COMMIT_HASH, ln(1 + CHURN) AS log_churn, coalesce(ln(1 + NCLOC), 0.0) AS log_ncloc,
+         coalesce(ln(1 + SQALE_INDEX), 0.0) AS log_sqale_index, ln(1 + REF_COUNT) AS log_ref_count FROM fe_first""",
+          doubles=LOGS, ops="H1 S18")
+def log_features_impute_first(s):
+    return features.imputed_cohort(s.cohort, impute_first=True).select("PROJECT_ID", "COMMIT_HASH", *LOGS)
+
+
+@register("vif_two_columns", """
+  SELECT v.Variable, 1 / (1 - r * r) AS VIF FROM
+    (SELECT corr(SQALE_DEBT_RATIO, log_churn) AS r FROM fe_imp WHERE SQALE_DEBT_RATIO IS NOT NULL AND log_churn IS NOT NULL),
+    (VALUES ('SQALE_DEBT_RATIO'), ('log_churn')) AS v(Variable)""", doubles=["VIF"], ops="D20 B10 G4")
+def vif_two_columns(s):
+    """With two columns each factor is 1 / (1 - r^2) over the complete rows."""
+    return profile.vif(s.imputed, ["SQALE_DEBT_RATIO", "log_churn"])
+
+
 _MISS_BEFORE = " UNION ALL ".join(
     f"SELECT '{m}' AS \"column\", count(*) - count({m}) AS n_missing, 'before' AS stage FROM fe_log" for m in MEAS)
 _MISS_AFTER = " UNION ALL ".join(

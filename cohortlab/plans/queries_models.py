@@ -2,7 +2,8 @@
 
 Training results are not SQL-expressible, so these are checked rows-only
 here and by closed-form tests in ``tests/``.  Fits are kept on the study they
-belong to, so several queries over one study do not retrain a model.
+belong to, so several queries over one study do not retrain a model; the tree
+ensembles are kept for all studies of one session and the same input files.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from cohortlab import config
 from cohortlab.operators import attribution, metrics, models, profile, split
 from cohortlab.plans.registry import register
-from cohortlab.session import _RUN_ID, _SEQ, checkpoint_dir
+from cohortlab.session import scratch_path
 
 def _split_tables(s):
     if "split" not in s.fits:
@@ -22,7 +23,14 @@ def _split_tables(s):
     return s.fits["split"]
 
 
+#: fitted tree ensembles by session, inputs and parameters: minutes to fit, the same for every study of one input
+_ENSEMBLES: dict[tuple[int, str, str], models.Fitted] = {}
+
+
 def _fit(s, name):
+    shared = (id(s.spark), s.fingerprint(), name) if name.startswith(("M4", "M5")) and name not in s.fits else None
+    if shared in _ENSEMBLES:
+        s.fits[name] = _ENSEMBLES[shared]
     if name not in s.fits:
         _, train, _, proj = _split_tables(s)
         feats = config.MODEL_FEATURES[name]
@@ -34,6 +42,8 @@ def _fit(s, name):
             s.fits[name] = models.fit_boosted(train, feats, name, proj)
         else:
             raise KeyError(name)
+    if shared:
+        _ENSEMBLES[shared] = s.fits[name]
     return s.fits[name]
 
 
@@ -107,7 +117,7 @@ def sensitivity_models(s):
 def persisted_evaluation(s):
     _, _, test, _ = _split_tables(s)
     f = _fit(s, "M2_lr_tdr_rq1")
-    path = f"{checkpoint_dir(s.spark).rstrip('/')}/cohortlab-{_RUN_ID}/{next(_SEQ):05d}-model-M2"
+    path = scratch_path(s.spark, "model-M2")
     models.save(f, path)
     back = models.load(path)
     return metrics.model_comparison(back.score(test).withColumnRenamed(config.TARGET, "label"))
@@ -135,9 +145,7 @@ def attribution_boosted(s):
     from cohortlab.operators import treeshap
     _, _, test, _ = _split_tables(s)
     f = _fit(s, "M5_xgboost")
-    path = f"{checkpoint_dir(s.spark).rstrip('/')}/cohortlab-{_RUN_ID}/{next(_SEQ):05d}-model-M5"
-    models.save(f, path)
-    trees = treeshap.load_trees(s.spark, f"{path}/model")
     x = models.assemble(test, f.design, False, keep=("COMMIT_HASH",))
-    phi = treeshap.attribution_frame(x, "features", trees, list(f.model.treeWeights), f.design.columns)
+    trees = f.model.node_tables()
+    phi = treeshap.attribution_frame(x, "features", trees, [1.0] * len(trees), f.design.columns, margin_scale=1.0)
     return treeshap.summarize(phi, [c for c in config.ATTRIBUTION_FEATURES if c in f.design.columns])
