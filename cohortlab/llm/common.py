@@ -27,6 +27,11 @@ def word_array(text: Column) -> Column:
         F.array().cast("array<string>"))
 
 
+def row_key(*values: Column) -> Column:
+    """64-bit hash of what a verdict follows from; tells apart rows that share an id or have none."""
+    return F.xxhash64(*[F.struct(v.isNull().alias("none"), v.alias("value")) for v in values])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

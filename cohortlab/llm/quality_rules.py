@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import SPACES, stage, word_array
+from cohortlab.llm.common import SPACES, row_key, stage, word_array
 
 SKETCH_BITS = 7
 MIN_GROUP = 200
@@ -69,13 +69,14 @@ def signals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     word arrays, which would then be computed again for every use.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"),
+                    row_key(F.col(text), F.col(lang), F.col(source)).alias("row_key"),
                     F.col(text).alias("t"), word_array(F.col(text)).alias("w"))
     # the line array is split from the text once; its distinct size gives the copies
     d = d.select("*", F.filter(F.split("t", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0).alias("lines"),
                  F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     at = lambda i, j: F.get(F.col("h"), i + j)
     d = d.select(
-        "doc_id", "lang", "source", "w", "h",
+        "doc_id", "lang", "source", "row_key", "w", "h",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.coalesce(F.regexp_count("t", F.lit("[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
@@ -86,7 +87,7 @@ def signals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
             F.sequence(F.lit(0), F.size("w") - 5),
             lambda i: F.xxhash64(i * 0, at(i, 0), at(i, 1), at(i, 2), at(i, 3), at(i, 4))))
         .otherwise(F.array().cast("array<bigint>")).alias("wins"))
-    d = d.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_upper", "n_lines",
+    d = d.select("doc_id", "lang", "source", "row_key", "n_words", "word_chars", "n_symbols", "n_upper", "n_lines",
                  "n_dup_lines", _repeats("w", "h", "wins").alias("p"))
     covered = F.aggregate(
         F.col("p"), F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
@@ -95,7 +96,7 @@ def signals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     d = d.select(*[c for c in d.columns if c != "p"], covered.alias("n_repeat_words"))
     per = lambda a, b: F.floor(F.col(a) * 1000 / F.greatest(F.col(b), F.lit(1))).cast("long")
     return stage(d.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "lang", "source", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)).alias("base_failed"),
         per("n_symbols", "word_chars").alias("symbol_permille"),
         per("n_upper", "word_chars").alias("upper_permille"),
@@ -179,7 +180,14 @@ def quality_rules(docs: DataFrame, **cols) -> DataFrame:
     return judge(sig, stage(fences(sk), "quality-fences"))
 
 
-def keep_documents(docs: DataFrame, verdicts: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id has a kept verdict; all columns stay."""
-    good = verdicts.filter("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(good, docs[doc_id].eqNullSafe(F.col("__kept_id")), "left_semi")
+def keep_documents(docs: DataFrame, verdicts: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+                   source: str = "source") -> DataFrame:
+    """Rows of ``docs`` with a kept verdict; all columns stay.
+
+    A verdict follows from a row's text and group, so a row is found by its id and
+    ``row_key``: rows that share an id, or have none, are judged each for itself.
+    """
+    good = verdicts.filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("row_key").alias("__kept_key"))
+    same = docs[doc_id].eqNullSafe(F.col("__kept_id")) & (
+        row_key(docs[text], docs[lang], docs[source]) == F.col("__kept_key"))
+    return docs.join(good, same, "left_semi")

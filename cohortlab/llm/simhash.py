@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import components, release_memory, shuffle_partitions, slices, stage
+from cohortlab.llm.common import components, release_memory, row_key, shuffle_partitions, slices, stage
 
 SHINGLE = 3
 BITS = 3
@@ -65,17 +65,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` per input row."""
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    """``(doc_id, fp, row_key)`` per input row."""
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), row_key(F.col(text)).alias("row_key"))
 
     def run(batches):
         for b in batches:
             t = b.column("t")
             fps = [fingerprint(x, shingle) for lo, hi in slices(t) for x in t.slice(lo, hi - lo).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), b.column("row_key")],
+                                             names=["doc_id", "fp", "row_key"])
             release_memory()
 
-    return d.mapInArrow(run, "doc_id long, fp long")
+    return d.mapInArrow(run, "doc_id long, fp long, row_key long")
 
 
 def _block_keys(bits: int):
@@ -185,19 +186,33 @@ def _links_by_point(fps: DataFrame, bits: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     bits: int = BITS, group: int = GROUP) -> DataFrame:
-    """``(doc_id, fp, component_id)`` per input row."""
+    """``(doc_id, fp, component_id, row_key, root)`` per input row.
+
+    ``root`` tells classes apart (two classes may hold the same smallest id, where an id
+    has several texts), ``row_key`` rows of one id.
+    """
     rows = stage(fingerprints(docs, doc_id, text, shingle), "simhash-docs")
     fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-fps")
     roots = stage(components(links(fps.select("fp"), bits, group)), "simhash-roots")
     tied = fps.join(roots, fps.fp == roots.node, "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "first_id")
     least = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = stage(tied.join(least, "root").select(F.col("fp").alias("c_fp"), "component_id"), "simhash-classes")
-    return rows.join(ids, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
+    ids = stage(tied.join(least, "root").select(F.col("fp").alias("c_fp"), "root", "component_id"), "simhash-classes")
+    return rows.join(ids, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id", "row_key", "root")
 
 
-def keep_first(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """One document of each class: the one that names it, once.  Rows without an id stay."""
-    first = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, docs[doc_id].cast("long") == F.col("__first"), "left_semi")
-    return kept.dropDuplicates([doc_id]).unionByName(docs.filter(docs[doc_id].isNull()))
+def keep_first(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class that has an id: the smallest id, of its texts the one with the smallest key.
+
+    Equal rows count as copies, so one of them stays; rows that share an id with another
+    text belong to their own texts' classes.  Rows without an id stay.
+    """
+    one = (classes.filter("doc_id IS NOT NULL").groupBy("root", "doc_id", "row_key").agg(F.count("*").alias("n"))
+           .groupBy("root").agg(F.min(F.struct("doc_id", "row_key", "n")).alias("m"))
+           .select(F.col("m.doc_id").alias("__first"), F.col("m.row_key").alias("__key"), F.col("m.n").alias("__n")))
+    d = docs.withColumn("__row_key", row_key(F.col(text)))
+    same = (d[doc_id].cast("long") == F.col("__first")) & (d["__row_key"] == F.col("__key"))
+    once = d.join(one.filter("__n = 1"), same, "left_semi")
+    # of equal rows, which are rare, one stays: only these are compared
+    several = d.join(one.filter("__n > 1"), same, "left_semi").dropDuplicates([doc_id, "__row_key"])
+    return once.unionByName(several).drop("__row_key").unionByName(docs.filter(docs[doc_id].isNull()))

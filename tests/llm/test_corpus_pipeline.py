@@ -108,3 +108,32 @@ def test_planted_secrets_are_masked(spark):
     assert secrets
     for i, s in secrets:
         assert s not in after[i]["text"] and "[SECRET]" in after[i]["text"]
+
+
+GOOD = "The quick brown fox jumps over the lazy dog near the river bank, and then it sleeps."
+OTHER = "Several entirely different words make up this second text, which nobody else has written before today."
+BAD = "too short"
+
+
+def test_rows_that_share_an_id_or_have_none_are_judged_each(spark):
+    rows = [(7, GOOD), (7, BAD), (None, OTHER), (None, BAD), (None, BAD), (9, GOOD + " again"), (9, GOOD + " again")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.quality_stage(spark, docs, SF)
+    assert sorted(((r.doc_id or -1), r.text) for r in kept.collect()) == sorted(
+        [(7, GOOD), (-1, OTHER), (9, GOOD + " again"), (9, GOOD + " again")])
+
+
+def test_no_text_is_lost_with_its_id(spark):
+    a, b = GOOD, OTHER
+    rows = [(3, a), (5, a), (5, b), (6, b), (8, b), (8, b), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.near_duplicate_stage(spark, docs.repartition(3), SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or -1), r.text) for r in kept.collect()) == sorted([(3, a), (5, b), (-1, a), (-1, a)])
+
+
+def test_equal_rows_of_one_id_are_one(spark):
+    docs = spark.createDataFrame([(4, GOOD, "en", "a", 1)] * 3 + [(4, None, "en", "a", 1)] * 2 + [(4, OTHER, "en", "a", 1)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.near_duplicate_stage(spark, docs.repartition(2), SF)
+    assert sorted(r.text or "" for r in kept.collect()) == sorted(["", GOOD, OTHER])
