@@ -97,8 +97,10 @@ def _slot10(ids: np.ndarray) -> np.ndarray:
 
 
 def encode(blocks: np.ndarray) -> list[bytes]:
-    """Code each row of ``blocks`` (ids below ``MAX_ID``) by itself."""
+    """Code each row of ``blocks`` by itself; ids from ``MAX_ID`` on raise an error."""
     lanes, n = blocks.shape
+    if blocks.size and int(blocks.max()) >= MAX_ID:
+        raise ValueError(f"ids of {MAX_ID} and more can't be coded")
     m = _Model(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     out, at = np.zeros((lanes, 2 * n + 8), "<u2"), np.zeros(lanes, np.int64)

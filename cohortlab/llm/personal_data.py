@@ -1,7 +1,8 @@
 """Personal data: base patterns plus a semi-Markov conditional random field.
 
 The base patterns (email, ip, card, phone) are matched over whole texts.  The model
-scores whole candidate spans of up to ``MAX_TOKENS`` tokens with features of the
+scores whole candidate spans of up to ``MAX_TOKENS`` tokens and ``MAX_CHARS`` characters, and
+credentials (a cue word and its whole value) of any length, with features of the
 span (its characters, digit counts, checksum, neighbours, cue words) and a
 transition score between neighbouring spans; a dynamic program over start, end and
 type picks the best segmentation of every window, which fixes boundaries and types
@@ -50,7 +51,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_ASSIGN = r"(?<![^\W_])(?:password|passwd|pwd|secret|token)[\"']?[\x20\t]*[=:][\x20\t]*"
+_WORDS = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|authorization"
+_ASSIGN = rf"(?<![^\W_])(?:{_WORDS})[\"']?[\x20\t]*[=:][\x20\t]*(?:(?<=[\x20\t:])(?:bearer|basic)[\x20\t]+)?"
 _TRIGGER = re.compile(rf"[0-9@]+|{_ASSIGN}", re.I)
 _CHUNK = re.compile(r"\S*")
 _TOKEN = re.compile(r"[^\W_]+|\S")
@@ -58,8 +60,8 @@ _KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
 # a long value, in quotes or not; behind spaces and without quotes it holds a digit (else it may be a word of prose)
 _VALUE = r"[A-Za-z0-9](?:[_.+/~-]*+[A-Za-z0-9]){7,}+"
 _SECRET = re.compile(
-    rf"{_ASSIGN}(?:([\"']){_VALUE}(?:={{0,2}}\1)?|(?:(?<=[=:])|(?=[A-Za-z_.+/~-]*[0-9])){_VALUE})", re.I)
-_CUE = re.compile(r"(?:password|passwd|pwd|secret|token|key)\W*$", re.I)
+    rf"{_ASSIGN}(?:([\"']){_VALUE}(?:={{0,2}}\1)?|(?:(?<=[=:])|(?<=[cCrR][\x20\t])|(?=[A-Za-z_.+/~-]*[0-9])){_VALUE})", re.I)
+_CUE = re.compile(r"(?:password|passwd|pwd|secret|token|key|authorization)\W*$", re.I)
 _NUMBERED = re.compile(r"(?:version|section|chapter|page|no|nr|by|license|licence|by-nc)\W*$", re.I)
 
 
@@ -172,20 +174,25 @@ class Segments:
         first = [t[a].isalnum() or t[a] in "+(" for a, _ in tokens]
         last = [t[b - 1].isalnum() for _, b in tokens]
         starts, ends, feats = [], [], []
+        ending = {b: j for j, (_, b) in enumerate(tokens)}
         for i, (a, _) in enumerate(tokens):
             if not first[i]:
                 continue
             any_live = False
             secret = _SECRET.match(t, a, hi) if live[i] else None
+            whole = ending.get(secret.end()) if secret else None
             for j in range(i, min(i + MAX_TOKENS, len(tokens))):
                 any_live = any_live or live[j]
                 if tokens[j][1] - a > MAX_CHARS:
                     break
-                credential = secret is not None and secret.end() == tokens[j][1]
-                if any_live and last[j] or credential:  # its closing quote belongs to a credential
+                if any_live and last[j] and j != whole:
                     starts.append(i)
                     ends.append(j + 1)
-                    feats.append(span_features(t, a, tokens[j][1], cue, numbered, credential))
+                    feats.append(span_features(t, a, tokens[j][1], cue, numbered, False))
+            if whole is not None:  # a credential, with its closing quote, is a candidate at any length
+                starts.append(i)
+                ends.append(whole + 1)
+                feats.append(span_features(t, a, tokens[whole][1], cue, numbered, True))
         self.tokens = tokens
         self.starts, self.ends = np.array(starts, int), np.array(ends, int)
         self.feats = np.array(feats, float).reshape(-1, N_FEATURES)
@@ -317,7 +324,7 @@ def fit_model(docs: DataFrame, text: str = "text", sample: int = SAMPLE, limit:
     drawn = F.pmod(F.xxhash64(*docs.columns), F.lit(n)) < sample if n > sample else F.lit(True)
     # credentials are rare: their windows are taken from all documents
     d = (docs.select(F.col(text).alias("t"), drawn.alias("drawn")).filter(F.col("t").isNotNull())
-         .filter(F.col("drawn") | F.col("t").rlike("(?i)password|passwd|pwd|secret|token|AKIA")))
+         .filter(F.col("drawn") | F.col("t").rlike(f"(?i){_WORDS}|AKIA")))
 
     def cut(batches):
         for b in batches:

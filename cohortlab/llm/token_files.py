@@ -38,7 +38,7 @@ from cohortlab.llm import mixing_coder
 from cohortlab.llm.common import release_memory, shuffle_partitions, slices, stage
 from cohortlab.llm.tokens import encoder
 from cohortlab.llm.warc import _filesystem
-from cohortlab.session import checkpoint_dir
+from cohortlab.session import scratch_path
 
 MAGIC = b"TOKMIX01"
 BLOCK = 4096
@@ -100,7 +100,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, doc
                  text: str = "text", keep_space: bool = True) -> DataFrame:
     """Write all documents; returns the manifest ``(part, path, n_ids, n_docs)``."""
     spark = docs.sparkSession
-    folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex[:12]}"
+    folder = folder or scratch_path(spark, "tokens")
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
     d = d.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("t"))
 

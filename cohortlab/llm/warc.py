@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import shuffle_partitions, stage
-from cohortlab.session import checkpoint_dir
+from cohortlab.session import scratch_path
 
 MIN_REVISIT = 100
 PACKAGE_BYTES = 256 << 20
@@ -115,7 +115,7 @@ def write_pages(pages: DataFrame, folder: str | None = None, page_id: str = "pag
                 html: str = "html", package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Write every page as a WARC record; returns the manifest ``(path, size, records)``."""
     spark = pages.sparkSession
-    folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex[:12]}"
+    folder = folder or scratch_path(spark, "warc")
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"),
                      F.coalesce(html, F.lit("")).alias("html"))
     p = p.select("*", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("size"))

@@ -167,3 +167,32 @@ def test_rare_credentials_are_drawn_from_all_documents(spark):
     added = p.added_spans(t, base, model)
     assert added == [("secret", 11, 24), ("secret", 42, 61)]
     assert p.masked(t, base + added) == "some words [SECRET][CARD][SECRET] and more"
+
+
+def test_credentials_of_any_length_are_candidates():
+    """A cue word with its whole value is one candidate, however long and in however many tokens."""
+    from cohortlab.llm import personal_data as p
+    hexes = "0123456789abcdef" * 200
+    dotted = "eyJhbGciOi.J9-x_" + "-".join(f"a{i}b" for i in range(60)) + ".sig9"
+    for value in (hexes[:40], hexes[:100], hexes[:2000], dotted):
+        for text in (f'token = "{value}"', f"api_key={value}", f"Authorization: Bearer {value}", f'x access-key: "{value}" y'):
+            (lo, hi), *rest = p.windows(text)
+            g = p.Segments(text, lo, hi)
+            spans = {(g.tokens[s][0], g.tokens[e - 1][1]) for s, e, f in zip(g.starts.tolist(), g.ends.tolist(), g.feats.tolist()) if f[-1]}
+            assert any(value in text[a:b] for a, b in spans) and not rest, (text[:40], spans)
+
+
+def test_long_credentials_are_found_by_a_fitted_model():
+    from cohortlab.llm import personal_data as p
+    import random
+    r = random.Random(2)
+    code = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    data = []
+    for i in range(120):
+        form = [f'token = "{code(40)}"', f"password={code(24)}", f"of 1{i}5 words 3.{i}", f"{code(30)} is no secret"][i % 4]
+        data += p.labelled_windows(f"on page {i} {form} and {i} more words")
+    model = p.SemiCRF().fit(data)
+    for value in (code(40), code(100), code(2000)):
+        for text in (f'see token = "{value}" there', f"api_key={value}", f"Authorization: Bearer {value}"):
+            found = [t for lo, hi in p.windows(text) for t in model.best(p.Segments(text, lo, hi))]
+            assert any(k == "secret" and value in text[a:b] for k, a, b in found), text[:50]

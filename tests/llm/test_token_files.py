@@ -70,3 +70,13 @@ def test_damage_is_an_error(spark, edge):
             out.write(bad)
         with pytest.raises(Exception, match="damaged"):
             f.read_tokens(man).collect()
+
+
+def test_ids_that_the_coder_cannot_hold_raise_at_writing():
+    import numpy as np
+    import pytest
+
+    from cohortlab.llm import mixing_coder
+    with pytest.raises(ValueError):
+        mixing_coder.encode(np.array([[70000, 5]], np.uint32))
+    assert mixing_coder.decode(mixing_coder.encode(np.array([[65535, 5, 65535]], np.uint32)), 3).tolist() == [[65535, 5, 65535]]
