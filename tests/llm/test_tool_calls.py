@@ -29,7 +29,51 @@ def test_linking_order_validation_and_json(spark):
         [], ["type:a"], ["unknown:q"], ["schema"], ["arguments"], ["missing:a", "type:n"], []]
     assert by["a", 0]["json"] == ('{"arguments":{"a":"x","b":{"y":[1,2],"z":1}},"depends_on":[],"errors":[],"id":"a",'
                                   '"level":0,"name":"f","result":"ok","status":"linked"}')
-    assert len(got) == len(calls) + 2
+    assert by["a", None]["status"] == "repeated_result" and by["a", None]["result_turn"] == 3
+    assert len(got) == len(calls) + 3
+
+
+def test_no_result_and_no_role_is_lost(spark):
+    got = run(spark, [("c", "a", 0, "f", '{"a":"x"}', [])], [
+        ("c", "a", 1, "x"), ("c", "a", 2, "y"), ("c", "a", 1, "x"), (None, "a", 3, "z"), ("c", None, 4, None), ("c", "q", 5, "o"), ("c", "q", 6, "p")])
+    assert len(got) == 1 + 3 + 1  # keyed by (conv, call, turn): repeated a, unlinked two, orphan and repeated q under one key
+    out = c.format_calls(spark.createDataFrame([("c", "a", 0, "f", '{"a":"x"}', [])], CALLS), spark.createDataFrame(
+        [("c", "a", 1, "x"), ("c", "a", 2, "y"), (None, "a", 3, "z"), ("c", "q", 5, "o"), ("c", "q", 6, "p")], RESULTS), c.schema_table(spark, SCHEMAS))
+    assert sorted(r["status"] for r in out.collect()) == ["linked", "orphan", "repeated_result", "repeated_result", "unlinked_result"]
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "tool", "t"), (1, 2, None, "n"), (1, 3, "User", "u"), (1, None, "assistant", "x")],
+                                  "conv_id long, turn long, role string, text string")
+    st = sorted(r["status"] for r in c.format_calls(*c.conversation_calls(turns), c.schema_table(spark, c.CONVERSATION_SCHEMAS)).collect())
+    assert st == ["other_role", "other_role", "other_role", "pending", "unlinked_result"]
+
+
+def brute_levels(deps):
+    """Longest chain before each call, by repeated relaxation; None in or behind a cycle."""
+    level = {}
+    for _ in deps:
+        for k, d in deps.items():
+            known = [x for x in d if x in deps]
+            if k not in level and all(x in level for x in known):
+                level[k] = 1 + max((level[x] for x in known), default=-1)
+    return {k: level.get(k) for k in deps}
+
+
+def test_levels_equal_brute_force_on_random_graphs(spark):
+    import random
+    r = random.Random(4)
+    calls, want = [], {}
+    for g in range(12):
+        n = r.randint(2, 25)
+        deps = {str(i): [str(r.randint(max(0, i - 6), max(0, i - 1)) + (r.random() < 0.02) * 3) for _ in range(r.choice([0, 1, 1, 1, 2, 3]))] for i in range(n)}
+        calls += [(f"g{g}", k, int(k), "f", '{"a":"x"}', d) for k, d in deps.items()]
+        want |= {(f"g{g}", k): v for k, v in brute_levels(deps).items()}
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in run(spark, calls, []).values()}
+    assert got == want and None in want.values() and max(v or 0 for v in want.values()) > 4
+
+
+def test_joins_are_hash_joins(spark):
+    calls = spark.createDataFrame([("c", "a", 0, "f", "{}", [])], CALLS)
+    plan = c.link(calls, spark.createDataFrame([("c", "a", 1, "x")], RESULTS))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def test_a_long_chain_takes_few_rounds(spark):
