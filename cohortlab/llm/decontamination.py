@@ -1,8 +1,8 @@
 """Benchmark decontamination: broadcast hash set of normalised test n-grams.
 
 The benchmark's n-grams (``n`` consecutive words; a shorter item is one n-gram of
-its length) are collected behind a size check, in parts of at most
-``PART_BYTES`` bytes of item text; each part is broadcast and every document is
+its length) are held as arrays, in parts that are closed when they take
+``PART_BYTES`` bytes in memory; each part is broadcast and every document is
 scanned against it in one pass without a shuffle.  With more than one part the
 documents and their hits so far are a written table between the passes, so memory
 stays bounded and no n-gram is left out.
@@ -30,7 +30,8 @@ from pyspark.sql import types as T
 from cohortlab.llm.common import release_memory, slices, stage
 
 NGRAM = 10
-PART_BYTES = 32 << 20
+#: memory of one broadcast part
+PART_BYTES = 128 << 20
 HITS = "array<struct<start:int,end:int>>"
 
 #: lower-cases A-Z and blanks every ASCII character but digits and letters
@@ -43,56 +44,95 @@ def words(text: str | None) -> list[bytes]:
 
 
 class GramSet:
-    """N-grams of one part: vocabulary, sorted hashes per length, and items per n-gram."""
+    """N-grams of one part as arrays: the items' word ids, and per length sorted hashes with their places.
 
-    def __init__(self, items: list[tuple[str | None, str | None]], n: int):
+    Some 20 bytes a word and 150 a distinct word; ``nbytes`` is what the part takes.
+    """
+
+    def __init__(self, n: int):
+        self.n = n
         self.vocab: dict[bytes, int] = {}
-        grams: dict[tuple, set] = defaultdict(set)
-        for item_id, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)]
-            k = min(n, len(ids))
-            for i in range(len(ids) - k + 1 if k else 0):
-                grams[tuple(ids[i:i + k])].add(item_id)
+        self.names: list[str | None] = []
+        self.pieces: list[np.ndarray] = []
+        self.n_words = self.vocab_bytes = 0
         rng = np.random.default_rng(9)
         self.mult = rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
-        self.items = {g: sorted(x for x in s if x is not None) for g, s in grams.items()}
-        by_len = defaultdict(list)
-        for g in grams:
-            by_len[len(g)].append(g)
-        self.hashes = {k: np.unique(self._hash(np.array(gs, np.uint64), k)) for k, gs in by_len.items()}
 
-    def _hash(self, windows: np.ndarray, k: int) -> np.ndarray:
-        return (windows * self.mult[:k]).sum(axis=1, dtype=np.uint64)
+    @property
+    def nbytes(self) -> int:
+        return 20 * self.n_words + self.vocab_bytes
+
+    def add(self, item: str | None, ws: list[bytes]) -> None:
+        """An item's words (or a stretch of a long item's)."""
+        before = len(self.vocab)
+        ids = np.fromiter((self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws), np.uint32, len(ws))
+        self.vocab_bytes += 150 * (len(self.vocab) - before)
+        self.names.append(item)
+        self.pieces.append(ids)
+        self.n_words += len(ids)
+
+    def close(self) -> GramSet:
+        sizes = np.array([len(x) for x in self.pieces], np.int64)
+        self.at = np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([*self.pieces, np.zeros(0, np.uint32)])
+        self.pieces = []
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        lengths = np.minimum(sizes, self.n)
+        for k in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == k)
+            count = sizes[own] - k + 1
+            place = np.repeat(self.at[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            h = self._hash(self.ids, place, k)
+            order = np.argsort(h, kind="stable")
+            self.grams[k] = h[order], place[order]
+        return self
+
+    def _hash(self, ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        h = np.zeros(len(at), np.uint64)
+        for j in range(k):
+            h += ids[at + j].astype(np.uint64) * self.mult[j]
+        return h
 
     def find(self, ids: np.ndarray):
-        """``(position, n-gram)`` of every verified hit; id 0 is a word no n-gram has."""
+        """``(position, length, item ids)`` of every verified hit; id 0 is a word no n-gram has."""
         gaps = np.concatenate([[0], np.cumsum(ids == 0)])
-        wide = ids.astype(np.uint64)
-        for k, known in self.hashes.items():
+        for k, (known, place) in self.grams.items():
             if len(ids) < k:
                 continue
             at = np.flatnonzero(gaps[k:] == gaps[:-k])
             if not len(at):
                 continue
-            h = np.zeros(len(at), np.uint64)
-            for j in range(k):
-                h += wide[at + j] * self.mult[j]
-            near = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            for p in at[known[near] == h].tolist():
-                g = tuple(ids[p:p + k].tolist())
-                if g in self.items:
-                    yield p, g
+            h = self._hash(ids, at, k)
+            lo = np.searchsorted(known, h)
+            hit = known[np.minimum(lo, len(known) - 1)] == h
+            words_of = np.arange(k)
+            for p, a, b in zip(at[hit].tolist(), lo[hit].tolist(), np.searchsorted(known, h[hit], "right").tolist()):
+                # the words themselves are compared: equal hashes are no proof
+                same = (self.ids[place[a:b, None] + words_of] == ids[p:p + k]).all(axis=1)
+                if same.any():
+                    items = np.unique(np.searchsorted(self.at, place[a:b][same], "right") - 1).tolist()
+                    yield p, k, {self.names[i] for i in items if self.names[i] is not None}
 
 
 def gram_parts(bench: DataFrame, item_id: str = "item_id", text: str = "text", n: int = NGRAM,
                part_bytes: int = PART_BYTES):
-    """The benchmark's n-gram sets, one part of bounded text at a time."""
-    b = bench.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).filter("t IS NOT NULL")
-    total = b.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = max(1, -(-total * 2 // part_bytes))
-    for p in range(parts):
-        rows = b if parts == 1 else b.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p)
-        yield GramSet([(r["i"], r["t"]) for r in rows.toLocalIterator()], n)
+    """The benchmark's n-gram sets, each closed as soon as it takes ``part_bytes``.
+
+    Items pass by one at a time; an item of many words is cut into stretches that share
+    ``n - 1`` words, so no n-gram is lost between two parts.
+    """
+    b = bench.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).filter("t IS NOT NULL").distinct()
+    part, any_part = GramSet(n), False
+    step = max(1, part_bytes // 40)
+    for r in b.toLocalIterator():
+        ws = words(r["t"])
+        for lo in range(0, max(1, len(ws) - n + 1), step):
+            part.add(r["i"], ws[lo:lo + step + n - 1])
+            if part.nbytes >= part_bytes:
+                yield part.close()
+                part, any_part = GramSet(n), True
+    if part.n_words or not any_part:  # without an n-gram, a set that hits nothing
+        yield part.close()
 
 
 def scan(docs: DataFrame, bench: DataFrame, text: str = "text", n: int = NGRAM, item_id: str = "item_id",
@@ -103,7 +143,7 @@ def scan(docs: DataFrame, bench: DataFrame, text: str = "text", n: int = NGRAM,
                             "__hit_items": F.lit(None).cast("array<string>")})
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema.fields])
     for k, grams in enumerate(gram_parts(bench, item_id, item_text, n, part_bytes)):
-        if k:
+        if k:  # the documents and their hits so far
             out = stage(out, f"decontam-part{k}")
         out = out.mapInArrow(_scanner(spark, grams, text), schema)
     return out
@@ -126,14 +166,14 @@ def _scanner(spark: SparkSession, grams: GramSet, text: str):
                     np.int64)
                 starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in ws])])
                 found = defaultdict(list)
-                for p, gram in g.find(ids):
+                for p, k, of in g.find(ids):
                     d = int(np.searchsorted(starts, p, side="right")) - 1
-                    found[d].append((p - int(starts[d]), gram))
+                    found[d].append((p - int(starts[d]), k, of))
                 for d, w in enumerate(ws):
                     hits = found.get(d, [])
                     counts.append(len(w))
-                    spans.append(_merge([(p, p + len(x)) for p, x in hits]))
-                    items.append({i for _, x in hits for i in g.items[x]})
+                    spans.append(_merge([(p, p + k) for p, k, _ in hits]))
+                    items.append({i for *_, of in hits for i in of})
             before_s, before_i = batch.column("__hit_spans").to_pylist(), batch.column("__hit_items").to_pylist()
             spans = [_merge([(x["start"], x["end"]) for x in old or []] + new) for old, new in zip(before_s, spans)]
             items = [sorted(new.union(old or [])) for old, new in zip(before_i, items)]

@@ -61,3 +61,30 @@ def test_edges(spark, edge, none):
     assert cut.columns == edge.columns and texts[1] == "The  bank, and then it sleeps." and texts[3] is None
     assert d.scan(none, bench).count() == 0
     assert d.scan(edge, bench.limit(0)).filter("size(__hit_spans) > 0").count() == 0
+
+
+def test_parts_take_what_they_say_and_long_items_are_cut():
+    import pickle
+    import random
+    r = random.Random(1)
+    vocab = [f"w{i}" for i in range(20_000)]
+    part = d.GramSet(10)
+    for i in range(400):
+        part.add(str(i), [r.choice(vocab).encode() for _ in range(500)])
+    part.close()
+    size = len(pickle.dumps(part))
+    assert part.n_words == 200_000 and size <= part.nbytes <= 10 * 1024 * 1024
+    # 16 MB of text, some 2.7 million words, takes less than 300 MB
+    assert 2_700_000 * 20 + 150 * 500_000 < 300 << 20
+
+
+def test_a_long_item_over_several_parts_loses_no_ngram(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    bench = spark.createDataFrame([("long", text), ("short", "only three words")], "item_id string, text string")
+    sets = list(d.gram_parts(bench, n=10, part_bytes=2000))
+    assert len(sets) > 3
+    docs = spark.createDataFrame([(1, text), (2, "x " + " ".join(f"w{i}" for i in range(95, 105)) + " y"), (3, "these only three words")],
+                                 "doc_id long, text string")
+    got = {r["doc_id"]: (r["n"], r["__hit_items"]) for r in
+           d.scan(docs, bench, part_bytes=2000).withColumn("n", d.hit_count()).collect()}
+    assert got == {1: (300, ["long"]), 2: (10, ["long"]), 3: (3, ["short"])}
