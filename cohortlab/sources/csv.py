@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab import config
@@ -87,21 +87,19 @@ def read_csv_checked(spark: SparkSession, path: str, schema: Mapping[str, str],
                      split_bytes: int | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """``(good rows, quarantine, bad values per column)`` of one scan.
 
-    The typed rows are written to the shared folder in one pass that also counts; rows
-    with text that is not of its column's type go to the quarantine instead, as text.
+    The typed rows are written to the shared folder in one pass; rows with text that is
+    not of its column's type are set aside there, as text, and counted from there.
     """
     df = _strings(spark, path, split_bytes)
     typed, bad = _typed_columns(df, path, schema, columns)
-    any_bad = F.lit(False)
-    for b in bad.values():
-        any_bad = any_bad | b
-    seen = Observation("csv")
-    if bad:
-        df = df.observe(seen, *[F.count_if(b).alias(c) for c, b in bad.items()])
-    raw = F.struct(*[F.col(f"`{c}`").alias(c) for c in typed])
-    rows = materialize(df.select(*[t.alias(c) for c, t in typed.items()], F.when(any_bad, raw).alias("_raw")), "csv-typed")
-    counts = dict(seen.get) if bad else {}
-    return rows.filter(F.col("_raw").isNull()).drop("_raw"), rows.filter(F.col("_raw").isNotNull()).select("_raw.*"), counts
+    wrong = F.filter(F.array(*[F.when(b, F.lit(c)) for c, b in bad.items()]).cast("array<string>"), lambda c: c.isNotNull())
+    raw = F.struct(wrong.alias("columns"), F.struct(*[F.col(f"`{c}`").alias(c) for c in typed]).alias("row"))
+    rows = materialize(df.select(*[t.alias(c) for c, t in typed.items()], F.when(F.size(wrong) > 0, raw).alias("_raw")), "csv-typed")
+    aside = rows.filter(F.col("_raw").isNotNull())
+    # counted on the written rows that were set aside: an observed metric would leave the session with a part that
+    # Spark ML's model summaries can't serialise
+    counts = aside.agg(*[F.count_if(F.array_contains("_raw.columns", c)).alias(c) for c in bad]).first().asDict() if bad else {}
+    return rows.filter(F.col("_raw").isNull()).drop("_raw"), aside.select("_raw.row.*"), counts
 
 
 def read_csv(spark: SparkSession, path: str, schema: Mapping[str, str] | None = None,

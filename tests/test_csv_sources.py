@@ -121,3 +121,12 @@ def test_a_record_longer_than_ranges_and_several_files(spark, tmp_path, monkeypa
     for limit in (csv_records.BROADCAST_RANGES, 0):   # ranges told by broadcast, and by a shuffle
         monkeypatch.setattr(csv_records, "BROADCAST_RANGES", limit)
         assert {tuple(r) for r in csv_src.read_csv(spark, str(folder), split_bytes=200).collect()} == want
+
+
+def test_strict_reading_leaves_models_able_to_score(spark, tmp_path):
+    """Model summaries hold the session; reading must leave nothing in it that can't be serialised."""
+    from cohortlab.operators import models
+    csv_src.read_csv(spark, _csv(tmp_path, "PROJECT_ID,COMMIT_HASH,LINES_ADDED,LINES_REMOVED\na,1,2,3\n"), csv_src.CHANGES).collect()
+    df = spark.createDataFrame([(f"h{i}", "p", float(i % 7), i % 2) for i in range(60)], "COMMIT_HASH string, PROJECT_ID string, f1 double, BIC int")
+    for fit in (models.fit_forest(df, ["f1"], num_trees=2, max_depth=2, min_leaf=2), models.fit_logistic(df, ["f1"], "lr")):
+        assert fit.score(df).count() == 60
