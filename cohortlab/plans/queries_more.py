@@ -126,7 +126,7 @@ def csv_split_changes(s):
     """Every row has a quoted field with line breaks, and every file is read by several tasks."""
     path = scratch_path(s.spark, "changes_split_csv")
     fixtures.csv_roundtrip(s.raw["changes"], path, extra='first line\nthen "this",\n\nand the last')
-    return csv_src.read_csv(s.spark, path, csv_src.CHANGES, split_bytes=1 << 16)
+    return csv_src.read_csv(s.spark, path, csv_src.CHANGES, split_bytes=1 << 17)
 
 
 @register("csv_quarantine_changes", """
