@@ -66,3 +66,15 @@ def test_treeshap_equals_brute_force():
             want = _brute(t, X[r], n_feat)
             assert np.allclose(phi[r], want, atol=1e-10)
             assert abs(phi[r].sum() + treeshap.expected_value(t) - _cond_exp(t, X[r], set(range(n_feat)))) < 1e-10
+
+
+def test_tables_equal_the_recursion():
+    """Deep trees with repeated columns: looked-up values are those of the recursion over the tree."""
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(300, 6))
+    for _ in range(4):
+        t = treeshap._Tree(_random_tree(rng, 7, 6))
+        a, b = np.zeros_like(X), np.zeros_like(X)
+        treeshap.tree_shap(t, X, a, 0.5)
+        treeshap._tree_shap_deep(t, X, b, 0.5)
+        assert t.tables and np.allclose(a, b, atol=1e-12)
