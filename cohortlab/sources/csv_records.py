@@ -17,7 +17,9 @@ unquoted field is not CSV and would open a field here.  Lines end in ``\\n`` or
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from cohortlab.session import materialize
 
 #: ranges told to every task by broadcast (some 100 bytes each); more are joined by a shuffle
 BROADCAST_RANGES = 500_000
+#: bytes of ranges for one task, where there are more than a few tasks per core
+TASK_BYTES = 64 << 20
 
 
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
@@ -35,9 +39,12 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
 class _Settings:
     """Read settings that hold while ranges are cut, so that both passes see the same ranges."""
 
-    def __init__(self, spark: SparkSession, split_bytes: int | None):
+    def __init__(self, spark: SparkSession, split_bytes: int | None, total: int | None = None):
         self.spark, self.old = spark, {}
-        self.new = {"spark.sql.files.minPartitionNum": str(spark.sparkContext.defaultParallelism)}
+        cores = spark.sparkContext.defaultParallelism
+        self.new = {"spark.sql.files.minPartitionNum": str(cores)}
+        if total is not None:   # a task takes many short ranges, so their number doesn't make that of the tasks
+            self.new["spark.sql.files.maxPartitionNum"] = str(max(4 * cores, total // TASK_BYTES))
         if split_bytes:
             self.new["spark.sql.files.maxPartitionBytes"] = str(split_bytes)
 
@@ -56,7 +63,8 @@ def split_records(spark: SparkSession, path: str, split_bytes: int | None = None
 
     ``split_bytes``: size of a byte range, the session's unless given.
     """
-    with _Settings(spark, split_bytes):
+    total = file_sizes(spark, path).agg(F.sum("length")).first()[0] or 0
+    with _Settings(spark, split_bytes, total):
         lines = spark.read.option("lineSep", "\n").text(path).select(
             F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), "value")
         lines = lines.withColumn("_odd", (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1)
@@ -108,6 +116,9 @@ def _follow(batches):
 
     for b in batches:
         files, blocks, value = b.column("_file").to_pylist(), b.column("_block").to_pylist(), b.column("value")
+        at = b.column("_block").to_numpy()
+        name = b.column("_file").dictionary_encode().indices.to_numpy()
+        ends = np.append(np.flatnonzero((at[1:] != at[:-1]) | (name[1:] != name[:-1])) + 1, len(at))   # of runs of one range
         odd = b.column("_odd").to_numpy(zero_copy_only=False)
         owners = b.column("_owner")
         i, n = 0, len(files)
@@ -116,27 +127,26 @@ def _follow(batches):
                 yield from left_open()
                 now, owner = (files[i], blocks[i]), owners[i].as_py()
                 open_, header = ([] if owner is not None else None), blocks[i] == 0
-            end = i + 1
-            while end < n and files[end] == now[0] and blocks[end] == now[1]:
-                end += 1
-            turns = [j for j in range(i, end) if odd[j]]
-            at = i
-            for j in [*turns, end]:
-                if open_ is None:
-                    lo = at + (1 if header and j > at else 0)
-                    header = header and j == at
-                    if j > lo:
-                        yield whole(value.slice(lo, j - lo))
-                    if j < end:
-                        open_ = [value[j].as_py()]
-                else:
-                    open_ += value.slice(at, min(j + 1, end) - at).to_pylist()
-                    if j < end:
-                        if owner is not None:
-                            yield piece(owner, now[1], open_, now[0])
-                        elif not header:
-                            yield whole(pa.array(["\n".join(open_)], pa.string()))
-                        header, owner, open_ = False, None, None
-                at = j + 1
+            end = ends[np.searchsorted(ends, i, "right")]
+            lines, turn = value.slice(i, end - i), odd[i:end].astype(np.int64)
+            after = (np.cumsum(turn) + (open_ is not None)) % 2        # whether each line ends inside quotes
+            starts = np.flatnonzero((after + turn) % 2 == 0)           # lines that begin a record
+            first = int(starts[0]) if len(starts) else end - i
+            if open_ is not None:
+                open_ += lines.slice(0, first).to_pylist()
+                if first and not after[first - 1]:
+                    if owner is not None:
+                        yield piece(owner, now[1], open_, now[0])
+                    elif not header:
+                        yield whole(pa.array(["\n".join(open_)], pa.string()))
+                    header, owner, open_ = False, None, None
+            if len(starts):
+                if after[-1]:
+                    open_ = lines.slice(int(starts[-1])).to_pylist()
+                bounds = starts if after[-1] else np.append(starts, end - i)
+                if header and len(bounds) > 1:
+                    bounds, header = bounds[1:], False
+                if len(bounds) > 1:
+                    yield whole(pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), lines), "\n"))
             i = end
     yield from left_open()

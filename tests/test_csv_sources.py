@@ -130,3 +130,15 @@ def test_strict_reading_leaves_models_able_to_score(spark, tmp_path):
     df = spark.createDataFrame([(f"h{i}", "p", float(i % 7), i % 2) for i in range(60)], "COMMIT_HASH string, PROJECT_ID string, f1 double, BIC int")
     for fit in (models.fit_forest(df, ["f1"], num_trees=2, max_depth=2, min_leaf=2), models.fit_logistic(df, ["f1"], "lr")):
         assert fit.score(df).count() == 60
+
+
+def test_many_short_ranges_make_few_tasks(spark, tmp_path):
+    """The ranges stay as short as asked for; the tasks' number follows the cores and bytes."""
+    from cohortlab.sources import csv_records
+    p = _odd_file(tmp_path, 400, 5, False)
+    total = csv_records.file_sizes(spark, p).agg({"length": "sum"}).first()[0]
+    with csv_records._Settings(spark, 97, total):
+        lines = spark.read.option("lineSep", "\n").text(p)
+        assert lines.rdd.getNumPartitions() <= 6 * spark.sparkContext.defaultParallelism
+        assert lines.select("_metadata.file_block_start").distinct().count() > 10 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.files.maxPartitionNum", None) is None
