@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,7 +96,9 @@ def read_csv_checked(spark: SparkSession, path: str, schema: Mapping[str, str],
     typed, bad = _typed_columns(df, path, schema, columns)
     wrong = F.filter(F.array(*[F.when(b, F.lit(c)) for c, b in bad.items()]).cast("array<string>"), lambda c: c.isNotNull())
     raw = F.struct(wrong.alias("columns"), F.struct(*[F.col(f"`{c}`").alias(c) for c in typed]).alias("row"))
-    rows = materialize(df.select(*[t.alias(c) for c, t in typed.items()], F.when(F.size(wrong) > 0, raw).alias("_raw")), "csv-typed")
+    # the list of bad columns is made for bad rows only
+    any_bad = reduce(or_, bad.values(), F.lit(False))
+    rows = materialize(df.select(*[t.alias(c) for c, t in typed.items()], F.when(any_bad, raw).alias("_raw")), "csv-typed")
     aside = rows.filter(F.col("_raw").isNotNull())
     # counted on the written rows that were set aside: an observed metric would leave the session with a part that
     # Spark ML's model summaries can't serialise
