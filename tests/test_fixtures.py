@@ -63,3 +63,19 @@ def test_line_items_are_shuffled_once(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(re.findall(r"\bExchange\b", plans["raw_lineitem_commits"])) == 1
+
+
+def test_staged_lines_hold_only_what_the_three_tables_read(spark, tmp_path):
+    """NULL flags, taxes, discounts and part keys included; a repeated line stays two rows."""
+    lines = [(1, 7, 3.0, "R", "F", 0.07, 0.08), (1, 7, 3.0, "R", "F", 0.07, 0.08), (1, None, 4.0, "R", "F", 0.01, 0.1),
+             (2, 8, 5.0, "N", "O", 0.08, 0.09), (2, 9, 6.0, None, "F", 0.07, 0.08), (3, 9, None, "A", "F", None, None), (4, 1, 1.0, "R", "F", 0.08, 0.08)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_quantity double, l_returnflag string, l_linestatus string, "
+                                 "l_tax double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    commits = spark.createDataFrame([("P", "1"), ("P", "2"), ("P", "3"), ("Q", "3")], "PROJECT_ID string, COMMIT_HASH string")
+    li = fixtures.lineitem_commits(spark, str(tmp_path), commits)
+    assert not {"l_discount", "l_tax", "l_returnflag", "l_partkey"} & set(li.columns)
+    rows = lambda d: sorted(map(tuple, d.collect()), key=str)
+    assert rows(fixtures.changes(spark, "", li)) == sorted([("P", "1", 3, 7), ("P", "1", 3, 7), ("P", "1", 4, 1), ("P", "2", 5, None),
+                                                             ("P", "2", 6, 7), ("P", "3", None, None), ("Q", "3", None, None)], key=str)
+    assert rows(fixtures.szz(spark, "", li)) == sorted([("P", "7", "1"), ("P", "7", "1"), ("P", None, "1")], key=str)
+    assert rows(fixtures.refactoring(spark, "", li)) == sorted([("P", "1", "RF"), ("P", "1", "RF"), ("P", "2", "NO"), ("P", "2", None)], key=str)

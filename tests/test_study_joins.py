@@ -86,3 +86,40 @@ def test_modeling_table_is_read_from_the_ordered_rows(spark, rows, monkeypatch):
     sizes = {r["PROJECT_ID"]: r["n"] for r in m.groupBy("PROJECT_ID").agg(F.count(F.lit(1)).alias("n")).collect()}
     for r in m.groupBy("PROJECT_ID").agg(F.min("TIME_IDX").alias("lo"), F.max("TIME_IDX").alias("hi"), F.countDistinct("TIME_IDX").alias("k")).collect():
         assert (r["lo"], r["hi"], r["k"]) == (0, sizes[r["PROJECT_ID"]] - 1, sizes[r["PROJECT_ID"]])
+
+
+def test_asof_left_rows_are_reduced_without_a_sort(rows, monkeypatch):
+    """The left side's instants are distinct keys, hashed; only the right rows carry a payload."""
+    from cohortlab.functions import ordering
+    plans = []
+    monkeypatch.setattr(ordering, "materialize", lambda d, name: plans.append(
+        d._jdf.queryExecution().executedPlan().toString()) or materialize(d, name))
+    snaps = _snapshots(rows.sparkSession)
+    out = asof.asof_join(rows, snaps, ["PROJECT_ID"], "AUTHOR_DATE", "DATE", ["SIZE"], ["ANALYSIS_KEY"], how="left")
+    assert "Union" not in plans[0] and plans[0].count("SortAggregate") == 2   # partial and final, of the right side alone
+    pairs = rows.join(snaps, "PROJECT_ID", "left").filter("DATE <= AUTHOR_DATE").groupBy("COMMIT_HASH").agg(
+        F.max_by("SIZE", "DATE").alias("want"))
+    wrong = out.join(pairs, "COMMIT_HASH", "left").filter(~F.col("SIZE").eqNullSafe(F.col("want")))
+    assert out.count() == N and wrong.count() == 0
+
+
+def test_imputed_rows_are_written_once(spark, rows, monkeypatch):
+    """A study asked for the modeling table writes the imputed rows in their order only; either order gives the same rows."""
+    from cohortlab.functions import ordering
+    from cohortlab.plans import study
+    names = []
+    for mod in (study, ordering):
+        monkeypatch.setattr(mod, "materialize", lambda d, name: names.append(name) or materialize(d, name))
+    wanted = {c: F.col("NCLOC") for c in ("SQALE_DEBT_RATIO", "DUPLICATED_LINES_DENSITY", "SQALE_INDEX", "CHURN", "REF_COUNT")}
+    cohort = rows.withColumns(wanted).withColumn("HAS_REFACTORING", F.lit(1))
+    first, second = study.Study(spark, raw={}), study.Study(spark, raw={})
+    for s in (first, second):
+        s.__dict__["cohort"] = cohort
+    modeling = first.modeling
+    assert names.count("index") == 1 and "imputed" not in names
+    late = first.imputed
+    assert "imputed" not in names
+    early = second.imputed
+    assert names.count("imputed") == 1 and late.columns == early.columns
+    assert early.count() == N and early.exceptAll(late).count() == 0
+    assert second.modeling.count() == N and second.modeling.exceptAll(modeling).count() == 0
