@@ -221,3 +221,26 @@ def test_240_columns_and_one_exact_dependency(spark):
     # the others are regressed on the one direction of the pair too
     both = np.diag(np.linalg.inv(np.corrcoef(np.delete(x, 1, axis=1).T)))[1:]
     assert np.allclose(finite, both, rtol=1e-8) and not np.allclose(finite, want, rtol=1e-8)
+
+
+def test_compared_models_are_scored_once(spark, monkeypatch):
+    """Table 3 computes each score once, however many aggregates read it, and is that of the scores themselves."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import functions as F
+
+    from cohortlab.operators import metrics
+    from cohortlab.plans import queries_models as q
+    from cohortlab.session import materialize
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        asked.add(1)
+        return (i * 37 % 101) / 101.0
+
+    plain = spark.range(200).select(F.lit("M5_xgboost").alias("model"), (F.col("id") % 3 == 0).cast("int").alias("label"), "id")
+    monkeypatch.setattr(q, "_scores", lambda s, names: plain.withColumn("score", score("id")).drop("id"))
+    got = q._compared(SimpleNamespace(stage=materialize), ["M5_xgboost"]).collect()
+    assert asked.value == 200
+    assert got == metrics.model_comparison(plain.withColumn("score", F.col("id") * 37 % 101 / 101.0).drop("id")).collect()
